@@ -1,0 +1 @@
+"""Functions of the sensor-panel engine."""
