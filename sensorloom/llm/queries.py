@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .license import license_sql, scan_licenses
+from .packing import pack
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan}
+    return {"op1_license_scan": op1_license_scan, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
