@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .license import license_sql, scan_licenses
 from .packing import pack
+from .simhash import near_duplicates
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +20,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op10_pack": op10_pack}
+    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
