@@ -10,6 +10,16 @@ from .common import table
 from .license import license_sql, scan_licenses
 from .packing import pack
 from .simhash import near_duplicates
+from .topk import top_k
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+ FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20"""
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +34,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op10_pack": op10_pack}
+    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op7_topk": op7_topk, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql()}
+    return {"op1_license_scan": license_sql(), "op7_topk": TOPK_SQL}
