@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .license import license_sql, scan_licenses
 from .packing import pack
+from .pii import find_personal_data
 from .simhash import near_duplicates
 from .topk import top_k
 
@@ -38,8 +39,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op7_topk": op7_topk, "op10_pack": op10_pack}
+    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op7_topk": op7_topk, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
