@@ -71,7 +71,8 @@ def bit_sliced_pairs(left, right, lists, words, radius: int):
     one = np.uint64(1)
     blocks = right.reshape(-1, 64)
     bits = np.unpackbits(blocks.view(np.uint8).reshape(len(blocks), 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0].copy()
+    vertical = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
+    planes = np.ascontiguousarray(vertical).view(np.uint64)[:, :, 0].copy()
     counters = radius.bit_length()
     # Counters start at a bias so that passing the radius carries out of the top one.
     bias = (1 << counters) - 1 - radius

@@ -82,6 +82,13 @@ def test_links_of_dense_balls(spark):
     assert [find(s) for s in signed] == want
 
 
+def test_one_block():
+    fps = np.array([1, 3, 255], dtype=np.uint64)
+    right = np.resize(fps, 64)
+    i, j = bit_sliced_pairs(fps, right, np.arange(3), np.zeros(3, dtype=np.int64), 1)
+    assert {(a, int(right[b])) for a, b in zip(i.tolist(), j.tolist())} == {(0, 1), (0, 3), (1, 1), (1, 3), (2, 255)}
+
+
 def test_bit_sliced_counts():
     rng = np.random.default_rng(1)
     left = rng.integers(0, 2**63, 40, dtype=np.uint64)
