@@ -12,6 +12,7 @@ from .packing import pack
 from .pii import find_personal_data
 from .simhash import near_duplicates
 from .topk import top_k
+from .toxicity import held_out, score_toxicity, train_toxicity
 
 
 TOPK_SQL = """
@@ -43,8 +44,14 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels.where(~held_out("doc_id", 4, 2)))
+    return score_toxicity(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op7_topk": op7_topk, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack}
+    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op7_topk": op7_topk, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
