@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .langid import identify_language, train_language_model
 from .license import license_sql, scan_licenses
 from .packing import pack
 from .pii import find_personal_data
@@ -50,8 +51,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_language_model(docs.where(~held_out("doc_id", 5, 0)))
+    return identify_language(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op7_topk": op7_topk, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack}
+    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op7_topk": op7_topk, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
