@@ -10,6 +10,7 @@ from .common import table
 from .langid import identify_language, train_language_model
 from .license import license_sql, scan_licenses
 from .packing import pack
+from .passages import remove_passages
 from .pii import find_personal_data
 from .simhash import near_duplicates
 from .topk import top_k
@@ -57,8 +58,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op7_topk": op7_topk, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack}
+    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op6_passages": op6_passages, "op7_topk": op7_topk, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
