@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chroma import match_recordings
 from .common import table
 from .langid import identify_language, train_language_model
 from .license import license_sql, scan_licenses
@@ -71,8 +72,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
 
 
+def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio, so every whole text's UTF-8 bytes are taken as 8-bit PCM."""
+    return match_recordings(table(spark, sf_dir, "documents").selectExpr("doc_id", "encode(text, 'UTF-8') AS pcm"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_passages": op6_passages, "op7_topk": op7_topk, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack}
+    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_passages": op6_passages, "op7_topk": op7_topk, "op8_chroma": op8_chroma, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
