@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Target shares of tokens by domain that the queries use.
+TARGETS = {"quality=1,toxic=0": 0.9, "quality=0,toxic=0": 0.08, "quality=1,toxic=1": 0.02, "quality=0,toxic=1": 0.0}
+
 WORDS = r"[^\p{L}\p{N}]+"
 
 

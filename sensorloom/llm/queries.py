@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .chroma import match_recordings
 from .common import table
 from .langid import identify_language, train_language_model
 from .license import license_sql, scan_licenses
-from .mixing import mixing_rates
+from .mixing import TARGETS, mixing_rates
 from .packing import pack
 from .passages import remove_passages
 from .pii import find_personal_data
@@ -64,10 +66,6 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(table(spark, sf_dir, "documents"))
 
 
-#: Target shares of tokens by domain.
-TARGETS = {"quality=1,toxic=0": 0.9, "quality=0,toxic=0": 0.08, "quality=1,toxic=1": 0.02, "quality=0,toxic=1": 0.0}
-
-
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
 
@@ -78,7 +76,7 @@ def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_passages": op6_passages, "op7_topk": op7_topk, "op8_chroma": op8_chroma, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack}
+    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_passages": op6_passages, "op7_topk": op7_topk, "op8_chroma": op8_chroma, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -208,9 +208,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest. An empty table gives no rows. Other columns are not read.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle, seed))
+    named = _rooted(fps, radius)
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_fp = named.join(lowest, "root").select("fp", "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _rooted(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, low, root): every distinct fingerprint, the smallest doc_id with it, and its component's fingerprint."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(nodes.select("fp"), radius))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = grouped.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """docs, all columns, with one row of each group of near duplicates: that of the smallest id.
+
+    Null ids come last; a repeated row is kept once. Rows are told apart by id and a hash
+    of the text, so no numbering of the input is relied upon.
+    """
+    order, body = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col(text_col))
+    keyed = docs.select(order.alias("k"), body.alias("h"), F.col(text_col).alias("t"))
+    # The fingerprints' own id is the text's hash: equal texts have equal fingerprints.
+    fps = stored(fingerprints(keyed.select("h", "t"), "h", "t", shingle, seed).withColumnRenamed("doc_id", "h").distinct())
+    root = _rooted(fps.select("fp", F.col("h").alias("doc_id")), radius).select("fp", "root")
+    named = keyed.select("k", "h").join(fps, "h").join(root, "fp")
+    chosen = named.groupBy("root").agg(F.min(F.struct("k", "h")).alias("c")).select(F.col("c.k").alias("__k"), F.col("c.h").alias("__h"))
+    marked = docs.withColumn("__k", order).withColumn("__h", body)
+    return marked.join(chosen, ["__k", "__h"], "left_semi").dropDuplicates(["__k", "__h"]).select(*docs.columns)
