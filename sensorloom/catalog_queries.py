@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession
+from sensorloom import plans
+from sensorloom.plans.registry import ORACLES, QUERIES, Query
 
+for _m in sorted(m.name for m in pkgutil.iter_modules(plans.__path__)):
+    if _m.startswith("q_"):
+        importlib.import_module(f"sensorloom.plans.{_m}")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
