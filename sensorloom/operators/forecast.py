@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_T = Window.partitionBy("node").orderBy("t")
+def _steps() -> WindowSpec:
+    return Window.partitionBy("node").orderBy("t")
 
 
 def targets(panel: DataFrame, horizons: list[int], first: int) -> DataFrame:
@@ -19,7 +20,7 @@ def _at(panel: DataFrame, name: str) -> DataFrame:
 
 def previous_step(facts: DataFrame, panel: DataFrame, out: str = "pred") -> DataFrame:
     """The last known value at the origin or before."""
-    last = panel.select("node", F.col("t").alias("origin"), F.last("value", ignorenulls=True).over(_T.rowsBetween(Window.unboundedPreceding, 0)).alias(out))
+    last = panel.select("node", F.col("t").alias("origin"), F.last("value", ignorenulls=True).over(_steps().rowsBetween(Window.unboundedPreceding, 0)).alias(out))
     return facts.join(last, ["node", "origin"], "left")
 
 
@@ -48,12 +49,12 @@ def constant(facts: DataFrame, train: DataFrame, stat: str = "median", per_node:
 
 def moving_average(panel: DataFrame, window: int, out: str = "pred") -> DataFrame:
     """Mean of the known values of the `window` steps before each step."""
-    return panel.withColumn(out, F.avg("value").over(_T.rowsBetween(-window, -1)))
+    return panel.withColumn(out, F.avg("value").over(_steps().rowsBetween(-window, -1)))
 
 
 def rolling_mean(panel: DataFrame, window: int, out: str = "rolled") -> DataFrame:
     """Trailing mean, null until the window is full."""
-    w = _T.rowsBetween(1 - window, 0)
+    w = _steps().rowsBetween(1 - window, 0)
     return panel.withColumn(out, F.when(F.count("value").over(w) == window, F.avg("value").over(w)))
 
 
@@ -61,14 +62,14 @@ def centered_average(panel: DataFrame, window: int, steps: int) -> DataFrame:
     """(low, high): centred mean with the edge values repeated, and the remainder."""
     left = (window - 1) // 2
     right = window - 1 - left
-    inner = F.sum("value").over(_T.rowsBetween(-left, right))
-    whole = _T.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inner = F.sum("value").over(_steps().rowsBetween(-left, right))
+    whole = _steps().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     low = (inner + F.greatest(left - F.col("t"), F.lit(0)) * F.first("value").over(whole) + F.greatest(F.col("t") + right - (steps - 1), F.lit(0)) * F.last("value").over(whole)) / window
     return panel.withColumn("low", low).withColumn("high", F.col("value") - low)
 
 
 def first_difference(panel: DataFrame, out: str = "diff") -> DataFrame:
-    return panel.withColumn(out, F.col("value") - F.lag("value").over(_T)).where(F.col("t") > 0)
+    return panel.withColumn(out, F.col("value") - F.lag("value").over(_steps())).where(F.col("t") > 0)
 
 
 def residualize(panel: DataFrame, slots: int | None = None, out: str = "residual") -> DataFrame:
@@ -79,4 +80,4 @@ def residualize(panel: DataFrame, slots: int | None = None, out: str = "residual
 
 def dilate(flagged: DataFrame, flag: str, steps: int, out: str = "near") -> DataFrame:
     """True where the flag is true within `steps` steps."""
-    return flagged.withColumn(out, F.max(F.col(flag)).over(_T.rowsBetween(-steps, steps)))
+    return flagged.withColumn(out, F.max(F.col(flag)).over(_steps().rowsBetween(-steps, steps)))

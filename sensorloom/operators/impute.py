@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_BACK = Window.partitionBy("node").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_AHEAD = Window.partitionBy("node").orderBy("t").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def _back() -> WindowSpec:
+    return Window.partitionBy("node").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _ahead() -> WindowSpec:
+    return Window.partitionBy("node").orderBy("t").rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
 def forward_fill(value: Column) -> Column:
-    return F.last(value, ignorenulls=True).over(_BACK)
+    return F.last(value, ignorenulls=True).over(_back())
 
 
 def backward_fill(value: Column) -> Column:
-    return F.first(value, ignorenulls=True).over(_AHEAD)
+    return F.first(value, ignorenulls=True).over(_ahead())
 
 
 def fill_both(panel: DataFrame, out: str = "filled", default: float = 0.0) -> DataFrame:
@@ -29,7 +33,7 @@ def interpolate(panel: DataFrame, out: str = "filled", default: float | None = N
     at = F.when(v.isNotNull(), F.col("t"))
     p = panel.select(
         "*", forward_fill(v).alias("__v0"), backward_fill(v).alias("__v1"),
-        F.last(at, ignorenulls=True).over(_BACK).alias("__t0"), F.first(at, ignorenulls=True).over(_AHEAD).alias("__t1"),
+        F.last(at, ignorenulls=True).over(_back()).alias("__t0"), F.first(at, ignorenulls=True).over(_ahead()).alias("__t1"),
     )
     inner = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.try_divide(F.col("t") - F.col("__t0"), F.col("__t1") - F.col("__t0"))
     return p.withColumn(out, F.coalesce(v, inner, "__v0", "__v1", F.lit(default).cast("double"))).drop("__v0", "__v1", "__t0", "__t1")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_T = Window.partitionBy("node").orderBy("t")
+def _steps() -> WindowSpec:
+    return Window.partitionBy("node").orderBy("t")
 
 
 def sliding(panel: DataFrame, history: int, horizon: int) -> DataFrame:
     """(node, t, past, future): arrays of the history steps up to t and of the horizon steps after; full windows only."""
     w = panel.select(
-        "node", "t", F.collect_list(F.struct("value")).over(_T.rowsBetween(1 - history, 0)).alias("past"), F.collect_list(F.struct("value")).over(_T.rowsBetween(1, horizon)).alias("future")
+        "node", "t", F.collect_list(F.struct("value")).over(_steps().rowsBetween(1 - history, 0)).alias("past"), F.collect_list(F.struct("value")).over(_steps().rowsBetween(1, horizon)).alias("future")
     )
     full = w.where((F.size("past") == history) & (F.size("future") == horizon))
     return full.select("node", "t", F.col("past.value").alias("past"), F.col("future.value").alias("future"))
@@ -54,7 +55,7 @@ def gather_shifts(panel: DataFrame, shifts: list[int]) -> DataFrame:
 
 def drop_empty_horizons(panel: DataFrame, horizon: int) -> DataFrame:
     """Steps t where any node has a value within the horizon after t."""
-    seen = panel.select("t", F.count("value").over(_T.rowsBetween(1, horizon)).alias("n"), F.count("*").over(_T.rowsBetween(1, horizon)).alias("m"))
+    seen = panel.select("t", F.count("value").over(_steps().rowsBetween(1, horizon)).alias("n"), F.count("*").over(_steps().rowsBetween(1, horizon)).alias("m"))
     return seen.where(F.col("m") == horizon).groupBy("t").agg(F.sum("n").alias("n")).where("n > 0").select("t", "n")
 
 
@@ -77,10 +78,11 @@ def allocate(sizes: DataFrame, keys: list[str], budget: int) -> DataFrame:
     """Largest-remainder shares of a budget by stratum size; ties by size, then key."""
     total = F.sum("n").over(Window.partitionBy())
     exact = F.lit(budget) * F.col("n") / total
-    a = sizes.withColumn("floor", F.floor(exact)).withColumn("rest", exact - F.floor(exact))
-    left = F.lit(budget) - F.sum("floor").over(Window.partitionBy())
-    order = F.row_number().over(Window.orderBy(F.desc(F.round("rest", 9)), F.desc("n"), *keys))
-    return a.withColumn("left", left).withColumn("k", order).select(*keys, "n", (F.col("floor") + (F.col("k") <= F.col("left")).cast("int")).alias("budget"))
+    a = sizes.withColumn("__floor", F.floor(exact)).withColumn("__rest", exact - F.floor(exact))
+    left = F.lit(budget) - F.sum("__floor").over(Window.partitionBy())
+    order = F.row_number().over(Window.orderBy(F.desc(F.round("__rest", 9)), F.desc("n"), *keys))
+    extra = (F.col("__k") <= F.col("__left")).cast("int")
+    return a.withColumn("__left", left).withColumn("__k", order).select(*keys, "n", (F.col("__floor") + extra).alias("budget"))
 
 
 def hashed_choice(df: DataFrame, by: list[str], key: Column, limit: Column) -> DataFrame:
