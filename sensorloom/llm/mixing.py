@@ -184,5 +184,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], rounds: i
     full = with_posteriors(docs, model, text_col, "__posterior", "__tokens")
     members = stored(full.select(F.col("__posterior").alias("posterior"), F.col("__tokens").alias("tokens")))
     steps, _ = fit_rates(members, model.domains, weights, 1.0, rounds)
+    # A generated column is computed once and cannot be pushed into the filter below, where every step would work it out again.
+    once = full.select(*docs.columns, F.explode(F.array("__posterior")).alias("__posterior"))
     rate = _rate(F.col("__posterior"), steps, 1.0)
-    return full.where(_dice(F.col(id_col), F.col(text_col)) < rate).select(*docs.columns)
+    return once.where(_dice(F.col(id_col), F.col(text_col)) < rate).select(*docs.columns)
