@@ -48,12 +48,13 @@ def _shape(text: Column, words: Column) -> Column:
     )
 
 
-def train_domains(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("quality", "toxic"), max_rows: int = 4000, max_features: int = 256, max_domains: int = 16, min_gain: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
+def train_domains(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("quality", "toxic"), max_rows: int = 4000, max_features: int = 256, max_domains: int = 16, min_gain: float = 8.0, min_lift: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
     """Naive Bayes on at most max_rows labelled documents, chosen by a hash of the id.
 
     A domain is a combination of label values, such as quality=1,toxic=0. The features kept
     are the max_features words of the largest likelihood ratio, at least min_gain (chance
-    seldom gives 8), and all shape features of the sample. Rows with a null label or id are left out.
+    seldom gives 8), that one domain has min_lift times as often as the rest, and all shape
+    features of the sample. Rows with a null label or id are left out.
     """
     named = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in label_cols])
     known = reduce(lambda d, c: d.where(F.col(c).isNotNull()), label_cols, labels.where(F.col(id_col).isNotNull()))
@@ -72,8 +73,12 @@ def train_domains(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...
     whole = reduce(lambda a, b: a + b, [F.col(f"d{k}") for k in range(len(domains))])
     # G-squared of the feature's spread over the domains against their sizes.
     gain = reduce(lambda a, b: a + b, [F.col(f"d{k}") * F.log((F.col(f"d{k}") + 0.5) * total / ((whole + 0.5) * sizes[d])) for k, d in enumerate(domains)])
+    # A word that longer texts merely have more often is no sign of a domain: its share must be several times that elsewhere.
+    here = [(F.col(f"d{k}") + 0.5) / (sizes[d] + 1) for k, d in enumerate(domains)]
+    away = [(whole - F.col(f"d{k}") + 0.5) / (total - sizes[d] + 1) for k, d in enumerate(domains)]
+    lift = F.greatest(*[h / a for h, a in zip(here, away)], F.lit(0.0))
     shape = F.col("feature").startswith("#")
-    ranked = by.where(shape & (F.col("feature") != "#")).unionByName(by.where(~shape & (whole >= 3) & (gain >= min_gain)).orderBy(F.desc(gain), "feature").limit(max_features)).collect()
+    ranked = by.where(shape & (F.col("feature") != "#")).unionByName(by.where(~shape & (whole >= 3) & (gain >= min_gain) & (lift >= min_lift)).orderBy(F.desc(gain), "feature").limit(max_features)).collect()
     features, base = {}, [math.log(sizes[d] / total) for d in domains]
     for r in ranked:
         p = [(r[f"d{k}"] + 0.5) / (sizes[d] + 1) for k, d in enumerate(domains)]
@@ -117,13 +122,15 @@ def _rate(posterior: Column, steps: list[list[float]], max_rate: float) -> Colum
     return F.aggregate(vectors, F.lit(1.0), step)
 
 
-def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, float], max_rate: float = 4.0, rounds: int = 24, tolerance: float = 1e-3) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
+def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, float], max_rate: float = 4.0, rounds: int = 24, tolerance: float = 1e-3, keep_whole: bool = False) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
     """Steps of the projected gradient, and (reached, target) expected tokens by domain.
 
     members has posterior and tokens. Residuals are weighted by the inverse of a domain's
     expected tokens, which bounds the curvature by one in the tokens' metric, so the step
-    size is one. The total is the largest for which no domain needs a mean rate above
-    max_rate. Stops within `tolerance` of all targets, or after `rounds`.
+    size is one. The total is that of the input, or less where a domain would need a mean
+    rate above max_rate. With keep_whole it is set so that the domain of the largest weight
+    just stays whole, however scarce the others are: these then give all they have. Stops
+    within `tolerance` of all targets, or after `rounds`.
     """
     k = len(domains)
     if not k:
@@ -139,7 +146,11 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], weights: dict[str, f
     if not sum(asked):
         return [], {d: (e, e) for d, e in zip(domains, expected)}
     shares = [a / sum(asked) for a in asked]
-    total = min(max_rate * e / s for e, s in zip(expected, shares) if s)
+    if keep_whole:
+        top = max(range(k), key=lambda d: shares[d])
+        total = expected[top] / shares[top]
+    else:
+        total = min(sum(expected), *(max_rate * e / s for e, s in zip(expected, shares) if s))
     target = [s * total for s in shares]
     steps, now = [], expected
     for _ in range(rounds):
@@ -179,11 +190,15 @@ def _dice(doc_id: Column, text: Column) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], rounds: int = 24, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
-    """docs, all columns, each row kept with its rate as probability; rates are at most 1, so no row is repeated."""
+    """docs, all columns, each row kept with its rate as probability.
+
+    Rates are at most 1, so no row is repeated, and the domain of the largest weight is kept
+    whole: the others are thinned until they are no more than their shares beside it.
+    """
     model = train_domains(docs, labels, id_col=id_col, text_col=text_col, **training)
     full = with_posteriors(docs, model, text_col, "__posterior", "__tokens")
     members = stored(full.select(F.col("__posterior").alias("posterior"), F.col("__tokens").alias("tokens")))
-    steps, _ = fit_rates(members, model.domains, weights, 1.0, rounds)
+    steps, _ = fit_rates(members, model.domains, weights, 1.0, rounds, keep_whole=True)
     # A generated column is computed once and cannot be pushed into the filter below, where every step would work it out again.
     once = full.select(*docs.columns, F.explode(F.array("__posterior")).alias("__posterior"))
     rate = _rate(F.col("__posterior"), steps, 1.0)

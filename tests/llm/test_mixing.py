@@ -47,7 +47,7 @@ def test_against_numpy(spark):
     steps, reached = fit_rates(df, ("a", "b", "c"), {"a": 0.5, "b": 0.3, "c": 0.2}, max_rate=2.0, rounds=30)
     e = t @ p
     share = np.array([0.5, 0.3, 0.2])
-    target = share * min(2 * e / share)
+    target = share * min(e.sum(), *(2 * e / share))
     r = np.ones(200)
     for v in steps:
         r = np.clip(r - p @ np.array(v), 0, 2)
