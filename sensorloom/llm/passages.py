@@ -7,10 +7,13 @@ text position stands for all windows that share it. Each pass refines the groups
 hold two members:
 
 1. the minimizer's gram; grams that stand once in the corpus end here;
-2. the whole stretch of windows around a minimizer; equal stretches are settled at once,
-   and only the earliest of each goes on, and only where a gram has several stretches;
-3. the first half of every single window of those;
-4. the second half: groups of equal windows, of which all but the earliest are repeats.
+2. the whole stretch of windows around a minimizer;
+3. runs of up to eight windows of a stretch, aligned to the minimizer;
+4. single windows: groups of equal ones, of which all but the earliest are repeats.
+
+Passes 2 to 4 are alike: equal units are settled at once (all but the earliest are repeats),
+and of each kind of unit only the earliest goes on, and only where its gram and place have
+several kinds.
 
 Groups are never gathered: passes are counts and minima (combined before the shuffle), and
 memberships come back as fixed-size bitmaps, whose false hits only add rows that a later
@@ -60,8 +63,8 @@ class Stretches:
                 begins[e - s : e - length + 1] = True
         at = np.flatnonzero(begins)
         if not len(at):
-            self.first = self.count = self.gram = self.back = at
-            self.ids = self.offset = at
+            self.first = self.count = self.back = self.ids = self.offset = at
+            self.gram = at.view(np.uint64)
             return
         grams = self.digest(np.arange(n - GRAM + 1), GRAM)
         low = np.uint64(2 * PIECE - 1)
@@ -76,7 +79,9 @@ class Stretches:
         new = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)])
         self.first = at[new]
         self.count = np.diff(np.r_[new, len(at)])
-        self.gram = grams[where[new]]
+        # A minimizer's hash is small by choice; mixed again, it spreads over a bitmap.
+        mixed = grams[where[new]] * np.uint64(0x9FB21C651E98DF25)
+        self.gram = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         self.back = where[new] - self.first
         piece = np.searchsorted(ends, self.first, side="right")
         self.ids = np.array([p[0] for p in pieces], dtype=np.int64)[piece]
@@ -93,12 +98,39 @@ class Stretches:
         h *= np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(29))
 
-    def whole(self):
-        """Hash of every stretch: its bytes, where its minimizer is, and how many windows it has."""
+    def units(self, keep) -> Units:
+        return Units(self.first[keep], self.count[keep], self.back[keep], self.gram[keep], self.ids[keep], self.offset[keep])
+
+    def whole(self, u: Units):
+        """Hash of every unit: its bytes, where its minimizer is, and how many windows it has."""
+        import numpy as np
+
+        if not len(u.first):
+            return u.gram
+        h = self.digest(u.first, u.count + self.length - 1)
+        return h ^ ((u.back.astype(np.uint64) << np.uint64(32) | u.count.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93))
+
+
+class Units:
+    """Runs of windows that share a minimizer: begin in the buffer, windows, distance to the minimizer, gram, id and offset."""
+
+    def __init__(self, first, count, back, gram, ids, offset):
+        self.first, self.count, self.back, self.gram, self.ids, self.offset = first, count, back, gram, ids, offset
+
+    def only(self, keep) -> Units:
+        return Units(self.first[keep], self.count[keep], self.back[keep], self.gram[keep], self.ids[keep], self.offset[keep])
+
+    def split(self, size: int) -> Units:
+        """Runs cut where the distance to the minimizer passes a multiple of size."""
         import numpy as np
 
-        h = self.digest(self.first, self.count + self.length - 1)
-        return h ^ ((self.back.astype(np.uint64) << np.uint64(32) | self.count.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93))
+        n = self.count
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        block = (np.repeat(self.back, n) - step) // size
+        new = np.flatnonzero((step == 0) | np.r_[True, block[1:] != block[:-1]]) if len(step) else step
+        run, at = np.repeat(np.arange(len(n)), n)[new], step[new]
+        count = np.diff(np.r_[new, len(step)])
+        return Units(self.first[run] + at, count, self.back[run] - at, self.gram[run], self.ids[run], self.offset[run] + at)
 
 
 def row_key(ids, offsets):
@@ -132,17 +164,31 @@ def _scan(docs: DataFrame, length: int, rows, schema: str) -> DataFrame:
     return docs.select("id", "body").mapInArrow(run, schema)
 
 
-def _bitmap(hashes: DataFrame, column: str, bits: int):
-    """Bitmap (2**bits bits, at most) of a column of 64-bit hashes, built by aggregation and broadcast."""
+def _bitmap(hashes: DataFrame, column: str, most_bits: int):
+    """(bits, broadcast bitmap) of a column of distinct 64-bit hashes.
+
+    It has about sixteen bits a hash, and never more than 2**most_bits bits in all. Bits are
+    combined by aggregation and packed into blocks on the executors; the driver gets the
+    packed blocks alone.
+    """
     import numpy as np
 
-    shift = 64 - bits
-    pos = F.shiftrightunsigned(F.col(column), shift)
+    bits = min(most_bits, max(8, (16 * max(1, hashes.count())).bit_length()))
+    pos = F.shiftrightunsigned(F.col(column), 64 - bits)
     words = hashes.select(F.shiftright(pos, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), pos.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    table = np.zeros(1 << (bits - 6), dtype=np.int64)
-    table[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64)
-    return hashes.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    merged = words.groupBy("w").agg(F.bit_or("b").alias("b")).withColumn("block", F.shiftright("w", 10))
+
+    def packed(pdf):
+        import pandas as pd
+
+        block = np.zeros(1024, dtype=np.int64)
+        block[pdf["w"].to_numpy() & 1023] = pdf["b"].to_numpy()
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "body": [block.tobytes()]})
+
+    table = np.zeros(max(1024, 1 << (bits - 6)), dtype=np.uint64)
+    for r in merged.groupBy("block").applyInPandas(packed, "block long, body binary").toLocalIterator():
+        table[r["block"] * 1024 : r["block"] * 1024 + 1024] = np.frombuffer(r["body"], dtype=np.uint64)
+    return bits, hashes.sparkSession.sparkContext.broadcast(table)
 
 
 def _inside(table, hashes, bits: int):
@@ -155,9 +201,9 @@ def _inside(table, hashes, bits: int):
 def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> DataFrame:
     """(id, start, stop): byte ranges of docs(id, body) covered by windows that also start earlier.
 
-    Earlier means a smaller id, or the same id and a smaller start. bits sizes the bitmaps
-    that passes are carried in (2**27 bits are 16 MB), whatever the input: a fuller bitmap
-    lets more rows through to the next pass, it changes no result.
+    Earlier means a smaller id, or the same id and a smaller start. bits bounds the
+    bitmaps that passes are carried in (2**27 bits are 16 MB), whatever the input: a fuller
+    bitmap lets more rows through to the next pass, it changes no result.
     """
     import numpy as np
 
@@ -166,39 +212,49 @@ def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> Data
         return [h, n]
 
     counted = _scan(docs, length, grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    frequent = _bitmap(counted.where("n > 1"), "gram", bits)
+    gram_bits, frequent = _bitmap(stored(counted.where("n > 1").select("gram")), "gram", bits)
 
-    def stretches(s):
-        keep = _inside(frequent.value, s.gram, bits) if len(s.gram) else slice(0)
-        whole = s.whole()[keep] if len(s.gram) else s.gram
-        return [s.gram[keep], whole, s.ids[keep], s.offset[keep], s.count[keep]]
+    def gram_hit(s):
+        return np.flatnonzero(_inside(frequent.value, s.gram, gram_bits)) if len(s.gram) else np.zeros(0, np.int64)
 
-    rows = stored(_scan(docs, length, stretches, "gram long, whole long, id long, start long, windows long"))
     place = F.struct(F.col("id").alias("id"), F.col("start").alias("start"))
-    firsts = rows.groupBy("gram", "whole").agg(F.min(place).alias("early"), F.count("*").alias("n"))
-    later = rows.join(firsts.where("n > 1").select("gram", "whole", "early"), ["gram", "whole"]).where(place > F.col("early"))
-    marks = later.select("id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
-
-    several = firsts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    going_on = firsts.select("gram", "early.id", "early.start").join(several, "gram", "left_semi")
-    key = _bitmap_key(going_on)
-    chosen = _bitmap(key, "key", bits)
-    half = length // 2
-
-    def windows(s):
-        keep = np.flatnonzero(_inside(chosen.value, row_key(s.ids, s.offset), bits)) if len(s.gram) else np.zeros(0, np.int64)
-        many = s.count[keep]
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = np.repeat(s.first[keep], many) + step
-        return [s.digest(at, half), s.digest(at + half, length - half), np.repeat(s.ids[keep], many), np.repeat(s.offset[keep], many) + step]
-
-    # Windows of false hits of the bitmap are true windows of the corpus, so they cannot disturb the minima.
-    single = stored(_scan(docs, length, windows, "head long, tail long, id long, start long"))
-    shared = single.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
-    third = single.join(shared, "head", "left_semi")
-    equal = third.groupBy("head", "tail").agg(F.min(place).alias("early"), F.count("*").alias("n")).where("n > 1").select("head", "tail", "early")
-    last = third.join(equal, ["head", "tail"]).where(place > F.col("early")).select("id", "start", (F.col("start") + length).alias("stop"))
-    return marks.unionByName(last)
+    columns = "gram long, block long, whole long, id long, start long, windows long"
+    marks, chosen = None, []
+    for size in (None, 8, 1):
+
+        def chosen_units(s, chosen=tuple(chosen)):
+            u = s.units(gram_hit(s))
+            for (bits_, sent), part in zip(chosen, (8, 1)):
+                u = u.only(np.flatnonzero(_inside(sent.value, row_key(u.ids, u.offset), bits_)) if len(u.ids) else np.zeros(0, np.int64)).split(part)
+            return u
+
+        again = None
+        if size == 1:  # windows that stand once need not leave their tasks as rows
+            counts = _scan(docs, length, lambda s, of=chosen_units: list(np.unique(s.whole(of(s)), return_counts=True)), "whole long, n long")
+            again = _bitmap(stored(counts.groupBy("whole").agg(F.sum("n").alias("n")).where("n > 1").select("whole")), "whole", bits)
+
+        def units(s, size=size, of=chosen_units, again=again):
+            u = of(s)
+            whole = s.whole(u)
+            if again and len(whole):
+                keep = np.flatnonzero(_inside(again[1].value, whole, again[0]))
+                u, whole = u.only(keep), whole[keep]
+            return [u.gram, u.back // (size or 2 * PIECE), whole, u.ids, u.offset, u.count]
+
+        rows = stored(_scan(docs, length, units, columns))
+        firsts = stored(rows.groupBy("gram", "block", "whole").agg(F.min(place).alias("early"), F.count("*").alias("n")).select("gram", "block", "whole", "early.*", "n"))
+        early = firsts.where("n > 1").select("gram", "block", "whole", F.col("id").alias("__i"), F.col("start").alias("__s"))
+        later = rows.join(early, ["gram", "block", "whole"]).where((F.col("id") > F.col("__i")) | ((F.col("id") == F.col("__i")) & (F.col("start") > F.col("__s"))))
+        found = later.select("id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
+        marks = found if marks is None else marks.unionByName(found)
+        if size != 1:
+            several = firsts.groupBy("gram", "block").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram", "block")
+            going_on = firsts.join(several, ["gram", "block"], "left_semi")
+            chosen.append(_bitmap(stored(_bitmap_key(going_on)), "key", bits))
+    # False hits of a bitmap add true windows of the corpus, which cannot disturb a minimum.
+    for used in (frequent, again[1], *(sent for _, sent in chosen)):  # what they let through is stored
+        used.destroy()
+    return marks
 
 
 def _bitmap_key(rows: DataFrame) -> DataFrame:
