@@ -12,8 +12,9 @@ hold two members:
 4. single windows: groups of equal ones, of which all but the earliest are repeats.
 
 Passes 2 to 4 are alike: equal units are settled at once (all but the earliest are repeats),
-and of each kind of unit only the earliest goes on, and only where its gram and place have
-several kinds.
+and of each kind of unit only the earliest goes on, and only where its core has several
+kinds. A unit's core is what all windows that can be equal to one of its own must share: the
+gram of a stretch, and the bytes common to all windows of an aligned run.
 
 Groups are never gathered: passes are counts and minima (combined before the shuffle), and
 memberships come back as fixed-size bitmaps, whose false hits only add rows that a later
@@ -32,6 +33,7 @@ from .common import stored
 from .hashing import text_chunks
 
 GRAM = 32
+RUN = 8
 PIECE = 1 << 20  # a power of two
 LAST = (1 << 63) - 1
 
@@ -110,6 +112,16 @@ class Stretches:
         h = self.digest(u.first, u.count + self.length - 1)
         return h ^ ((u.back.astype(np.uint64) << np.uint64(32) | u.count.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93))
 
+    def core(self, u: Units, size: int | None):
+        """Hash of the bytes that all windows of an aligned run share, and of its place; a stretch's gram."""
+        import numpy as np
+
+        if size is None or size == 1 or not len(u.first):
+            return u.gram
+        place = u.back // size
+        h = self.digest(u.first + u.back - place * size, self.length - size + 1)
+        return h ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
 
 class Units:
     """Runs of windows that share a minimizer: begin in the buffer, windows, distance to the minimizer, gram, id and offset."""
@@ -198,6 +210,20 @@ def _inside(table, hashes, bits: int):
     return (table[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def _hits(df: DataFrame, column: str, bitmap) -> DataFrame:
+    """Rows whose hash is in a bitmap: all that a join on it keeps, and false hits."""
+    bits, table = bitmap
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            yield b.filter(pa.array(_inside(table.value, b.column(at).to_numpy().view(np.uint64), bits)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> DataFrame:
     """(id, start, stop): byte ranges of docs(id, body) covered by windows that also start earlier.
 
@@ -218,41 +244,28 @@ def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> Data
         return np.flatnonzero(_inside(frequent.value, s.gram, gram_bits)) if len(s.gram) else np.zeros(0, np.int64)
 
     place = F.struct(F.col("id").alias("id"), F.col("start").alias("start"))
-    columns = "gram long, block long, whole long, id long, start long, windows long"
+    columns = "core long, whole long, id long, start long, windows long"
     marks, chosen = None, []
-    for size in (None, 8, 1):
+    for size in (None, RUN, 1):
 
-        def chosen_units(s, chosen=tuple(chosen)):
+        def units(s, size=size, chosen=tuple(chosen)):
             u = s.units(gram_hit(s))
-            for (bits_, sent), part in zip(chosen, (8, 1)):
+            for (bits_, sent), part in zip(chosen, (RUN, 1)):
                 u = u.only(np.flatnonzero(_inside(sent.value, row_key(u.ids, u.offset), bits_)) if len(u.ids) else np.zeros(0, np.int64)).split(part)
-            return u
-
-        again = None
-        if size == 1:  # windows that stand once need not leave their tasks as rows
-            counts = _scan(docs, length, lambda s, of=chosen_units: list(np.unique(s.whole(of(s)), return_counts=True)), "whole long, n long")
-            again = _bitmap(stored(counts.groupBy("whole").agg(F.sum("n").alias("n")).where("n > 1").select("whole")), "whole", bits)
-
-        def units(s, size=size, of=chosen_units, again=again):
-            u = of(s)
-            whole = s.whole(u)
-            if again and len(whole):
-                keep = np.flatnonzero(_inside(again[1].value, whole, again[0]))
-                u, whole = u.only(keep), whole[keep]
-            return [u.gram, u.back // (size or 2 * PIECE), whole, u.ids, u.offset, u.count]
+            return [s.core(u, size), s.whole(u), u.ids, u.offset, u.count]
 
         rows = stored(_scan(docs, length, units, columns))
-        firsts = stored(rows.groupBy("gram", "block", "whole").agg(F.min(place).alias("early"), F.count("*").alias("n")).select("gram", "block", "whole", "early.*", "n"))
-        early = firsts.where("n > 1").select("gram", "block", "whole", F.col("id").alias("__i"), F.col("start").alias("__s"))
-        later = rows.join(early, ["gram", "block", "whole"]).where((F.col("id") > F.col("__i")) | ((F.col("id") == F.col("__i")) & (F.col("start") > F.col("__s"))))
+        firsts = rows.groupBy("core", "whole").agg(F.min(place).alias("early"), F.count("*").alias("n")).select("core", "whole", "early.*", "n")
+        firsts = stored(firsts if size != 1 else firsts.where("n > 1"))
+        early = firsts.where("n > 1").select("core", "whole", F.col("id").alias("__i"), F.col("start").alias("__s"))
+        later = _hits(rows, "whole", _bitmap(early.select("whole"), "whole", bits)).join(early, ["core", "whole"]).where((F.col("id") > F.col("__i")) | ((F.col("id") == F.col("__i")) & (F.col("start") > F.col("__s"))))
         found = later.select("id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
         marks = found if marks is None else marks.unionByName(found)
         if size != 1:
-            several = firsts.groupBy("gram", "block").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram", "block")
-            going_on = firsts.join(several, ["gram", "block"], "left_semi")
-            chosen.append(_bitmap(stored(_bitmap_key(going_on)), "key", bits))
+            several = firsts.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
+            chosen.append(_bitmap(stored(_bitmap_key(firsts.join(several, "core", "left_semi"))), "key", bits))
     # False hits of a bitmap add true windows of the corpus, which cannot disturb a minimum.
-    for used in (frequent, again[1], *(sent for _, sent in chosen)):  # what they let through is stored
+    for used in (frequent, *(sent for _, sent in chosen)):  # what they let through is stored
         used.destroy()
     return marks
 
