@@ -206,3 +206,29 @@ def cubic_upsample(signal: DataFrame, factor: int) -> DataFrame:
 
     kind = dict(signal.dtypes)
     return signal.select("node", "t", "value").groupBy("node").applyInPandas(spline, f"node {kind['node']}, t long, value double")
+
+
+def space_time_shift(facts: DataFrame, reach: DataFrame, keys: list[str], hops: int, max_shift: int, by: list[str] | None = None) -> DataFrame:
+    """(keys, by, hop, shift, error, n): mean over targets of the least |pred at t + shift - target| among nodes within hop steps.
+
+    facts: keys, node, t (dense in each series), pred, target, and columns of the target to
+    report by; reach: (src, dst, hop) with every node its own at 0. Null targets and
+    predictions are skipped. Shifts are columns until the end, so no row is multiplied by them.
+    """
+    by, shifts = by or [], range(-max_shift, max_shift + 1)
+    w = Window.partitionBy(*keys, "node").orderBy("t")
+    names = [f"__p{i}" for i in range(len(shifts))]
+    moved = [(F.lead("pred", d) if d >= 0 else F.lag("pred", -d)).over(w).alias(c) for c, d in zip(names, shifts)]
+    said = facts.select(*keys, F.col("node").alias("__near"), "t", *moved)
+    near = reach.where(F.col("hop") <= hops).select(F.col("src").alias("node"), F.col("dst").alias("__near"), F.explode(F.sequence("hop", F.lit(hops))).alias("hop"))
+    true = facts.where(F.col("target").isNotNull()).select(*keys, "node", "t", "target", *by)
+    pairs = true.join(near, "node").join(said, [*keys, "__near", "t"])
+    least = pairs.groupBy(*keys, *by, "node", "t", "hop").agg(*[F.min(F.abs(F.col(c) - F.col("target"))).alias(c) for c in names])
+    curve = least.groupBy(*keys, *by, "hop").agg(F.array(*[F.struct(F.lit(d).alias("shift"), F.avg(c).alias("error"), F.count(c).alias("n")) for c, d in zip(names, shifts)]).alias("__c"))
+    return curve.select(*keys, *by, "hop", F.inline("__c"))
+
+
+def best_shift(curve: DataFrame, by: list[str], digits: int = 9) -> DataFrame:
+    """The row of least error per group; ties to fewer hops, the shorter shift, the earlier one."""
+    w = Window.partitionBy(*by).orderBy(F.round("error", digits).asc_nulls_last(), "hop", F.abs("shift"), "shift")
+    return curve.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators import graph as G
 from sensorloom.operators import lag as L
-from sensorloom.plans.fixtures import COUNTS_SQL, HOURS_SQL, counts, hours
+from sensorloom.plans.fixtures import COUNTS_SQL, FACTS_SQL, HOURS_SQL, counts, hours, predictions
 from sensorloom.plans.registry import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -146,3 +148,27 @@ def lowpass_component(spark, d):
 @query()
 def spline_upsample(spark, d):
     return L.cubic_upsample(hours(spark, d).where("t < 48"), 4)
+
+
+_SHIFTS = """, nd AS (SELECT node, row_number() OVER (ORDER BY node) AS r FROM (SELECT DISTINCT node FROM panel)),
+ near AS (SELECT a.node, b.node AS nb, CAST(k AS INTEGER) AS hop FROM nd a CROSS JOIN nd b CROSS JOIN unnest(range(3)) AS u(k) WHERE abs(a.r - b.r) <= k),
+ le AS (SELECT f.system, f.horizon, f.node, f.t, near.hop, CAST(d AS INTEGER) AS shift, min(abs(p.pred - f.target)) AS e FROM facts f JOIN near ON near.node = f.node CROSS JOIN unnest(range(-2, 3)) AS v(d)
+ JOIN facts p ON p.system = f.system AND p.horizon = f.horizon AND p.node = near.nb AND p.t = f.t + d WHERE f.target IS NOT NULL GROUP BY ALL),
+ cu AS (SELECT system, horizon, hop, shift, avg(e) AS error, count(e) AS n FROM le GROUP BY ALL)"""
+
+
+def _shifts(spark, d):
+    """Shift curve of the forecasts on the line of nodes in name order, up to two hops and two hours."""
+    facts = predictions(spark, d)
+    line = facts.select("node").distinct().select(F.col("node").alias("src"), F.lead("node").over(Window.orderBy("node")).alias("dst")).where("dst IS NOT NULL")
+    return L.space_time_shift(facts, G.reach(line, 2, directed=False), ["system", "horizon"], 2, 2)
+
+
+@query(FACTS_SQL + _SHIFTS + " SELECT system, horizon, hop, shift, round(error, 6) AS error, n FROM cu")
+def joint_shift_curve(spark, d):
+    return _shifts(spark, d).withColumn("error", R("error"))
+
+
+@query(FACTS_SQL + _SHIFTS + " SELECT system, horizon, hop, shift, round(error, 6) AS error, n FROM cu QUALIFY row_number() OVER (PARTITION BY system, horizon ORDER BY round(error, 9), hop, abs(shift), shift) = 1")
+def joint_shift_best(spark, d):
+    return L.best_shift(_shifts(spark, d), ["system", "horizon"]).withColumn("error", R("error"))
