@@ -70,7 +70,7 @@ def _hard(spark, d):
     return C.keep_hard(e, 0.1)
 
 
-@query("""WITH x AS (SELECT event_id AS id, value AS loss, avg(value) OVER () AS m, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM events) SELECT id, loss, CASE WHEN loss >= m THEN 1.0 ELSE 4.0 END AS weight FROM x WHERE loss >= m OR u < 0.25""")
+@query("""WITH x AS (SELECT event_id AS id, value AS loss, avg(value) OVER () AS m, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM events) SELECT id, loss, CAST(CASE WHEN loss >= m THEN 1 ELSE 4 END AS DOUBLE) AS weight FROM x WHERE loss >= m OR u < 0.25""")
 def importance_pruning(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("loss"))
     return C.importance_prune(e, 0.25)

@@ -43,7 +43,7 @@ def cyclic_and_one_hot(spark, d):
     return p.select("node", "t", R(s).alias("s"), R(c).alias("c"), *P.one_hot(F.weekday("ts"), [0, 5], "dow"), "code", R(F.pmod("t", F.lit(24)) / 23).alias("slot_scaled"))
 
 
-@query(HOURS_SQL + " SELECT 60.0 AS minutes FROM panel LIMIT 1")
+@query(HOURS_SQL + ", st AS (SELECT date_diff('second', lag(ts) OVER (PARTITION BY node ORDER BY ts), ts) / 60.0 AS m FROM panel) SELECT CAST(median(m) AS DOUBLE) AS minutes FROM st WHERE m > 0")
 def frequency_minutes(spark, d):
     return P.infer_minutes(hours(spark, d))
 
