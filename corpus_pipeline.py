@@ -14,7 +14,7 @@ from sensorloom.llm.langid import keep_identified, train_language_model
 from sensorloom.llm.mixing import TARGETS, mix
 from sensorloom.llm.packing import pack
 from sensorloom.llm.pii import sanitize
-from sensorloom.llm.simhash import keep_representatives
+from sensorloom.llm.similar import keep_dissimilar
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash fingerprints are linked, the one of smallest doc_id stays."""
-    return keep_representatives(docs)
+    """Of documents linked by a Jaccard similarity of at least 0.8 of their five-word shingles, the one of smallest doc_id stays."""
+    return keep_dissimilar(docs, similarity=0.8, shingle=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
