@@ -1,6 +1,6 @@
 """Personal data: base patterns, and terms that reveal who is meant.
 
-Information-theoretic sanitisation: the corpus tells how much a term near a protected
+Information-theoretic sanitisation: the corpus tells how much a term in the documents of a protected
 entity (an address, number or card that the base patterns find) discloses it. A term whose
 presence makes one entity likely, and far likelier than chance, is generalised, or removed
 where it all but names the entity. Everything here is DataFrame expressions: patterns run
@@ -88,63 +88,102 @@ def with_base_spans(docs: DataFrame, text: Column, out: str) -> DataFrame:
     return df.withColumn(out, F.concat(*[F.col(f"__s_{k}") for k in KINDS])).drop("__t", *[f"__{a}_{k}" for a in "hs" for k in KINDS])
 
 
-def _neighbours(text: Column, spans: Column, reach: int) -> Column:
-    """Terms within `reach` code points of each span: entity, term, start, end."""
+def _redacted(text: Column, spans: Column) -> Column:
+    """text with every span replaced by its label; overlapping spans are cut at the end of the one before."""
 
-    def side(x: Column, before: bool) -> Column:
-        at = F.greatest(x["start"] - reach, F.lit(0)) if before else x["end"]
-        size = x["start"] - at if before else F.lit(reach)
-        part = F.substring(text, at + 1, size)
-        hits = F.regexp_extract_all(part, F.lit(TERM), F.lit(0))
-        placed = _placed(F.split(part, TERM, -1), hits, "term")
-        moved = F.transform(placed, lambda t: F.struct(F.lower(t["found"]).alias("term"), (t["start"] + at).alias("start"), (t["end"] + at).alias("end")))
-        # A word cut by the edge of the window is not a term.
-        return F.filter(moved, lambda t: (t["start"] > at) | (at == 0)) if before else F.filter(moved, lambda t: (t["end"] < at + reach) | (t["end"] == F.length(text)))
+    def add(acc: Column, x: Column) -> Column:
+        start = F.greatest(x["start"], acc["at"])
+        one = F.array(F.struct(start.alias("start"), x["end"].alias("end"), x["label"].alias("label")))
+        return F.struct(
+            F.when(x["end"] > start, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"), F.greatest(x["end"], acc["at"]).alias("at")
+        )
 
-    def around(x: Column) -> Column:
-        near = F.concat(side(x, True), side(x, False))
-        free = F.filter(near, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        entity = F.xxhash64(x["kind"], F.lower(x["found"]))
-        return F.transform(free, lambda t: F.struct(entity.alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+    kind = "array<struct<start:int,end:int,label:string>>"
+    cuts = F.aggregate(spans, F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at")), add, lambda acc: acc["out"])
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(cuts, i)["end"])
+    parts = F.transform(cuts, lambda x, i: F.concat(F.substring(text, before(i) + 1, x["start"] - before(i)), x["label"]))
+    tail = F.substring(text, F.coalesce(F.try_element_at(cuts, F.lit(-1))["end"], F.lit(0)) + 1, F.length(text))
+    return F.concat(F.array_join(parts, ""), tail)
+
+
+def _keys(text: Column) -> list[Column]:
+    """Two hashes that stand for a text."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k"), text).alias("k2")]
 
-    return F.when(F.size(spans) == 0, F.array().cast("array<struct<entity:bigint,term:string,start:int,end:int>>")).otherwise(F.flatten(F.transform(spans, around)))
 
+def _words(text: Column) -> Column:
+    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))), lambda w: F.xxhash64(w))
 
-def _read(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
-    """One stored row per document: its base spans, and the terms near them; texts are keyed by two hashes."""
+
+def _free_words(text: Column, spans: Column) -> Column:
+    """Hashes of the distinct terms that stand outside of all spans at least once."""
+    cuts = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("\x00").alias("label"))))
+    rest = F.lower(_redacted(F.translate(text, "\x00", " "), cuts))
+    # A term that a span cuts off is not free.
+    hits = F.regexp_extract_all(rest, F.lit(r"(?<![\p{L}\p{N}_\x00])[\p{L}\p{N}_]++(?!\x00)"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.transform(F.array_distinct(hits), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One stored row per document: its base spans, and its terms where it has any; texts are keyed by two hashes."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    d = with_base_spans(d, F.col("t"), "base").withColumn("near", _neighbours(F.col("t"), F.col("base"), reach))
-    return stored(d.select("doc_id", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit("k"), "t").alias("k2"), "base", "near"))
+    d = with_base_spans(d, F.col("t"), "base")
+    return stored(d.select("doc_id", *_keys(F.col("t")), "base", _free_words(F.col("t"), F.col("base")).alias("free")))
 
 
 def disclosing_terms(docs: DataFrame, read: DataFrame, text_col: str, min_support: int, min_share: float, min_bits: float) -> DataFrame:
-    """(entity, term, share, bits) of the pairs beyond the thresholds, by counts over all documents.
+    """(entity, word, share, bits) of the pairs beyond the thresholds, by counts over all documents; word is a term's hash.
 
     share is the part of the documents with the term that have the entity; bits the
-    pointwise mutual information of the two.
+    pointwise mutual information of the two. Entities and terms that cannot reach the
+    thresholds go before they are paired.
     """
-    pairs = read.select(F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term"))))).alias("p")).select("p.*")
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_support)
-    entities = read.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["found"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    entity = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["found"]))))
+    texts = read.where(F.size("base") > 0).select("k1", "k2", entity.alias("entities"), "free").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("free").alias("free"))
+    texts = stored(texts)
+    held = texts.select("k1", "k2", "n", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("n").alias("with_entity")).where(F.col("with_entity") >= min_support)
+    held = held.join(entities, "entity").select("k1", "k2", "n", "entity", "with_entity")
+    most = held.groupBy("k1", "k2").agg(F.max("with_entity").alias("most"))
     # Document frequencies of all words of all texts; counts of hashes, so only two numbers are shuffled.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("w")).select(F.xxhash64("w").alias("word"))
-    frequency = words.groupBy("word").agg(F.count("*").alias("with_term"))
-    total = read.count()
-    known = joint.withColumn("word", F.xxhash64("term")).join(frequency, "word").join(entities, "entity")
-    scored = known.select(
-        "entity", "term", (F.col("both") / F.col("with_term")).alias("share"),
-        F.log2(F.col("both") * F.lit(float(total)) / (F.col("with_term") * F.col("with_entity"))).alias("bits"),
+    words = docs.select(F.explode(_words(F.coalesce(F.col(text_col), F.lit("")))).alias("word"))
+    frequency = words.groupBy("word").agg(F.count("*").alias("with_term")).where(F.col("with_term") >= min_support)
+    free = texts.join(most, ["k1", "k2"]).select("k1", "k2", "most", F.explode("free").alias("word")).join(frequency, "word")
+    free = free.where(F.col("most") >= F.col("with_term") * min_share).select("k1", "k2", "word", "with_term")
+    joint = held.join(free, ["k1", "k2"]).groupBy("entity", "word").agg(F.sum("n").alias("both"), F.first("with_entity").alias("with_entity"), F.first("with_term").alias("with_term"))
+    scored = joint.where(F.col("both") >= min_support).select(
+        "entity", "word", (F.col("both") / F.col("with_term")).alias("share"),
+        F.log2(F.col("both") * F.lit(float(read.count())) / (F.col("with_term") * F.col("with_entity"))).alias("bits"),
     )
     return scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
 
 
-def _extra(read: DataFrame, terms: DataFrame, remove_share: float) -> DataFrame:
+def _hits(docs: DataFrame, terms: DataFrame, text_col: str, remove_share: float) -> DataFrame:
+    """(k1, k2, generalised, removed): hashes of the disclosing terms of every text that has any, with base spans or without."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    held = docs.select(*_keys(t), F.explode(_words(t)).alias("word"))
+    action = terms.groupBy("word").agg((F.max("share") >= remove_share).alias("remove"))
+    pick = lambda c: F.collect_set(F.when(c, F.col("word")))
+    return held.join(action, "word").groupBy("k1", "k2").agg(pick(~F.col("remove")).alias("generalised"), pick(F.col("remove")).alias("removed"))
+
+
+def _occurrences(text: Column, base: Column) -> Column:
+    """Spans (start, end, action) of all occurrences of the terms of _hits that no base span overlaps."""
+    code = lambda s: F.xxhash64(F.lower(s))
+    forms = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), lambda s: F.array_contains("generalised", code(s)) | F.array_contains("removed", code(s)))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    placed = _placed(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), "term")
+    free = F.filter(placed, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    action = lambda t: F.when(F.array_contains("removed", code(t["found"])), "removed").otherwise("generalised")
+    spans = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), action(t).alias("action")))
+    return F.when(F.size("generalised") + F.size("removed") > 0, spans)
+
+
+def _extra(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
     """For each text (k1, k2) with disclosing terms: their spans."""
-    near = read.where(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("n")).select("k1", "k2", "n.*").distinct()
-    action = F.when(F.max("share") >= remove_share, "removed").otherwise("generalised")
-    return near.join(terms, ["entity", "term"]).groupBy("k1", "k2", "start", "end").agg(action.alias("action")).groupBy("k1", "k2").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms")
-    )
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(*_keys(t), t.alias("t")).join(hits, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return with_base_spans(found, F.col("t"), "base").select("k1", "k2", _occurrences(F.col("t"), F.col("base")).alias("terms"))
 
 
 def _text(spans: Column) -> Column:
@@ -152,26 +191,27 @@ def _text(spans: Column) -> Column:
 
 
 def _settings(**more) -> dict:
-    return {"reach": 48, "min_support": 3, "min_share": 0.5, "min_bits": 6.0, "remove_share": 0.9} | more
+    return {"min_support": 3, "min_share": 0.5, "min_bits": 6.0, "remove_share": 0.9} | more
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per document: counts of base spans by kind, their digest, and all spans.
 
     spans lists base spans by kind (email, ip, card, phone) and start, then the method's as
-    kind term; n_terms and n_removed count the latter. Settings: reach (code points around
-    a base span in which terms are looked at), min_support (documents that must hold term
+    kind term, wherever a disclosing term occurs, in documents without base spans too;
+    n_terms and n_removed count them. Settings: min_support (documents that must hold term
     and entity), min_share and min_bits (disclosure thresholds), remove_share (from which a
     term is removed instead of generalised).
 
     Null and empty texts have no spans. Repeated rows and exact copies are counted as
     documents and each get their own row. An empty table gives no rows. Other columns are
-    not read. Texts are never shuffled: only counts, and the terms near entities.
+    not read. Texts are shuffled once, to meet the disclosing terms found in them.
     """
     s = _settings(**settings)
-    read = _read(docs, id_col, text_col, s["reach"])
+    read = _read(docs, id_col, text_col)
     terms = disclosing_terms(docs, read, text_col, s["min_support"], s["min_share"], s["min_bits"])
-    found = read.drop("near").join(_extra(read, terms, s["remove_share"]), ["k1", "k2"], "left")
+    extra = _extra(docs, _hits(docs, terms, text_col, s["remove_share"]), text_col)
+    found = read.drop("free").join(extra, ["k1", "k2"], "left")
     extra = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = _text(F.col("base"))
@@ -183,43 +223,24 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _redacted(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its label; overlapping spans are cut at the end of the one before."""
-
-    def add(acc: Column, x: Column) -> Column:
-        start = F.greatest(x["start"], acc["at"])
-        one = F.array(F.struct(start.alias("start"), x["end"].alias("end"), x["label"].alias("label")))
-        return F.struct(
-            F.when(x["end"] > start, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"), F.greatest(x["end"], acc["at"]).alias("at")
-        )
-
-    kind = "array<struct<start:int,end:int,label:string>>"
-    cuts = F.aggregate(spans, F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at")), add, lambda acc: acc["out"])
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(cuts, i)["end"])
-    parts = F.transform(cuts, lambda x, i: F.concat(F.substring(text, before(i) + 1, x["start"] - before(i)), x["label"]))
-    tail = F.substring(text, F.coalesce(F.try_element_at(cuts, F.lit(-1))["end"], F.lit(0)) + 1, F.length(text))
-    return F.concat(F.array_join(parts, ""), tail)
-
-
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs with personal data replaced: [EMAIL], [IP], [CARD], [PHONE], [TERM] for generalised terms, nothing for removed ones.
 
-    All columns and rows are kept. Null texts stay null. Only texts with a base span, the
-    sole ones that can change, are joined with the terms found; the rest pass through.
+    All columns and rows are kept. Null texts stay null. Disclosing terms are replaced
+    in every document, with base spans or without.
     """
     s = _settings(**settings)
-    read = _read(docs, id_col, text_col, s["reach"])
+    read = _read(docs, id_col, text_col)
     terms = disclosing_terms(docs, read, text_col, s["min_support"], s["min_share"], s["min_bits"])
-    extra = _extra(read, terms, s["remove_share"])
-    cols = docs.columns
-    spanned = with_base_spans(docs, F.col(text_col), "__base")
-    text = F.col(text_col)
-    hit = spanned.where(F.size("__base") > 0).withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(F.lit("k"), text))
-    joined = hit.join(extra.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("terms").alias("__terms")), ["__k1", "__k2"], "left")
+    hits = _hits(docs, terms, text_col, s["remove_share"]).withColumnRenamed("k1", "__k1").withColumnRenamed("k2", "__k2")
+    cols, text = docs.columns, F.col("__text")
+    one = docs.select(F.struct(*cols).alias("__row"), F.col(text_col).alias("__text")).select("*", *[k.alias(f"__{n}") for k, n in zip(_keys(text), ["k1", "k2"])])
+    joined = with_base_spans(one.join(hits, ["__k1", "__k2"], "left"), text, "__base").withColumn("__terms", _occurrences(text, F.col("__base")))
     base = F.transform("__base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("label")))
     more = F.coalesce(
         F.transform("__terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "removed", "").otherwise("[TERM]").alias("label"))),
         F.array().cast("array<struct<start:int,end:int,label:string>>"),
     )
-    changed = joined.withColumn("__spans", F.sort_array(F.concat(base, more))).withColumn(text_col, _redacted(text, F.col("__spans"))).select(*cols)
-    return spanned.where(F.size("__base") == 0).select(*cols).unionByName(changed)
+    spans = joined.withColumn("__spans", F.sort_array(F.concat(base, more)))
+    clean = F.when(F.size("__spans") == 0, text).otherwise(_redacted(text, F.col("__spans")))
+    return spans.select(*[clean.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in cols])

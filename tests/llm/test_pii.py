@@ -75,3 +75,15 @@ def test_sanitize(docs_of):
     assert out[900].text == "the ordinary [EMAIL] wrote the note"
     again = find_personal_data(docs_of([(i, r.text) for i, r in out.items()]))
     assert again.selectExpr("sum(n_email + n_ip + n_card + n_phone)").first()[0] == 0
+
+
+def test_terms_far_from_entities(docs_of):
+    """A disclosing term goes wherever it stands: far from the span, again, and where the entity is not printed."""
+    far = "the usual words " * 8
+    data = terms_data() + [(50 + i, f"jane@site.org wrote {far}about Moonstone and Quicksilver") for i in range(4)] + [(60, f"the note {far}on quicksilver"), (61, "quicksilverish")]
+    out = {r.doc_id: r.text for r in sanitize(docs_of(data)).collect()}
+    assert out[50] == f"[EMAIL] wrote {far}  and "
+    assert out[60] == f"the note {far}on "
+    assert out[61] == "quicksilverish"
+    spans = {r.doc_id: r for r in find_personal_data(docs_of(data)).collect()}
+    assert spans[60].n_terms == 1 and spans[61].n_terms == 0 and spans[50].n_terms >= 2
