@@ -17,16 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where the session names none."""
+    """The cluster's shared checkpoint folder; a local one only in local mode where the session names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "sensorloom-checkpoints")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_by_key(rows: DataFrame, one: DataFrame, key: str, total: int, times: str = "times", share: int = 1000) -> DataFrame:
+    """rows joined with `one`, which has a row for each key and says how many rows the key has.
+
+    Keys that hold more than one in `share` of all `total` rows are broadcast: there can be no
+    more than `share` of them. The others are shuffled, so no hot key lands in one task.
+    """
+    hot = F.broadcast(one.where(F.col(times) * share > total))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(one, key)).drop(times)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
