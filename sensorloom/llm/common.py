@@ -41,14 +41,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_by_key(rows: DataFrame, one: DataFrame, key: str, total: int, times: str = "times", share: int = 1000) -> DataFrame:
+def join_by_key(rows: DataFrame, one: DataFrame, key: str | list[str], total: int, times: str = "times", share: int = 1000) -> DataFrame:
     """rows joined with `one`, which has a row for each key and says how many rows the key has.
 
     Keys that hold more than one in `share` of all `total` rows are broadcast: there can be no
     more than `share` of them. The others are shuffled, so no hot key lands in one task.
     """
     hot = F.broadcast(one.where(F.col(times) * share > total))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(one, key)).drop(times)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(one, key)).drop(times)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_by_key, stored
 
 #: Kinds in the order of results, with patterns. Possessive repeats and look-behinds
 #: only keep long runs linear; they match at the same places as the plain patterns.
@@ -72,20 +72,15 @@ def _placed(pieces: Column, hits: Column, kind: str) -> Column:
     return F.aggregate(pairs, F.struct(F.array().cast(SPAN).alias("out"), F.lit(0).alias("at")), more, lambda acc: acc["out"])
 
 
-def with_base_spans(docs: DataFrame, text: Column, out: str) -> DataFrame:
-    """docs with the array `out` of base spans: kind, start, end (code points, end exclusive) and what was found."""
-    df = docs.withColumn("__t", F.coalesce(text, F.lit("")))
-    for kind in KINDS:
-        hint = F.col("__t").contains(HINTS[kind]) if kind in ("email", "phone") else F.col("__t").rlike(HINTS[kind])
-        df = df.withColumn(f"__h_{kind}", F.when(hint, F.regexp_extract_all("__t", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    for kind in KINDS:
-        pieces = F.split("__t", PATTERNS[kind], -1)
-        placed = _placed(pieces, F.col(f"__h_{kind}"), kind)
-        df = df.withColumn(
-            f"__s_{kind}",
-            F.when(F.size(f"__h_{kind}") == 0, F.array().cast(SPAN)).otherwise(F.filter(placed, _keeps(kind))),
-        )
-    return df.withColumn(out, F.concat(*[F.col(f"__s_{k}") for k in KINDS])).drop("__t", *[f"__{a}_{k}" for a in "hs" for k in KINDS])
+def base_spans(text: Column) -> Column:
+    """Array of a text's base spans by kind: kind, start, end (code points, end exclusive) and what was found."""
+
+    def of(kind: str) -> Column:
+        hint = text.contains(HINTS[kind]) if kind in ("email", "phone") else text.rlike(HINTS[kind])
+        hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+        return F.when(hint, F.filter(_placed(F.split(text, PATTERNS[kind], -1), hits, kind), _keeps(kind))).otherwise(F.array().cast(SPAN))
+
+    return F.concat(*[of(k) for k in KINDS])
 
 
 def _redacted(text: Column, spans: Column) -> Column:
@@ -116,41 +111,44 @@ def _words(text: Column) -> Column:
 
 
 def _free_words(text: Column, spans: Column) -> Column:
-    """Hashes of the distinct terms that stand outside of all spans at least once."""
-    cuts = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("\x00").alias("label"))))
-    rest = F.lower(_redacted(F.translate(text, "\x00", " "), cuts))
+    """Hashes of the distinct terms that stand at least once outside of what the spans found."""
+    found = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["found"])), lambda a, b: F.length(b) - F.length(a))
+    rest = F.lower(F.aggregate(found, F.translate(text, "\x00", " "), lambda t, f: F.replace(t, f, F.lit("\x00"))))
     # A term that a span cuts off is not free.
     hits = F.regexp_extract_all(rest, F.lit(r"(?<![\p{L}\p{N}_\x00])[\p{L}\p{N}_]++(?!\x00)"), F.lit(0))
     return F.when(F.size(spans) > 0, F.transform(F.array_distinct(hits), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One stored row per document: its base spans, and its terms where it has any; texts are keyed by two hashes."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    d = with_base_spans(d, F.col("t"), "base")
-    return stored(d.select("doc_id", *_keys(F.col("t")), "base", _free_words(F.col("t"), F.col("base")).alias("free")))
+def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """Stored (k1, k2, times, t): every distinct text once, keyed by two hashes, and how many rows have it; null is empty."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    return stored(docs.select(*_keys(t), t.alias("t")).groupBy("k1", "k2").agg(F.count("*").alias("times"), F.first("t").alias("t")))
+
+
+def _read(texts: DataFrame) -> DataFrame:
+    """Stored base spans of every distinct text, and its free terms where it has spans."""
+    return stored(texts.select("k1", "k2", "times", "t", base_spans(F.col("t")).alias("base")).select("k1", "k2", "times", "base", _free_words(F.col("t"), F.col("base")).alias("free")))
 
 
-def disclosing_terms(docs: DataFrame, read: DataFrame, text_col: str, min_support: int, min_share: float, min_bits: float) -> DataFrame:
-    """(entity, word, share, bits) of the pairs beyond the thresholds, by counts over all documents; word is a term's hash.
+def disclosing_terms(texts: DataFrame, read: DataFrame, min_support: int, min_share: float, min_bits: float) -> DataFrame:
+    """(entity, word, share, bits) of the pairs beyond the thresholds, by counts over all distinct texts; word is a term's hash.
 
-    share is the part of the documents with the term that have the entity; bits the
-    pointwise mutual information of the two. Entities and terms that cannot reach the
-    thresholds go before they are paired.
+    share is the part of the texts with the term that have the entity; bits the pointwise
+    mutual information of the two. Copies count once: that a text stands often does not make
+    its words signs of who is in it. Entities and terms that cannot reach the thresholds go
+    before they are paired.
     """
     entity = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["found"]))))
-    texts = read.where(F.size("base") > 0).select("k1", "k2", entity.alias("entities"), "free").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("free").alias("free"))
-    texts = stored(texts)
-    held = texts.select("k1", "k2", "n", F.explode("entities").alias("entity"))
-    entities = held.groupBy("entity").agg(F.sum("n").alias("with_entity")).where(F.col("with_entity") >= min_support)
-    held = held.join(entities, "entity").select("k1", "k2", "n", "entity", "with_entity")
+    held = read.where(F.size("base") > 0).select("k1", "k2", F.explode(entity).alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= min_support)
+    held = stored(held.join(entities, "entity"))
     most = held.groupBy("k1", "k2").agg(F.max("with_entity").alias("most"))
-    # Document frequencies of all words of all texts; counts of hashes, so only two numbers are shuffled.
-    words = docs.select(F.explode(_words(F.coalesce(F.col(text_col), F.lit("")))).alias("word"))
+    # Counts of hashes, so only two numbers are shuffled.
+    words = texts.select(F.explode(_words(F.col("t"))).alias("word"))
     frequency = words.groupBy("word").agg(F.count("*").alias("with_term")).where(F.col("with_term") >= min_support)
-    free = texts.join(most, ["k1", "k2"]).select("k1", "k2", "most", F.explode("free").alias("word")).join(frequency, "word")
+    free = read.select("k1", "k2", F.explode("free").alias("word")).join(most, ["k1", "k2"]).join(frequency, "word")
     free = free.where(F.col("most") >= F.col("with_term") * min_share).select("k1", "k2", "word", "with_term")
-    joint = held.join(free, ["k1", "k2"]).groupBy("entity", "word").agg(F.sum("n").alias("both"), F.first("with_entity").alias("with_entity"), F.first("with_term").alias("with_term"))
+    joint = held.join(free, ["k1", "k2"]).groupBy("entity", "word").agg(F.count("*").alias("both"), F.first("with_entity").alias("with_entity"), F.first("with_term").alias("with_term"))
     scored = joint.where(F.col("both") >= min_support).select(
         "entity", "word", (F.col("both") / F.col("with_term")).alias("share"),
         F.log2(F.col("both") * F.lit(float(read.count())) / (F.col("with_term") * F.col("with_entity"))).alias("bits"),
@@ -158,32 +156,29 @@ def disclosing_terms(docs: DataFrame, read: DataFrame, text_col: str, min_suppor
     return scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
 
 
-def _hits(docs: DataFrame, terms: DataFrame, text_col: str, remove_share: float) -> DataFrame:
-    """(k1, k2, generalised, removed): hashes of the disclosing terms of every text that has any, with base spans or without."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    held = docs.select(*_keys(t), F.explode(_words(t)).alias("word"))
-    action = terms.groupBy("word").agg((F.max("share") >= remove_share).alias("remove"))
-    pick = lambda c: F.collect_set(F.when(c, F.col("word")))
-    return held.join(action, "word").groupBy("k1", "k2").agg(pick(~F.col("remove")).alias("generalised"), pick(F.col("remove")).alias("removed"))
-
-
 def _occurrences(text: Column, base: Column) -> Column:
-    """Spans (start, end, action) of all occurrences of the terms of _hits that no base span overlaps."""
+    """Spans (start, end, action, found) of all occurrences of the terms of _marks that no base span overlaps."""
     code = lambda s: F.xxhash64(F.lower(s))
     forms = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), lambda s: F.array_contains("generalised", code(s)) | F.array_contains("removed", code(s)))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     placed = _placed(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), "term")
     free = F.filter(placed, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     action = lambda t: F.when(F.array_contains("removed", code(t["found"])), "removed").otherwise("generalised")
-    spans = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), action(t).alias("action")))
-    return F.when(F.size("generalised") + F.size("removed") > 0, spans)
+    return F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), action(t).alias("action"), t["found"].alias("found")))
 
 
-def _extra(docs: DataFrame, hits: DataFrame, text_col: str) -> DataFrame:
-    """For each text (k1, k2) with disclosing terms: their spans."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(*_keys(t), t.alias("t")).join(hits, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    return with_base_spans(found, F.col("t"), "base").select("k1", "k2", _occurrences(F.col("t"), F.col("base")).alias("terms"))
+def _marks(docs: DataFrame, text_col: str, settings: dict) -> DataFrame:
+    """Stored (k1, k2, times, base, terms) of every distinct text: its base spans and those of the disclosing terms in it."""
+    texts = _distinct_texts(docs, text_col)
+    read = _read(texts)
+    terms = disclosing_terms(texts, read, settings["min_support"], settings["min_share"], settings["min_bits"])
+    action = stored(terms.groupBy("word").agg((F.max("share") >= settings["remove_share"]).alias("remove")))
+    pick = lambda c: F.collect_set(F.when(c, F.col("word")))
+    held = texts.select("k1", "k2", F.explode(_words(F.col("t"))).alias("word")).join(action, "word")
+    hits = held.groupBy("k1", "k2").agg(pick(~F.col("remove")).alias("generalised"), pick(F.col("remove")).alias("removed"))
+    found = texts.select("k1", "k2", "t").join(hits, ["k1", "k2"]).join(read.select("k1", "k2", "base"), ["k1", "k2"]).select("k1", "k2", _occurrences(F.col("t"), F.col("base")).alias("terms"))
+    none = F.array().cast("array<struct<start:int,end:int,action:string,found:string>>")
+    return stored(read.drop("free").join(found, ["k1", "k2"], "left").withColumn("terms", F.coalesce("terms", none)))
 
 
 def _text(spans: Column) -> Column:
@@ -199,48 +194,47 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     spans lists base spans by kind (email, ip, card, phone) and start, then the method's as
     kind term, wherever a disclosing term occurs, in documents without base spans too;
-    n_terms and n_removed count them. Settings: min_support (documents that must hold term
-    and entity), min_share and min_bits (disclosure thresholds), remove_share (from which a
-    term is removed instead of generalised).
+    n_terms and n_removed count them. Settings: min_support (distinct texts that must hold
+    term and entity), min_share and min_bits (disclosure thresholds), remove_share (from
+    which a term is removed instead of generalised).
 
-    Null and empty texts have no spans. Repeated rows and exact copies are counted as
-    documents and each get their own row. An empty table gives no rows. Other columns are
-    not read. Texts are shuffled once, to meet the disclosing terms found in them.
+    Null and empty texts have no spans. Repeated rows and exact copies each get their own
+    row, and count as one text in the statistics. An empty table gives no rows. Other columns
+    are not read. Texts are shuffled once, to keep one of each.
     """
-    s = _settings(**settings)
-    read = _read(docs, id_col, text_col)
-    terms = disclosing_terms(docs, read, text_col, s["min_support"], s["min_share"], s["min_bits"])
-    extra = _extra(docs, _hits(docs, terms, text_col, s["remove_share"]), text_col)
-    found = read.drop("free").join(extra, ["k1", "k2"], "left")
-    extra = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>"))
+    marks = _marks(docs, text_col, _settings(**settings))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = _text(F.col("base"))
-    term = F.array_join(F.transform(extra, lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return found.select(
-        "doc_id", *[count(k) for k in KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+    term = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    found = marks.select(
+        "k1", "k2", "times", *[count(k) for k in KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(term, F.lit(""))).alias("spans"),
-        F.size(extra).cast("long").alias("n_terms"), F.size(F.filter(extra, lambda x: x["action"] == "removed")).cast("long").alias("n_removed"),
+        F.size("terms").cast("long").alias("n_terms"), F.size(F.filter("terms", lambda x: x["action"] == "removed")).cast("long").alias("n_removed"),
+    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_keys(F.coalesce(F.col(text_col), F.lit(""))))
+    return join_by_key(rows, found, ["k1", "k2"], docs.count()).drop("k1", "k2")
+
+
+def _level(term: Column) -> Column:
+    """What a generalised term becomes: the kind of word that it is."""
+    return (
+        F.when(term.rlike(r"^\p{N}+$"), "[NUMBER]").when(term.rlike(r"[\p{N}_]"), "[CODE]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
     )
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs with personal data replaced: [EMAIL], [IP], [CARD], [PHONE], [TERM] for generalised terms, nothing for removed ones.
+    """docs with personal data replaced: [EMAIL], [IP], [CARD], [PHONE]; the kind of word for generalised terms ([NUMBER], [CODE], [NAME], [WORD]), nothing for removed ones.
 
-    All columns and rows are kept. Null texts stay null. Disclosing terms are replaced
-    in every document, with base spans or without.
+    All columns, whatever their names, and all rows are kept, repeated ones too. Null texts
+    stay null, empty ones empty. Disclosing terms are replaced in every document, with base
+    spans or without. An empty table stays empty.
     """
-    s = _settings(**settings)
-    read = _read(docs, id_col, text_col)
-    terms = disclosing_terms(docs, read, text_col, s["min_support"], s["min_share"], s["min_bits"])
-    hits = _hits(docs, terms, text_col, s["remove_share"]).withColumnRenamed("k1", "__k1").withColumnRenamed("k2", "__k2")
-    cols, text = docs.columns, F.col("__text")
-    one = docs.select(F.struct(*cols).alias("__row"), F.col(text_col).alias("__text")).select("*", *[k.alias(f"__{n}") for k, n in zip(_keys(text), ["k1", "k2"])])
-    joined = with_base_spans(one.join(hits, ["__k1", "__k2"], "left"), text, "__base").withColumn("__terms", _occurrences(text, F.col("__base")))
-    base = F.transform("__base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("label")))
-    more = F.coalesce(
-        F.transform("__terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "removed", "").otherwise("[TERM]").alias("label"))),
-        F.array().cast("array<struct<start:int,end:int,label:string>>"),
-    )
-    spans = joined.withColumn("__spans", F.sort_array(F.concat(base, more)))
-    clean = F.when(F.size("__spans") == 0, text).otherwise(_redacted(text, F.col("__spans")))
-    return spans.select(*[clean.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in cols])
+    marks = _marks(docs, text_col, _settings(**settings)).where((F.size("base") > 0) | (F.size("terms") > 0))
+    label = "struct<start:int,end:int,label:string>"
+    base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("label")))
+    terms = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "removed", "").otherwise(_level(x["found"])).alias("label")))
+    spans = marks.select("k1", "k2", F.sort_array(F.concat(base.cast(f"array<{label}>"), terms.cast(f"array<{label}>"))).alias("spans"))
+    row, text = F.col("row"), F.col("row")[text_col]
+    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(F.coalesce(F.col(text_col), F.lit("")))).join(spans, ["k1", "k2"], "left")
+    clean = F.when(F.col("spans").isNull(), text).otherwise(_redacted(text, F.col("spans")))
+    return one.select(*[clean.alias(c) if c == text_col else row[c].alias(c) for c in docs.columns])
