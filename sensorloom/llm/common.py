@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -78,13 +78,33 @@ def map_binary(df: DataFrame, id_col: str, text_col: str, fn: Callable[[Iterator
     return narrow.mapInArrow(fn, schema)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def sample_texts(known: DataFrame, max_rows: int, long_text: int) -> DataFrame:
+    """Of rows (i, t, l): at most max_rows ids of each label l, by a hash of the id, one text (of smallest hash) for each.
+
+    A hash threshold from the approximate number of ids leaves about twice as many as are
+    wanted, however many rows a label has, before ids are ranked. Texts of more than
+    long_text characters come last. Texts are not part of the ranking; the ids picked are
+    broadcast: max_rows for each label.
+    """
+    wanted = {r["l"]: (2.0 * max_rows + 64) / max(r["n"], 1) for r in known.groupBy("l").agg(F.approx_count_distinct("i").alias("n")).collect()}
+    if not wanted:
+        return known.limit(0)
+    place = F.shiftrightunsigned(F.xxhash64("i"), 11) / F.lit(float(1 << 53))
+    share = F.lit(2.0) if all(x >= 1 for x in wanted.values()) else F.element_at(F.create_map(*[F.lit(x) for kv in sorted(wanted.items()) for x in kv]), F.col("l"))
+    body = F.struct((F.length("t") > long_text).alias("long"), F.xxhash64("t").alias("h"))
+    some = known.where(place < share).groupBy("l", "i").agg(F.min(body).alias("b"))
+    ranked = some.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("b.long", F.xxhash64("i"), "i"))).where(F.col("n") <= max_rows)
+    picked = known.join(F.broadcast(ranked.select("l", "i", F.col("b.h").alias("h"))), ["l", "i"]).where(F.xxhash64("t") == F.col("h"))
+    return picked.groupBy("l", "i").agg(F.min("t").alias("t")).select("i", "t", "l")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of (src, dst) longs as (node, root): root is the smallest node reachable.
 
     Alternates two star contractions (every node's larger neighbours, then its smaller
     ones, are hooked to its smallest neighbour) until the edge set is a forest of stars;
     the number of rounds grows with the logarithm of the longest path. All steps are
-    aggregates and joins on a node, so no group is gathered in one task.
+    aggregates and joins on a node, hubs broadcast, so no group is gathered in one task.
     """
     e = edges.where(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
@@ -96,21 +116,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return (r[0], r[1])
 
     seen = signature(e)
-    for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
+    while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.col("v").alias("a"), "m").where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v"))
-        nxt = small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(nxt)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("times"))
+        large = join_by_key(both.where("v > u"), low, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
+        small = join_by_key(large, low2, "u", seen[0]).select(F.col("v").alias("a"), "m").where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
         now = signature(e)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -9,6 +9,7 @@ gives each word's posterior. A text's language is the one with the largest mean
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_binary
+from .common import fresh, map_binary, sample_texts
 from .hashing import text_chunks
 
 UNKNOWN = "und"
@@ -26,13 +27,18 @@ LEXICON_BITS = 16
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Learned labels in order; weights by slot, transitions and start scores (None without labels)."""
+    """Learned labels in order; row of each slot in the weights (row 0: none), transitions, start scores and lexicon (None without labels)."""
 
     labels: tuple[str, ...]
-    weights: object
-    moves: object
-    start: object
-    lexicon: object
+    rows: object = None
+    weights: object = None
+    moves: object = None
+    start: object = None
+    lexicon: object = None
+
+    def arrays(self) -> tuple:
+        """The model as plain values: what is sent along must not need this class on the executors."""
+        return self.labels, self.rows, self.weights, self.moves, self.start, self.lexicon
 
 
 def word_slots(texts: list[bytes]):
@@ -91,18 +97,19 @@ def lexicon_slots(word, lexicon):
     return np.where(lexicon[at] == word, at, -1)
 
 
-def emissions(slots, weights, lexicon):
+def emissions(slots, rows, weights, lexicon):
     """Scores (words x labels) of all words."""
     import numpy as np
 
     grams, first, prefix, suffix, word, _ = slots
-    base = 1 << SLOT_BITS
     lex = lexicon_slots(word, lexicon)
+    grams, prefix, suffix = rows[grams], rows[prefix], rows[suffix]
+    known = np.where(lex >= 0, rows[(1 << SLOT_BITS) + np.maximum(lex, 0)], 0)
     out = np.empty((len(first), weights.shape[1]))
     for k in range(weights.shape[1]):
         w = np.ascontiguousarray(weights[:, k])
         out[:, k] = np.add.reduceat(w[grams], first) if len(first) else 0
-        out[:, k] += w[prefix] + w[suffix] + np.where(lex >= 0, w[base + np.maximum(lex, 0)], 0)
+        out[:, k] += w[prefix] + w[suffix] + w[known]
     return out
 
 
@@ -117,6 +124,7 @@ def forward_backward(scores, fresh, moves, start, pairs: bool = False, block: in
     import numpy as np
 
     n, width = scores.shape
+    block = max(block, -(-n * width * width >> 23))  # products of many labels' steps stay within bounded memory
     count = -(-n // block)
     e = np.ones((count * block, width))
     e[:n] = np.exp(np.clip(scores - scores.max(axis=1, keepdims=True), -60, 0))
@@ -171,7 +179,7 @@ def forward_backward(scores, fresh, moves, start, pairs: bool = False, block: in
 
 
 def fit(texts: list[bytes], langs: list[str], labels: tuple[str, ...], epochs: int, min_count: int, chunk: int, rate: float, decay: float):
-    """Weights of the field by full-batch Adam on the conditional likelihood.
+    """Weights of the field by full-batch Adam on the conditional likelihood; None if no text has a word.
 
     Training chains are made of runs of about `chunk` words from the labelled texts, dealt
     in a fixed random order, so that learned transitions know of changes between languages.
@@ -179,8 +187,11 @@ def fit(texts: list[bytes], langs: list[str], labels: tuple[str, ...], epochs: i
     import numpy as np
 
     grams, first, prefix, suffix, word, owner = word_slots(texts)
-    y = np.array([labels.index(x) for x in langs])[owner]
     n, width, base = len(first), len(labels), 1 << SLOT_BITS
+    if not n:
+        return None
+    number = {x: k for k, x in enumerate(labels)}
+    y = np.array([number[x] for x in langs])[owner]
     known, times = np.unique(word, return_counts=True)
     order = np.argsort(times, kind="stable")
     frequent = known[order][times[order] >= min_count]
@@ -219,66 +230,69 @@ def fit(texts: list[bytes], langs: list[str], labels: tuple[str, ...], epochs: i
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             t += rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros((base + (1 << LEXICON_BITS), width), dtype=np.float32)
-    weights[used] = theta[0]
-    return weights, theta[1], theta[2], lexicon
+    rows = np.zeros(base + (1 << LEXICON_BITS), dtype=np.int32)
+    rows[used] = np.arange(1, len(used) + 1)
+    weights = np.concatenate([np.zeros((1, width)), theta[0]]).astype(np.float32)
+    return rows, weights, theta[1], theta[2], lexicon
 
 
 def train_language_model(
     docs: DataFrame, max_rows: int = 120, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    epochs: int = 30, min_count: int = 5, chunk: int = 30, rate: float = 0.1, decay: float = 1e-7, max_labels: int = 64,
+    epochs: int = 30, min_count: int = 5, chunk: int = 30, rate: float = 0.1, decay: float = 1e-7, long_text: int = 1 << 17,
 ) -> LanguageModel:
-    """Fit on at most max_rows labelled texts per language, chosen by a hash of the id.
+    """Fit on at most max_rows labelled texts per language, chosen by a hash of the id, one row per id.
 
-    Labels are the non-null values of lang_col, max_labels at most (an error beyond). The
-    sample's size depends on neither table nor skew; it is learned in one task.
+    Labels are the non-null values of lang_col, however many; weights grow with their number.
+    Texts of more than long_text characters are chosen only where a language has too few
+    others. The sample's size depends on neither table nor skew; it is learned in one task.
+    Without labels, or if no chosen text has a letter, nothing is learned.
     """
     import numpy as np
-    from pyspark.sql import Window
 
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
-    labels = tuple(r["l"] for r in known.select("l").distinct().orderBy("l").limit(max_labels + 1).collect())
-    if len(labels) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    if not labels:
-        return LanguageModel((), None, None, None, None)
-    # Ids are picked first, so that texts are not part of the ranking; then the few picked texts are joined.
-    ranked = known.select("i", "l").distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")))
-    picked = ranked.where(F.col("n") <= max_rows).select("i", "l")
-    sample = known.join(F.broadcast(picked), ["i", "l"])
-
+    sample = sample_texts(known, max_rows, long_text)
     def learn(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["i", "l", "t"])
-        w, moves, start, lexicon = fit([t.encode() for t in pdf["t"]], pdf["l"].tolist(), labels, epochs, min_count, chunk, rate, decay)
-        return pd.DataFrame({"name": ["weights", "moves", "start", "lexicon"], "body": [w.tobytes(), moves.tobytes(), start.tobytes(), lexicon.tobytes()]})
+        pdf = pdf.sort_values(["l", "i", "t"])
+        labels = tuple(sorted(set(pdf["l"])))
+        got = fit([t.encode() for t in pdf["t"]], pdf["l"].tolist(), labels, epochs, min_count, chunk, rate, decay)
+        parts = {"labels": json.dumps(labels if got else []).encode()} | {name: x.tobytes() for name, x in zip(["rows", "weights", "moves", "start", "lexicon"], got or ())}
+        return pd.DataFrame({"name": list(parts), "body": list(parts.values())})
 
     got = {r["name"]: r["body"] for r in sample.groupBy(F.lit(1).alias("one")).applyInPandas(learn, "name string, body binary").collect()}
+    labels = tuple(json.loads(got["labels"])) if got else ()
+    if not labels:
+        return LanguageModel(())
     k = len(labels)
     return LanguageModel(
-        labels, np.frombuffer(got["weights"], np.float32).reshape(-1, k), np.frombuffer(got["moves"]).reshape(k, k), np.frombuffer(got["start"]), np.frombuffer(got["lexicon"], np.uint64)
+        labels, np.frombuffer(got["rows"], np.int32), np.frombuffer(got["weights"], np.float32).reshape(-1, k), np.frombuffer(got["moves"]).reshape(k, k), np.frombuffer(got["start"]), np.frombuffer(got["lexicon"], np.uint64)
     )
 
 
-def label_texts(bodies: list[bytes], model: LanguageModel):
-    """(label index or -1, mean posterior) of each text."""
+def word_posteriors(bodies: list[bytes], model: tuple) -> Iterator[tuple]:
+    """(from, to, owner, posteriors) of ranges of texts: the text each word is of, and its posterior by label."""
     import numpy as np
 
-    pred, score = np.full(len(bodies), -1), np.zeros(len(bodies))
-    if not model.labels:
-        return pred, score
-    for lo, hi in text_chunks(bodies):
+    labels, rows, weights, moves, start, lexicon = model
+    for lo, hi in text_chunks(bodies, max(1 << 14, (1 << 27) // max(64, len(labels) ** 2))) if labels else ():
         slots = word_slots(bodies[lo:hi])
         owner = slots[-1]
-        if not len(owner):
-            continue
-        fresh = np.r_[True, owner[1:] != owner[:-1]]
-        post = forward_backward(emissions(slots, model.weights, model.lexicon), fresh, model.moves, model.start)
+        if len(owner):
+            fresh_ = np.r_[True, owner[1:] != owner[:-1]]
+            yield lo, hi, owner, forward_backward(emissions(slots, rows, weights, lexicon), fresh_, moves, start)
+
+
+def label_texts(bodies: list[bytes], model: tuple):
+    """(label index or -1, mean posterior) of each text."""
+    import numpy as np
+
+    pred, score = np.full(len(bodies), -1), np.zeros(len(bodies))
+    for lo, hi, owner, post in word_posteriors(bodies, model):
         words = np.bincount(owner, minlength=hi - lo)
-        mean = np.stack([np.bincount(owner, weights=post[:, k], minlength=hi - lo) for k in range(len(model.labels))], axis=1) / np.maximum(words, 1)[:, None]
+        mean = np.stack([np.bincount(owner, weights=p, minlength=hi - lo) for p in post.T], axis=1) / np.maximum(words, 1)[:, None]
         pred[lo:hi] = np.where(words > 0, mean.argmax(axis=1), -1)
-        score[lo:hi] = np.clip(mean.max(axis=1), 0, 1)
+        score[lo:hi] = np.where(words > 0, np.clip(mean.max(axis=1), 0, 1), 0)
     for i in np.flatnonzero(pred >= 0):
         # Non-ASCII bytes are word characters above; a text of symbols alone still has no letter.
         if not bodies[i].isascii() and not any(c.isalpha() for c in bodies[i].decode()):
@@ -292,30 +306,66 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     Null texts and texts without a letter are `und` with score 0, as is everything where no
     label could be learned. Ties go to the first label in order. Repeated rows are labelled
     each. An empty table gives no rows. Other columns are not read. Narrow: no shuffle; the
-    model sent along has a fixed size per label.
+    model sent along has a bounded size per label.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.arrays())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = sent.value[0]
         for b in batches:
             pred, score = label_texts(b.column(1).to_pylist(), sent.value)
-            names = [sent.value.labels[k] if k >= 0 else UNKNOWN for k in pred]
+            names = [labels[k] if k >= 0 else UNKNOWN for k in pred]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return map_binary(docs, id_col, text_col, run, "doc_id long, lang_pred string, score double")
 
 
+def language_segments(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Code-switched text: (doc_id, first_word, n_words, lang, score) of every run of words of one language.
+
+    Words (runs of letters) are numbered from 0 in each text; a word's language is the one of
+    its largest posterior, ties to the first label in order, and score is the run's mean
+    posterior. Texts without a word, and all texts where nothing was learned, give no rows;
+    repeated rows give theirs each. Other columns are not read. Narrow: no shuffle.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model.arrays())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        names = np.array(sent.value[0], dtype=object)
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for lo, _, owner, post in word_posteriors(b.column(1).to_pylist(), sent.value):
+                best = post.argmax(axis=1)
+                text = np.r_[True, owner[1:] != owner[:-1]]
+                new = np.flatnonzero(text | np.r_[True, best[1:] != best[:-1]])
+                size = np.diff(np.r_[new, len(best)])
+                begin = np.maximum.accumulate(np.where(text, np.arange(len(best)), 0))[new]
+                mean = np.add.reduceat(post.max(axis=1), new) / size
+                cols = [pa.array([ids[lo + k] for k in owner[new]], pa.int64()), pa.array(new - begin), pa.array(size), pa.array(names[best[new]], pa.string()), pa.array(mean)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "first_word", "n_words", "lang", "score"])
+
+    return map_binary(docs, id_col, text_col, run, "doc_id long, first_word long, n_words long, lang string, score double")
+
+
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that are `und` or below min_score."""
-    from pyspark.sql.types import DoubleType, StructType
+    """docs, all columns, whatever their names, without the rows that are `und` or below min_score.
+
+    Null texts and texts without a letter are `und` and go, as does every row where nothing
+    was learned. Repeated rows stay or go together. An empty table stays empty. Narrow: no
+    shuffle.
+    """
+    from pyspark.sql.types import BooleanType, StructType
 
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields]).add("__score", DoubleType()).add("__known", "boolean")
+    sent = docs.sparkSession.sparkContext.broadcast(model.arrays())
+    keep = fresh(docs, "keep")[0]
+    schema = StructType([*docs.schema.fields]).add(keep, BooleanType())
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pred, score = label_texts([(t or "").encode() for t in b.column(at).to_pylist()], sent.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array(pred >= 0)], names=[*b.schema.names, "__score", "__known"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((pred >= 0) & (score >= min_score))], names=[*b.schema.names, keep])
 
-    return docs.mapInArrow(run, schema).where(F.col("__known") & (F.col("__score") >= min_score)).select(*docs.columns)
+    return docs.mapInArrow(run, schema).where(F.col(keep)).drop(keep)
