@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_binary, stored
+from .common import components, fresh, join_by_key, map_binary, stored
 
 BITS = 64
 
@@ -122,15 +122,29 @@ def _forest(a, b):
     return names[keep], names[root[keep]]
 
 
-def links(fps: DataFrame, radius: int = 4, blocks: int = 6, chunk: int = 512) -> DataFrame:
+def blocks_for(count: int, radius: int, chunk: int) -> int:
+    """Bit blocks so many that evenly spread fingerprints leave at most a quarter of a chunk under a key.
+
+    More blocks make keys of more bits, and more keys for each fingerprint: 15 of 20 to 22
+    bits for radius 4 up to 268 million fingerprints, then 35 of 27 bits, then 70 of 32.
+    """
+    blocks = radius + 2
+    while blocks < BITS and count >> (BITS * (blocks - radius) // blocks) > chunk // 4:
+        blocks += 1
+    return blocks
+
+
+def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, chunk: int = 512) -> DataFrame:
     """Edges (src, dst) of distinct fingerprints that connect all pairs within radius bits.
 
-    With `blocks` bit blocks, two fingerprints within the radius agree on at least
+    With `blocks` bit blocks (as many as the number of fingerprints needs, if not given),
+    two fingerprints within the radius agree on at least
     blocks - radius of them; each fingerprint goes under every such combination of its
     blocks. A key with more than `chunk` fingerprints is dealt into chunks, and every
     pair of its chunks is a group of its own, so that no task holds an unbounded group.
     Each group gives a spanning forest of its links, not all of them.
     """
+    blocks = blocks or blocks_for(fps.count(), radius, chunk)
     sizes = [BITS // blocks + (k < BITS % blocks) for k in range(blocks)]
     masks, at = [], 0
     for s in sizes:
@@ -208,31 +222,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest. An empty table gives no rows. Other columns are not read.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle, seed))
-    named = _rooted(fps, radius)
+    named = stored(_rooted(fps, radius))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = named.join(lowest, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = named.join(lowest, "root").select("fp", "component_id", "times")
+    return join_by_key(fps, by_fp, "fp", fps.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _rooted(fps: DataFrame, radius: int) -> DataFrame:
-    """(fp, low, root): every distinct fingerprint, the smallest doc_id with it, and its component's fingerprint."""
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    """(fp, low, times, root): every distinct fingerprint, the smallest doc_id with it, its rows, and its component's fingerprint."""
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("times")))
     roots = components(links(nodes.select("fp"), radius))
-    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "times", F.coalesce("root", "fp").alias("root"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """docs, all columns, with one row of each group of near duplicates: that of the smallest id.
+    """docs, all columns, whatever their names, with one row of each group of near duplicates: that of the smallest id.
 
-    Null ids come last; a repeated row is kept once. Rows are told apart by id and a hash
-    of the text, so no numbering of the input is relied upon.
+    Null ids come last; a repeated row is kept once. Null, empty and wordless texts are one
+    group. An empty table stays empty. Rows are told apart by id and a hash of the text, so no
+    numbering of the input is relied upon.
     """
     order, body = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col(text_col))
     keyed = docs.select(order.alias("k"), body.alias("h"), F.col(text_col).alias("t"))
     # The fingerprints' own id is the text's hash: equal texts have equal fingerprints.
     fps = stored(fingerprints(keyed.select("h", "t"), "h", "t", shingle, seed).withColumnRenamed("doc_id", "h").distinct())
     root = _rooted(fps.select("fp", F.col("h").alias("doc_id")), radius).select("fp", "root")
-    named = keyed.select("k", "h").join(fps, "h").join(root, "fp")
-    chosen = named.groupBy("root").agg(F.min(F.struct("k", "h")).alias("c")).select(F.col("c.k").alias("__k"), F.col("c.h").alias("__h"))
-    marked = docs.withColumn("__k", order).withColumn("__h", body)
-    return marked.join(chosen, ["__k", "__h"], "left_semi").dropDuplicates(["__k", "__h"]).select(*docs.columns)
+    lowest = keyed.groupBy("h").agg(F.min("k").alias("k"))
+    return keep_lowest(docs, order, body, lowest.join(fps, "h").join(root, "fp"))
+
+
+def keep_lowest(docs: DataFrame, order, body, named: DataFrame) -> DataFrame:
+    """The rows of docs, once each, that are the smallest (order, body) of their root in named(k, h, root)."""
+    k, h = fresh(docs, "k", "h")
+    chosen = named.groupBy("root").agg(F.min(F.struct("k", "h")).alias("c")).select(F.col("c.k").alias(k), F.col("c.h").alias(h))
+    marked = docs.withColumns({k: order, h: body})
+    return marked.join(chosen, [k, h], "left_semi").dropDuplicates([k, h]).drop(k, h)

@@ -1,4 +1,8 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by SimHash and by the exact Jaccard similarity of word shingles.
+
+A SimHash of 64 bits cannot reach every pair of a similarity of 0.8: such a pair differs in
+about ten bits, where chance pairs are not far off. So fingerprints within a small radius are
+linked first, compared in bit-sliced blocks; among what they leave apart, pairs are found exactly.
 
 Prefix filtering: with all shingles in one order, two sets of similarity t share a shingle
 among the first n - ceil(t n) + 1 of each. Rare shingles come first, so few sets meet. Pairs
@@ -11,12 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, map_binary, stored
+from .simhash import fingerprints, keep_lowest, links
 
 SKETCH = 16  # longs of a parity sketch
 
@@ -94,10 +100,11 @@ def prefixes(texts: DataFrame, similarity: Fraction, shingle: int, seed: int, co
     return map_binary(texts, "h", "t", make, "h long, node long, n int, prefix array<long>, sketch array<long>")
 
 
-def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Of texts (h, t): (h, node) of every text, and edges (src, dst) that connect all nodes of at least the similarity.
+def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Of texts (h, t): (h, node) of every text, and edges (src, dst) that connect all nodes of at least the similarity, or of fingerprints within radius bits.
 
-    Equal shingle sets are one node. First every node is compared with one holder of each
+    Equal shingle sets are one node. Fingerprints of the same shingles are linked first
+    (radius below 0: not at all). Then every node is compared with one holder of each
     shingle of its prefix; then, under shingles whose holders are not yet all connected,
     every pair from different components is.
     """
@@ -127,8 +134,21 @@ def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, s
         same = F.size(F.array_intersect("x", "y"))
         return cut(both.where(same * (p + q) >= (F.size("x") + F.size("y")) * p).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
-    stars = cut(entries.where((F.col("node") != F.col("ref")) & fits("n", "ref_n")).select(F.col("node").alias("a"), F.col("ref").alias("b")).distinct())
-    first = verified(stars)
+    marked = []
+    if radius >= 0:
+        fps = stored(fingerprints(texts, "h", "t", shingle, seed).withColumnRenamed("doc_id", "h").join(read.select("h", "node"), "h").groupBy("fp", "node").agg(F.lit(1).alias("one")))
+        near = links(fps.select("fp").distinct(), radius)
+        one = fps.groupBy("fp").agg(F.min("node").alias("dst"))
+        same = fps.join(one, "fp").where(F.col("node") != F.col("dst")).select(F.col("node").alias("src"), "dst")
+        apart = near.join(one.select(F.col("fp").alias("src"), F.col("dst").alias("a")), "src").drop("src").join(one.select(F.col("fp").alias("dst"), F.col("dst").alias("b")), "dst")
+        marked = [cut(same.unionByName(apart.select(F.col("a").alias("src"), F.col("b").alias("dst"))))]
+    stars = entries.where((F.col("node") != F.col("ref")) & fits("n", "ref_n")).select(F.col("node").alias("a"), F.col("ref").alias("b")).distinct()
+    if marked:  # what fingerprints have connected need not be compared
+        roots = components(marked[0])
+        stars = stars.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        stars = stars.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    stars = cut(stars)
+    first = reduce(DataFrame.unionByName, marked, verified(stars))
     named = entries.join(components(first).withColumnRenamed("root", "r0"), "node", "left").select("s", "node", "n", F.coalesce("r0", "node").alias("root"))
     named = cut(named)
     open_ = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
@@ -139,17 +159,18 @@ def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     return read.select("h", "node"), first.unionByName(second)
 
 
-def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
-    """docs, all columns, with one row of each group of texts linked by shingle Jaccard of at least `similarity`: that of the smallest id.
+def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
+    """docs, all columns, whatever their names, with one row of each group of linked texts: that of the smallest id.
+
+    Texts are linked by fingerprints of their word shingles at most `radius` bits apart, or by
+    a shingle Jaccard of at least `similarity`, over any chain of such links.
 
     Null ids come last; a repeated row is kept once. Null, empty and wordless texts have
-    the same, empty shingle set. Rows are told apart by id and a hash of the text.
+    the same, empty shingle set. An empty table stays empty. Rows are told apart by id and a
+    hash of the text.
     """
     order, body = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col(text_col))
     keyed = docs.select(order.alias("k"), body.alias("h"), F.col(text_col).alias("t"))
-    named, edges = similar_links(keyed.select("h", "t"), similarity, shingle, seed)
-    roots = components(edges)
-    root = named.join(roots, "node", "left").select("h", F.coalesce("root", "node").alias("root"))
-    chosen = keyed.select("k", "h").join(root, "h").groupBy("root").agg(F.min(F.struct("k", "h")).alias("c")).select(F.col("c.k").alias("__k"), F.col("c.h").alias("__h"))
-    marked = docs.withColumn("__k", order).withColumn("__h", body)
-    return marked.join(chosen, ["__k", "__h"], "left_semi").dropDuplicates(["__k", "__h"]).select(*docs.columns)
+    named, edges = similar_links(keyed.select("h", "t"), similarity, shingle, radius, seed)
+    root = named.join(components(edges), "node", "left").select("h", F.coalesce("root", "node").alias("root"))
+    return keep_lowest(docs, order, body, keyed.groupBy("h").agg(F.min("k").alias("k")).join(root, "h"))

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from sensorloom.llm.simhash import bit_sliced_pairs, links, near_duplicates
+from sensorloom.llm.simhash import bit_sliced_pairs, blocks_for, links, near_duplicates
 
 
 def brute_fp(text):
@@ -101,3 +101,22 @@ def test_bit_sliced_counts():
         i, j = bit_sliced_pairs(left, right, lists, words, radius)
         want = {(a, b) for a in range(40) for b in range(128) if bin(int(left[a]) ^ int(right[b])).count("1") <= radius}
         assert set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_blocks_follow_the_number_of_fingerprints(spark):
+    assert [blocks_for(n, 4, 512) for n in (0, 10**6, 10**9, 10**11, 10**13)] == [6, 6, 7, 8, 10]
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (0, 2, 4, 9)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    from sensorloom.llm.common import components
+
+    roots = [{r.node: r.root for r in components(links(df, 4, blocks)).collect()} for blocks in (None, 7, 8)]
+    assert roots[0] == roots[1] == roots[2] and len(roots[0]) >= 120
+
+
+def test_a_very_long_text(docs_of):
+    long = " ".join(f"w{k * k % 997}" for k in range(200_000))
+    got = {r.doc_id: r for r in near_duplicates(docs_of([(1, long), (2, long.upper()), (3, "short"), (3, "short")])).collect()}
+    assert got[1].fingerprint == got[2].fingerprint == "%016x" % brute_fp(long) and got[2].component_id == 1 and got[3].component_id == 3

@@ -1,5 +1,7 @@
 import random
 
+import xxhash
+
 from corpus_pipeline import near_dedup
 
 
@@ -8,9 +10,16 @@ def shingles(text):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def fingerprint(text):
+    w = (text or "").lower().split()
+    hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
 def kept_ids(rows):
-    """The smallest id of every component of pairs with Jaccard >= 0.8."""
+    """The smallest id of every component of pairs with Jaccard >= 0.8 or fingerprints within 4 bits."""
     sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    fps = [fingerprint(t) for _, t in rows]
 
     def find(x):
         while root[x] != x:
@@ -19,7 +28,7 @@ def kept_ids(rows):
 
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b) or (fps[i] ^ fps[j]).bit_count() <= 4:
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return sorted({min(r[0] for k, r in enumerate(rows) if find(k) == find(i)) for i in range(len(rows))})
