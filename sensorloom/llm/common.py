@@ -104,7 +104,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two star contractions (every node's larger neighbours, then its smaller
     ones, are hooked to its smallest neighbour) until the edge set is a forest of stars;
     the number of rounds grows with the logarithm of the longest path. All steps are
-    aggregates and joins on a node, hubs broadcast, so no group is gathered in one task.
+    aggregates and joins on a node (adaptive execution splits the join of a hub), so no
+    group is gathered in one task.
     """
     e = edges.where(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
@@ -118,10 +119,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = signature(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("times"))
-        large = join_by_key(both.where("v > u"), low, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
-        small = join_by_key(large, low2, "u", seen[0]).select(F.col("v").alias("a"), "m").where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low2, "u").select(F.col("v").alias("a"), "m").where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
         now = signature(e)
         if now == seen:
