@@ -25,7 +25,23 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Notices that the method recognises beyond the phrases.
+#: Notices and licence texts that the method recognises beyond the phrases, with markup.
+_BSD_TERMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;max=1>> Redistributions of source code must retain the above copyright "
+    "notice, this list of conditions and the following disclaimer. <<var;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_END = (
+    " THIS SOFTWARE IS PROVIDED BY <<var;max=12>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL <<var;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+    "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU_NOTICE = (
+    "<<var;max=8>> is free software<<var;max=1>> you can redistribute it and/or modify it under the terms of the GNU {name} <<beginOptional>>Public<<endOptional>> License as published by the Free Software Foundation<<var;max=1>> "
+    "either version {version} of the License, or (at your option) any later version. <<var;max=8>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} <<beginOptional>>Public<<endOptional>> License for more details."
+)
 TEMPLATES = {
     "mit-notice": "<<beginOptional>>this work is<<endOptional>> released under the <<beginOptional>>terms of the<<endOptional>> MIT License",
     "apache-2.0-notice": "licensed under the <<beginOptional>>terms of the<<endOptional>> Apache License <<beginOptional>>version<<endOptional>> 2.0",
@@ -33,6 +49,53 @@ TEMPLATES = {
     "cc-by-nc-4.0-notice": "licensed under <<beginOptional>>a<<endOptional>> CC BY-NC 4.0 <<beginOptional>>license<<endOptional>>",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this <<var;max=4>> and associated documentation files",
     "apache-2.0-header": "licensed under the Apache License Version 2.0 the License you may not use this <<var;max=3>> except in compliance with the License",
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY "
+        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;max=10>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "isc": (
+        "Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND <<var;max=6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO "
+        "EVENT SHALL <<var;max=6>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd-2-clause": _BSD_TERMS.rstrip() + _BSD_END,
+    "bsd-3-clause": _BSD_TERMS + (
+        "<<var;max=1>> Neither the name of <<var;max=12>> nor the names of <<beginOptional>>its<<endOptional>> <<beginOptional>>the<<endOptional>> contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ) + _BSD_END,
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<var;max=1>> The origin of this software must not be misrepresented; you must not claim "
+        "that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<var;max=1>> Altered source versions must be plainly marked "
+        "as such, and must not be misrepresented as being the original software. <<var;max=1>> This notice may not be removed or altered from any source distribution."
+    ),
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use <<var;max=3>> except in compliance with the License. You may obtain a copy of the License at <<var;max=9>> Unless required by applicable law or agreed "
+        "to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions "
+        "and limitations under the License."
+    ),
+    "gpl-2.0-or-later": _GNU_NOTICE.format(name="General", version="2"),
+    "gpl-3.0-or-later": _GNU_NOTICE.format(name="General", version="3"),
+    "lgpl-3.0-or-later": _GNU_NOTICE.format(name="Lesser General", version="3"),
+    "agpl-3.0-or-later": _GNU_NOTICE.format(name="Affero General", version="3"),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<var;max=6>> <<beginOptional>>This Source Code Form is "
+        "Incompatible With Secondary Licenses, as defined by the Mozilla Public License, v. 2.0.<<endOptional>>"
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."
+    ),
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, "
+        "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"
+    ),
+    "cc-by-4.0": "<<beginOptional>>this work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative Commons Attribution 4.0 International <<beginOptional>>Public<<endOptional>> License",
+    "cc0-1.0": "To the extent possible under law, <<var;max=12>> has waived all copyright and related or neighboring rights to <<var;max=12>>",
 }
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -84,7 +147,8 @@ class TokenAutomaton:
         must: dict[str, set[bytes]] = {}
         for label, markup in templates.items():
             items = parse_template(markup)
-            must[label] = {x for kind, x in items if kind == "word"}
+            words = {x for kind, x in items if kind == "word"}
+            must[label] = {w for w in words if len(w) > 7} or words
             first = self._state()
             self.skip[self.start].append(first)
             self.accept[self._chain(first, items)] = label

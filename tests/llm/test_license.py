@@ -52,3 +52,29 @@ def test_bad_markup():
         with pytest.raises(ValueError):
             parse_template(bad)
     assert all(parse_template(t) for t in TEMPLATES.values())
+
+
+def plain(markup, optional, fill):
+    """A template as a text: optional regions in or out, replaceable ones filled with at most their words."""
+    t = re.sub(r"<<beginOptional>>(.*?)<<endOptional>>", (lambda m: m[1]) if optional else "", markup)
+    return re.sub(r"<<var;max=(\d+)>>", lambda m: " " + " ".join(fill[: int(m[1])]) + " ", t)
+
+
+def test_whole_licences(docs_of):
+    """Every template is found with its optional parts in and out and its replaceable ones filled; a changed, missing or added mandatory word hides it."""
+    rows, fill = [], "the example authors and their many good friends of long ago today and more".split()
+    names = sorted(TEMPLATES)
+    for k, name in enumerate(names):
+        for variant, (optional, words) in enumerate(((True, fill), (False, fill), (True, []), (False, fill[:1]))):
+            rows.append((100 * k + variant, "Preamble. " + plain(TEMPLATES[name], optional, words).upper().replace(" ", "\n * ", 3) + " Tail."))
+        words = plain(TEMPLATES[name], False, []).split()
+        mandatory = [w for w in words_of(" ".join(words).encode())]
+        at = len(words) // 2
+        rows.append((100 * k + 50, " ".join([*words[:at], "intruder", *words[at:]])))
+        rows.append((100 * k + 51, " ".join(words[:at] + words[at + 1 :])))
+        assert mandatory
+    got = {r.doc_id: r for r in scan_licenses(docs_of(rows)).collect()}
+    for k, name in enumerate(names):
+        assert all(name in got[100 * k + v].labels.split(",") and got[100 * k + v].score == 1 for v in range(4)), name
+        assert not any(name in got[100 * k + v].labels.split(",") for v in (50, 51)), name
+    assert len(names) >= 20
