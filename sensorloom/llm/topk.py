@@ -11,21 +11,31 @@ queries at one depth are two matrix products.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Depths (shares of the lists) at which bounds are looked at.
-DEPTHS = (0.5, 0.75, 0.875, 0.9375)
+DEPTHS = (0.125, 0.25, 0.5, 0.75, 0.875, 0.9375)
+
 
+def nra_block(queries, query_ids, vectors, vector_ids, k: int, resolve: int, floor=None, first: int = 0, settled_at=None):
+    """(query position, vector position, score) of each query's k best in one block, ties to smaller ids.
 
-def nra_block(queries, query_ids, vectors, vector_ids, k: int, resolve: int):
-    """(query position, vector position, score) of each query's k best in one block, ties to smaller ids."""
+    floor: for each query a score that its k-th best is known to reach; what lies below it may be
+    left out. first: the depth to start at. settled_at: counts of queries settled by depth, the last
+    for those whose lists were read to the end, are added to it.
+    """
     import numpy as np
 
     n, dims = vectors.shape
     reach = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(dims, 1)
     own = query_ids[:, None] == vector_ids[None, :]
     out_q, out_v = [], []
+    floor = np.full(len(queries), -np.inf) if floor is None else floor
+    settled_at = np.zeros(len(DEPTHS) + 1, dtype=np.int64) if settled_at is None else settled_at
     if reach >= 2**53:  # exact beyond what doubles hold: whole numbers of any length
         q, v = np.nonzero(~own)
         a, b = queries.astype(object), vectors.astype(object)
@@ -40,7 +50,7 @@ def nra_block(queries, query_ids, vectors, vector_ids, k: int, resolve: int):
         rising = np.take_along_axis(vs, order, 0)
         signed = np.concatenate([np.maximum(qs, 0), np.minimum(qs, 0)], axis=1)
         active = np.arange(len(qs))
-        for depth in DEPTHS:
+        for which, depth in list(enumerate(DEPTHS))[first:]:
             d = int(n * depth)
             if n <= resolve or not len(active):
                 break
@@ -49,12 +59,13 @@ def nra_block(queries, query_ids, vectors, vector_ids, k: int, resolve: int):
             both = np.concatenate([vs, vs], axis=1)
             lower = signed[active] @ np.where(met, both, np.concatenate([rising[0], rising[-1]])).T
             lower[own[active]] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k] if k <= n else np.full(len(active), -np.inf)
+            kth = np.maximum(np.partition(lower, n - k, axis=1)[:, n - k] if k <= n else np.full(len(active), -np.inf), floor[active])
             upper = signed[active] @ np.where(met, both, np.concatenate([rising[n - d - 1], rising[d]])).T
             upper[own[active]] = -np.inf
             can = upper >= kth[:, None]
             can &= ~own[active]
             settled = can.sum(axis=1) <= resolve
+            settled_at[which] += settled.sum()
             q, v = np.nonzero(can[settled])
             out_q.append(active[settled][q])
             out_v.append(v)
@@ -62,7 +73,8 @@ def nra_block(queries, query_ids, vectors, vector_ids, k: int, resolve: int):
         if len(active):  # every list is read to its end: lower and upper bounds meet
             exact = qs[active] @ vs.T
             exact[own[active]] = -np.inf
-            kth = np.partition(exact, n - k, axis=1)[:, n - k] if k <= n else np.full(len(active), -np.inf)
+            settled_at[-1] += len(active)
+            kth = np.maximum(np.partition(exact, n - k, axis=1)[:, n - k] if k <= n else np.full(len(active), -np.inf), floor[active])
             q, v = np.nonzero((exact >= kth[:, None]) & ~own[active])
             out_q.append(active[q])
             out_v.append(v)
@@ -76,9 +88,57 @@ def nra_block(queries, query_ids, vectors, vector_ids, k: int, resolve: int):
     return q[keep], v[keep], score[keep]
 
 
+def _best(k: int, q, ids, score):
+    """Positions of the k best of each query (highest score, then smallest id), by query."""
+    import numpy as np
+
+    at = np.lexsort((ids, np.invert(score), q))  # ~score rises as score falls, at the ends of the range too
+    q = q[at]
+    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    return at[place < k]
+
+
+class RunningBest:
+    """The k best of every query so far, over blocks of candidates that come one after the other."""
+
+    def __init__(self, query_ids, queries, k: int, resolve: int):
+        import numpy as np
+
+        self.query_ids, self.queries, self.k, self.resolve = query_ids, queries, k, resolve
+        self.q, self.ids, self.score = (np.zeros(0, np.int64) for _ in range(3))
+        self.start = 0
+
+    def add(self, vector_ids, vectors):
+        """A block of candidates: bounds start from what is already found, at the depth that last began to settle queries."""
+        import numpy as np
+
+        have = np.bincount(self.q, minlength=len(self.queries))
+        floor = np.full(len(self.queries), -np.inf)
+        lowest = np.full(len(self.queries), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, self.q, self.score)
+        # A little below, so that the rounding of large scores to doubles loses no tie.
+        full = have >= self.k
+        floor[full] = lowest[full] - 1.0
+        settled = np.zeros(len(DEPTHS) + 1, dtype=np.int64)
+        q, ids, score = [self.q], [self.ids], [self.score]
+        for at in range(0, len(self.queries), 1024):
+            part = slice(at, at + 1024)
+            a, b, x = nra_block(self.queries[part], self.query_ids[part], vectors, vector_ids, self.k, self.resolve, floor[part], self.start, settled)
+            q.append(at + a)
+            ids.append(vector_ids[b])
+            score.append(x)
+        q, ids, score = np.concatenate(q), np.concatenate(ids), np.concatenate(score)
+        keep = _best(self.k, q, ids, score)
+        self.q, self.ids, self.score = q[keep], ids[keep], score[keep]
+        if settled.any():
+            self.start = max(0, min(int(np.flatnonzero(settled)[0]), len(DEPTHS)) - 1)
+        return settled
+
+
 def top_k(
     vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding",
-    block: int = 1024, query_block: int = 8192, resolve: int = 160,
+    block: int = 1024, query_block: int = 8192, stripes: int = 8, resolve: int = 160,
 ) -> DataFrame:
     """Each query's k highest integer inner products: query_id, rank (from 1), vec_id, score.
 
@@ -89,45 +149,77 @@ def top_k(
     are filled with zeros. Scores beyond a long are clipped to its range. An empty table
     gives no rows. Other columns are not read.
 
-    Candidates are dealt by a hash into blocks of about `block` rows and queries into
-    blocks of `query_block`; each pair of blocks is one group, whose k best per query are
-    then ranked, so that neither memory nor a task grows with the table.
+    Queries are dealt by a hash into blocks of `query_block`, candidates into `stripes`. A
+    task reads a query block's stripe as a stream of blocks of about `block` rows and carries
+    each query's k best from one to the next as a lower bound, so memory does not grow with
+    the table, and k rows a query and stripe are left to rank.
     """
     usable = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     )
     whole = usable.select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v"), (F.col("vec_id") % every == 0).alias("asks"))
-    counts = whole.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    parts, query_parts = max(1, -(-counts["n"] // block)), max(1, -(-counts["q"] // query_block))
+    counts = whole.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.size("v")).alias("dims")).first()
+    stripes, query_parts, dims = max(1, min(stripes, -(-counts["n"] // block))), max(1, -(-counts["q"] // query_block)), max(counts["dims"] or 1, 1)
     salted = F.xxhash64("vec_id", "v")
-    given = whole.withColumn("part", F.pmod(salted, F.lit(parts)).cast("int")).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
-    asked = whole.where("asks").withColumn("qpart", F.pmod(salted, F.lit(query_parts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    given = whole.select("vec_id", "v", F.lit(1).alias("kind"), F.pmod(salted, F.lit(stripes)).cast("int").alias("stripe"), every_of(query_parts).alias("qpart"))
+    asked = whole.where("asks").select("vec_id", "v", F.lit(0).alias("kind"), F.pmod(salted, F.lit(query_parts)).cast("int").alias("qpart"), every_of(stripes).alias("stripe")).select(given.columns)
 
-    def best(asking, having):
+    def matrix(lists):
         import numpy as np
-        import pandas as pd
-
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        if not len(asking) or not len(having):
-            return empty
-        dims = max(max(map(len, asking["v"])), max(map(len, having["v"])))
-
-        def matrix(values):
-            m = np.zeros((len(values), dims), dtype=np.int64)
-            for row, x in zip(m, values):
-                row[: len(x)] = x
-            return m
-
-        v, v_ids = matrix(having["v"]), having["vec_id"].to_numpy()
-        q, q_ids = matrix(asking["v"]), asking["vec_id"].to_numpy()
-        got = []
-        for at in range(0, len(q), 1024):
-            a, b, s = nra_block(q[at : at + 1024], q_ids[at : at + 1024], v, v_ids, k, resolve)
-            got.append(pd.DataFrame({"query_id": q_ids[at : at + 1024][a], "vec_id": v_ids[b], "score": s}))
-        return pd.concat(got)
-
-    cols = ["part", "qpart"]
-    found = asked.select("vec_id", "v", *cols).groupBy(*cols).cogroup(given.select("vec_id", "v", *cols).groupBy(*cols)).applyInPandas(best, "query_id long, vec_id long, score long")
+
+        flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        size = np.diff(ends)
+        m = np.zeros((len(size), dims), dtype=np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        m[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = flat[ends[0] : ends[-1]]
+        return m
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        key, best, asking, waiting = None, None, [], []
+
+        def look(final: bool):
+            """Goes through whole blocks of the waiting candidates, and through the rest at the end of a group."""
+            nonlocal best, asking, waiting
+            if best is None and (waiting or final) and asking:
+                best, asking = RunningBest(np.concatenate([a for a, _ in asking]), np.concatenate([v for _, v in asking]), k, resolve), []
+            if best is None or not waiting:
+                waiting = waiting if not final else []
+                return
+            ids, rows = np.concatenate([a for a, _ in waiting]), np.concatenate([v for _, v in waiting])
+            upto = len(ids) if final else len(ids) // block * block
+            for at in range(0, upto, block):
+                best.add(ids[at : min(at + block, upto)], rows[at : min(at + block, upto)])
+            waiting = [(ids[upto:], rows[upto:])] if upto < len(ids) else []
+
+        def result():
+            if best is None or not len(best.q):
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(best.query_ids[best.q]), pa.array(best.ids), pa.array(best.score)], names=["query_id", "vec_id", "score"])
+
+        for b in batches:
+            keys = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
+            ids, kinds, rows = b.column(3).to_numpy(), b.column(2).to_numpy(), matrix(b.column(4))
+            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1) | (kinds[1:] != kinds[:-1])]) if len(ids) else []
+            for at, to in zip(new, [*new[1:], len(ids)]):
+                now = tuple(keys[at])
+                if now != key:
+                    look(True)
+                    done = result()
+                    if done is not None:
+                        yield done
+                    key, best, asking, waiting = now, None, [], []
+                (waiting if kinds[at] else asking).append((ids[at:to], rows[at:to]))
+                look(False)
+        look(True)
+        done = result()
+        if done is not None:
+            yield done
+
+    rows = given.unionByName(asked).select("qpart", "stripe", "kind", "vec_id", "v").repartition(query_parts * stripes, "qpart", "stripe").sortWithinPartitions("qpart", "stripe", "kind")
+    found = rows.mapInArrow(search, "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
