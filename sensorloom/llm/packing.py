@@ -75,13 +75,14 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 def tokenize_and_cut(docs: DataFrame, capacity: int, end_id: int, grain: int, tokenizer: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document: full windows, then a remainder in grains, each with the CRC of its ids.
 
-    The byte-level BPE's merges are run by tiktoken on the same vocabulary, which gives
-    the ids of the `tokenizers` file several times faster; a text that holds a special
-    token's own string goes through `tokenizers` itself.
+    Ids are those of the `tokenizers` file. Its merges are run by tiktoken on the same
+    vocabulary, which gives the same ids several times faster; a text that holds the string of
+    one of the file's added tokens goes through `tokenizers` itself.
     """
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
+        import json
         import zlib
 
         import numpy as np
@@ -91,15 +92,18 @@ def tokenize_and_cut(docs: DataFrame, capacity: int, end_id: int, grain: int, to
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+        named = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+        with open(named, encoding="utf-8") as f:
+            added = [t["content"].encode() for t in json.load(f).get("added_tokens", ())]
         exact = None
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if b"<|endoftext|>" in text:
+                if any(t in text for t in added):
                     if exact is None:
                         from tokenizers import Tokenizer
 
-                        exact = Tokenizer.from_file(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+                        exact = Tokenizer.from_file(named)
                     ids = exact.encode(text.decode(), add_special_tokens=False).ids
                 else:
                     ids = fast.encode_ordinary(text.decode())

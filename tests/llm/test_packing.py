@@ -48,3 +48,28 @@ def test_differencing_balances():
 
 def test_empty_table(docs_of):
     assert pack(docs_of([])).count() == 0
+
+
+def test_ids_over_a_whole_table(spark):
+    """Every piece of the documents of sf0.01 holds the ids that the tokenizers file gives."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = docs.select("doc_id", "text").collect()
+    ids = {r.doc_id: np.array([*e.ids, 1], dtype="<u4") for r, e in zip(rows, tok.encode_batch([r.text or "" for r in rows], add_special_tokens=False))}
+    got = pack(docs).collect()
+    assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id]) for r in got)
+    assert sum(r.length for r in got) == sum(map(len, ids.values()))
+
+
+def test_differencing_against_all_partitions():
+    """On small inputs the largest part is at most a sixth above that of the best of all partitions, and never above largest-first dealing by more."""
+    import itertools
+
+    rng = random.Random(2)
+    for _ in range(60):
+        n, k = rng.randint(3, 7), rng.randint(2, 3)
+        sizes = [rng.randint(1, 60) for _ in range(n)]
+        best = min(max(sum(s for s, p in zip(sizes, choice) if p == q) for q in range(k)) for choice in itertools.product(range(k), repeat=n))
+        parts = differencing(sizes, k)
+        assert sorted(x for p in parts for x in p) == list(range(n))
+        assert max(sum(sizes[x] for x in p) for p in parts) <= best * 7 / 6
