@@ -16,6 +16,9 @@ and of each kind of unit only the earliest goes on, and only where its core has
 kinds. A unit's core is what all windows that can be equal to one of its own must share: the
 gram of a stretch, and the bytes common to all windows of an aligned run.
 
+Units are equal if two independent 64-bit hashes agree: one of the core and one, of another
+base, of the whole unit; in pass 4 both are of the window's own bytes.
+
 Groups are never gathered: passes are counts and minima (combined before the shuffle), and
 memberships come back as fixed-size bitmaps, whose false hits only add rows that a later
 pass drops.
@@ -50,15 +53,9 @@ class Stretches:
         sizes = np.array([len(b) for b in bodies])
         ends = np.cumsum(sizes)
         n = len(buf)
-        base = 0x9E3779B97F4A7C15
-        power = np.full(n + 1, base, dtype=np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.inverse = np.full(n + 1, pow(base, -1, 1 << 64), dtype=np.uint64)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
-        self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.prefix[1:])
+        self.prefix, self.inverse = self._sums(buf, 0x9E3779B97F4A7C15)
+        self.buf = buf
+        self.second = None
         begins = np.zeros(n, dtype=bool)
         for e, s in zip(ends.tolist(), sizes.tolist()):
             if s >= length:
@@ -89,11 +86,31 @@ class Stretches:
         self.ids = np.array([p[0] for p in pieces], dtype=np.int64)[piece]
         self.offset = self.first - (ends - sizes)[piece] + np.array([p[1] for p in pieces], dtype=np.int64)[piece]
 
-    def digest(self, start, size):
-        """64-bit hashes of the bytes [start, start + size)."""
+    @staticmethod
+    def _sums(buf, base: int):
+        """Running sums of the bytes times powers of base, and inverse powers, modulo 2**64."""
+        import numpy as np
+
+        n = len(buf)
+        power = np.full(n + 1, base, dtype=np.uint64)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        prefix = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
+        power[1:] = pow(base, -1, 1 << 64)
+        np.multiply.accumulate(power, out=power)
+        return prefix, power
+
+    def digest(self, start, size, other: bool = False):
+        """64-bit hashes of the bytes [start, start + size), by one base or another."""
         import numpy as np
 
-        h = (self.prefix[start + size] - self.prefix[start]) * self.inverse[start]
+        prefix, inverse = self.prefix, self.inverse
+        if other:
+            if self.second is None:
+                self.second = self._sums(self.buf, 0xD1342543DE82EF95)
+            prefix, inverse = self.second
+        h = (prefix[start + size] - prefix[start]) * inverse[start]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
@@ -109,15 +126,17 @@ class Stretches:
 
         if not len(u.first):
             return u.gram
-        h = self.digest(u.first, u.count + self.length - 1)
+        h = self.digest(u.first, u.count + self.length - 1, other=True)
         return h ^ ((u.back.astype(np.uint64) << np.uint64(32) | u.count.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93))
 
     def core(self, u: Units, size: int | None):
-        """Hash of the bytes that all windows of an aligned run share, and of its place; a stretch's gram."""
+        """Hash of the bytes that all windows of an aligned run share, and of its place; a stretch's gram, a window's bytes."""
         import numpy as np
 
-        if size is None or size == 1 or not len(u.first):
+        if size is None or not len(u.first):
             return u.gram
+        if size == 1:
+            return self.digest(u.first, self.length)
         place = u.back // size
         h = self.digest(u.first + u.back - place * size, self.length - size + 1)
         return h ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
