@@ -78,6 +78,94 @@ def map_binary(df: DataFrame, id_col: str, text_col: str, fn: Callable[[Iterator
     return narrow.mapInArrow(fn, schema)
 
 
+def compare_pairs(pairs: DataFrame, items: DataFrame, prepare: Callable, same: Callable) -> DataFrame:
+    """Of pairs (grp, a, b) of items (node, body) those (src, dst) for which same(lefts, rights), lists of prepare(body), is true.
+
+    Each body goes once to every group in which it has pairs, not once per pair. A task reads
+    its groups one after the other: a group's bodies, then its pairs.
+    """
+    ends = pairs.select("grp", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = ends.join(items, "node").select("grp", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "body")
+    rows = rows.unionByName(pairs.select("grp", F.lit(1).alias("kind"), "a", "b", F.lit(b"").alias("body")))
+
+    def compare(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        group, held, waiting = None, {}, []
+
+        def done():
+            good = np.flatnonzero(same([w[2] for w in waiting], [w[3] for w in waiting]))
+            ids = np.array([w[:2] for w in waiting], dtype=np.int64).reshape(-1, 2)[good]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], names=["src", "dst"])
+
+        for batch in batches:
+            for g, kind, a, b, body in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if g != group:
+                    group, held = g, {}
+                if kind:
+                    waiting.append((a, b, held[a], held[b]))
+                    if len(waiting) >= 4096:
+                        yield done()
+                else:
+                    held[a] = prepare(body)
+        if waiting:
+            yield done()
+
+    return rows.repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(compare, "src long, dst long")
+
+
+def bitmap(hashes: DataFrame, column: str, most_bits: int = 27):
+    """(bits, broadcast bitmap) of a column of distinct 64-bit hashes.
+
+    It has about sixteen bits a hash, and never more than 2**most_bits bits in all. Bits are
+    combined by aggregation and packed into blocks on the executors; the driver gets the
+    packed blocks alone.
+    """
+    import numpy as np
+
+    bits = min(most_bits, max(8, (16 * max(1, hashes.count())).bit_length()))
+    pos = F.shiftrightunsigned(F.col(column), 64 - bits)
+    words = hashes.select(F.shiftright(pos, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), pos.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    merged = words.groupBy("w").agg(F.bit_or("b").alias("b")).withColumn("block", F.shiftright("w", 10))
+
+    def packed(pdf):
+        import pandas as pd
+
+        block = np.zeros(1024, dtype=np.int64)
+        block[pdf["w"].to_numpy() & 1023] = pdf["b"].to_numpy()
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "body": [block.tobytes()]})
+
+    table = np.zeros(max(1024, 1 << (bits - 6)), dtype=np.uint64)
+    for r in merged.groupBy("block").applyInPandas(packed, "block long, body binary").toLocalIterator():
+        table[r["block"] * 1024 : r["block"] * 1024 + 1024] = np.frombuffer(r["body"], dtype=np.uint64)
+    return bits, hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def inside(table, hashes, bits: int):
+    """Which hashes (uint64) a bitmap may hold."""
+    import numpy as np
+
+    pos = hashes >> np.uint64(64 - bits)
+    return (table[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bitmap_hits(df: DataFrame, column: str, made) -> DataFrame:
+    """Rows whose hash is in a bitmap: all that a join on it keeps, and false hits."""
+    bits, table = made
+    at = df.columns.index(column)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            yield b.filter(pa.array(inside(table.value, b.column(at).to_numpy().view(np.uint64), bits)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def sample_texts(known: DataFrame, max_rows: int, long_text: int) -> DataFrame:
     """Of rows (i, t, l): at most max_rows ids of each label l, by a hash of the id, one text (of smallest hash) for each.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bitmap, bitmap_hits, inside, stored
 from .hashing import text_chunks
 
 GRAM = 32
@@ -195,54 +195,6 @@ def _scan(docs: DataFrame, length: int, rows, schema: str) -> DataFrame:
     return docs.select("id", "body").mapInArrow(run, schema)
 
 
-def _bitmap(hashes: DataFrame, column: str, most_bits: int):
-    """(bits, broadcast bitmap) of a column of distinct 64-bit hashes.
-
-    It has about sixteen bits a hash, and never more than 2**most_bits bits in all. Bits are
-    combined by aggregation and packed into blocks on the executors; the driver gets the
-    packed blocks alone.
-    """
-    import numpy as np
-
-    bits = min(most_bits, max(8, (16 * max(1, hashes.count())).bit_length()))
-    pos = F.shiftrightunsigned(F.col(column), 64 - bits)
-    words = hashes.select(F.shiftright(pos, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), pos.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-    merged = words.groupBy("w").agg(F.bit_or("b").alias("b")).withColumn("block", F.shiftright("w", 10))
-
-    def packed(pdf):
-        import pandas as pd
-
-        block = np.zeros(1024, dtype=np.int64)
-        block[pdf["w"].to_numpy() & 1023] = pdf["b"].to_numpy()
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "body": [block.tobytes()]})
-
-    table = np.zeros(max(1024, 1 << (bits - 6)), dtype=np.uint64)
-    for r in merged.groupBy("block").applyInPandas(packed, "block long, body binary").toLocalIterator():
-        table[r["block"] * 1024 : r["block"] * 1024 + 1024] = np.frombuffer(r["body"], dtype=np.uint64)
-    return bits, hashes.sparkSession.sparkContext.broadcast(table)
-
-
-def _inside(table, hashes, bits: int):
-    import numpy as np
-
-    pos = hashes >> np.uint64(64 - bits)
-    return (table[(pos >> np.uint64(6)).astype(np.int64)] >> (pos & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def _hits(df: DataFrame, column: str, bitmap) -> DataFrame:
-    """Rows whose hash is in a bitmap: all that a join on it keeps, and false hits."""
-    bits, table = bitmap
-    at = df.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for b in batches:
-            yield b.filter(pa.array(_inside(table.value, b.column(at).to_numpy().view(np.uint64), bits)))
-
-    return df.mapInArrow(run, df.schema)
-
-
 def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> DataFrame:
     """(id, start, stop): byte ranges of docs(id, body) covered by windows that also start earlier.
 
@@ -257,10 +209,10 @@ def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> Data
         return [h, n]
 
     counted = _scan(docs, length, grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    gram_bits, frequent = _bitmap(stored(counted.where("n > 1").select("gram")), "gram", bits)
+    gram_bits, frequent = bitmap(stored(counted.where("n > 1").select("gram")), "gram", bits)
 
     def gram_hit(s):
-        return np.flatnonzero(_inside(frequent.value, s.gram, gram_bits)) if len(s.gram) else np.zeros(0, np.int64)
+        return np.flatnonzero(inside(frequent.value, s.gram, gram_bits)) if len(s.gram) else np.zeros(0, np.int64)
 
     place = F.struct(F.col("id").alias("id"), F.col("start").alias("start"))
     columns = "core long, whole long, id long, start long, windows long"
@@ -270,19 +222,19 @@ def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> Data
         def units(s, size=size, chosen=tuple(chosen)):
             u = s.units(gram_hit(s))
             for (bits_, sent), part in zip(chosen, (RUN, 1)):
-                u = u.only(np.flatnonzero(_inside(sent.value, row_key(u.ids, u.offset), bits_)) if len(u.ids) else np.zeros(0, np.int64)).split(part)
+                u = u.only(np.flatnonzero(inside(sent.value, row_key(u.ids, u.offset), bits_)) if len(u.ids) else np.zeros(0, np.int64)).split(part)
             return [s.core(u, size), s.whole(u), u.ids, u.offset, u.count]
 
         rows = stored(_scan(docs, length, units, columns))
         firsts = rows.groupBy("core", "whole").agg(F.min(place).alias("early"), F.count("*").alias("n")).select("core", "whole", "early.*", "n")
         firsts = stored(firsts if size != 1 else firsts.where("n > 1"))
         early = firsts.where("n > 1").select("core", "whole", F.col("id").alias("__i"), F.col("start").alias("__s"))
-        later = _hits(rows, "whole", _bitmap(early.select("whole"), "whole", bits)).join(early, ["core", "whole"]).where((F.col("id") > F.col("__i")) | ((F.col("id") == F.col("__i")) & (F.col("start") > F.col("__s"))))
+        later = bitmap_hits(rows, "whole", bitmap(early.select("whole"), "whole", bits)).join(early, ["core", "whole"]).where((F.col("id") > F.col("__i")) | ((F.col("id") == F.col("__i")) & (F.col("start") > F.col("__s"))))
         found = later.select("id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
         marks = found if marks is None else marks.unionByName(found)
         if size != 1:
             several = firsts.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
-            chosen.append(_bitmap(stored(_bitmap_key(firsts.join(several, "core", "left_semi"))), "key", bits))
+            chosen.append(bitmap(stored(_bitmap_key(firsts.join(several, "core", "left_semi"))), "key", bits))
     # False hits of a bitmap add true windows of the corpus, which cannot disturb a minimum.
     for used in (frequent, *(sent for _, sent in chosen)):  # what they let through is stored
         used.destroy()

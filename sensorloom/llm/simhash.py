@@ -21,6 +21,17 @@ from .common import components, fresh, join_by_key, map_binary, stored
 BITS = 64
 
 
+def majority(values):
+    """The 64-bit number whose bits are those that over half of the values have."""
+    import numpy as np
+
+    count = np.zeros(BITS, dtype=np.int64)
+    for k in range(0, len(values), 1 << 14):
+        some = values[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8)
+        count += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * count > len(values), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp long): bit is 1 where over half of the XXH64 values of the word shingles have it.
 
@@ -48,12 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
                     starts, ends = at[: len(words) - shingle + 1].tolist(), (at[shingle:] - 1).tolist()
                     hashes = [digest(line[s:e], seed) for s, e in zip(starts, ends)]
-                count = np.zeros(BITS, dtype=np.int64)
-                values = np.array(hashes, dtype="<u8")
-                for k in range(0, len(values), 1 << 14):
-                    some = values[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8)
-                    count += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                fps[row] = np.packbits(2 * count > len(values), bitorder="little").view(np.uint64)[0]
+                fps[row] = majority(np.array(hashes, dtype="<u8"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return map_binary(docs, id_col, text_col, make, "doc_id long, fp long")

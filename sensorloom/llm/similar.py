@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_binary, stored
-from .simhash import fingerprints, keep_lowest, links
+from .common import bitmap, bitmap_hits, compare_pairs, components, cut, inside, map_binary, stored
+from .simhash import keep_lowest, links, majority
 
 SKETCH = 16  # longs of a parity sketch
 
 
-def shingle_set(text: bytes, shingle: int, seed: int):
-    """Sorted distinct XXH64 values (uint64) of the word shingles; words as in simhash.fingerprints, none for a wordless text."""
+def shingle_hashes(text: bytes, shingle: int, seed: int):
+    """XXH64 values (uint64) of the word shingles in order; words as in simhash.fingerprints, none for a wordless text."""
     import numpy as np
     import xxhash
 
@@ -42,29 +42,26 @@ def shingle_set(text: bytes, shingle: int, seed: int):
     at = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
     starts, ends = at[: len(words) - shingle + 1].tolist(), (at[shingle:] - 1).tolist()
-    return np.unique(np.array([digest(line[s:e], seed) for s, e in zip(starts, ends)], np.uint64))
+    return np.array([digest(line[s:e], seed) for s, e in zip(starts, ends)], np.uint64)
 
 
-def _sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, set array<long>) of texts (h, t)."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, shingle, seed).view("int64") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set"])
+def common_shingles(texts: DataFrame, shingle: int, seed: int, sample: int = 16, most: int = 1 << 18) -> list[int]:
+    """The commonest shingles of a sample of texts, from rare to common; they only shape the order, which may be any."""
 
-    return map_binary(texts, "h", "t", make, "doc_id long, set array<long>")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle, seed)).view(np.int64))], names=["s"])
 
-def common_shingles(texts: DataFrame, shingle: int, seed: int, sample: int = 16, most: int = 1 << 18) -> list[int]:
-    """The commonest shingles of a sample of texts, from rare to common; they only shape the order, which may be any."""
-    some = _sets(texts.where(F.pmod("h", F.lit(sample)) == 0), shingle, seed).select(F.explode("set").alias("s"))
+    some = map_binary(texts.where(F.pmod("h", F.lit(sample)) == 0), "h", "t", sets, "s long")
     top = some.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(most)
     return [r.s for r in top.collect()][::-1]
 
 
 def prefixes(texts: DataFrame, similarity: Fraction, shingle: int, seed: int, common: list[int]) -> DataFrame:
-    """(h, node, n, prefix, sketch): a hash and the size of the text's shingle set, the set's prefix and parity sketch."""
+    """(h, fp, node, prefix, sketch) of texts (h, t): fingerprint, a hash of the shingle set, its prefix, and its parity sketch with its size."""
     import numpy as np
 
     late = np.array(common, np.int64).view(np.uint64)
@@ -78,85 +75,127 @@ def prefixes(texts: DataFrame, similarity: Fraction, shingle: int, seed: int, co
 
         values, rank = shared.value
         for b in batches:
-            node, size, first, sketch = [], [], [], []
+            print_, node, first, sketch = [], [], [], []
             for t in b.column(1).to_pylist():
-                s = shingle_set(t, shingle, seed)
+                hashes = shingle_hashes(t, shingle, seed)
+                s = np.unique(hashes)
                 order = np.full(len(s), -1)
                 if len(values):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     order = np.where(values[at] == s, rank[at], -1)
                 keep = np.lexsort((s, order))[: len(s) - -(-len(s) * p // q) + 1]
                 odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                print_.append(majority(hashes) if len(hashes) else 0)
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
-                size.append(len(s))
                 first.append(s[keep].view(np.int64))
-                sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(first, longs), pa.array(sketch, longs)],
-                names=["h", "node", "n", "prefix", "sketch"],
-            )
+                sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes() + len(s).to_bytes(8, "little"))
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), longs(print_), longs(node), pa.array(first, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["h", "fp", "node", "prefix", "sketch"])
+
+    return map_binary(texts, "h", "t", make, "h long, fp long, node long, prefix array<long>, sketch binary")
+
 
-    return map_binary(texts, "h", "t", make, "h long, node long, n int, prefix array<long>, sketch array<long>")
+def _shared_entries(read: DataFrame) -> DataFrame:
+    """(s, node) of the prefix shingles that several nodes have.
 
+    Only the least and the largest of a hash of the nodes are shuffled for each shingle; those
+    that differ go into a bitmap, which picks the entries that are shuffled whole.
+    """
+    small = F.shiftright(F.col("node"), 33)
+    ends = read.select("node", F.explode("prefix").alias("s")).groupBy("s").agg(F.min(small).alias("lo"), F.max(small).alias("hi"))
+    bits, table = bitmap(stored(ends.where("lo < hi").select("s")), "s")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+        for b in batches:
+            lists = b.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            s = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+            keep = np.flatnonzero(inside(table.value, s.view(np.uint64), bits))
+            node = np.repeat(b.column(0).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(node[keep])], names=["s", "node"])
+
+    return read.select("node", "prefix").mapInArrow(pick, "s long, node long").distinct()
+
+
+def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4, seed: int = 42, chunk: int = 128) -> tuple[DataFrame, DataFrame]:
     """Of texts (h, t): (h, node) of every text, and edges (src, dst) that connect all nodes of at least the similarity, or of fingerprints within radius bits.
 
     Equal shingle sets are one node. Fingerprints of the same shingles are linked first
-    (radius below 0: not at all). Then every node is compared with one holder of each
-    shingle of its prefix; then, under shingles whose holders are not yet all connected,
-    every pair from different components is.
+    (radius below 0: not at all). Then every node is compared with one holder of its
+    prefix's shingles; then, under shingles whose holders are not yet all connected,
+    every pair from different components is, in groups of chunks.
     """
     t = Fraction(str(similarity))
     p, q = t.numerator, t.denominator
-    read = stored(prefixes(texts, t, shingle, seed, common_shingles(texts, shingle, seed)).dropDuplicates(["h"]))
-    nodes = read.select("node", "n", "prefix", "sketch").dropDuplicates(["node"])
-    entries = stored(nodes.select("node", "n", F.explode("prefix").alias("s")))
-    held = entries.groupBy("s").agg(F.min(F.struct("node", "n")).alias("r"), F.count("*").alias("c")).where("c > 1")
-    entries = stored(entries.join(held.select("s", F.col("r.node").alias("ref"), F.col("r.n").alias("ref_n")), "s"))
-    sketches = nodes.select("node", "n", "sketch")
+    read = stored(prefixes(texts, t, shingle, seed, common_shingles(texts, shingle, seed)))
+    named = read.select("h", "node").distinct()
+    entries = stored(_shared_entries(read))
+    sketches = read.select("node", F.col("sketch").alias("body")).dropDuplicates(["node"])
+    first_text = read.groupBy("node").agg(F.min("h").alias("h"))
+
+    def may(left, right):
+        import numpy as np
+
+        a, b = np.stack(left), np.stack(right)
+        na, nb = a[:, -1].astype(np.int64), b[:, -1].astype(np.int64)
+        apart = np.bitwise_count(a[:, :-1] ^ b[:, :-1]).sum(axis=1, dtype=np.int64)
+        return (apart * (p + q) <= (na + nb) * (q - p)) & (np.minimum(na, nb) * q >= np.maximum(na, nb) * p)
+
+    def numbers(body):
+        import numpy as np
 
-    def fits(a: str, b: str):
-        return (F.least(a, b) * q >= F.greatest(a, b) * p)
+        return np.frombuffer(body, np.uint64)
+
+    def set_of(body):
+        import numpy as np
+
+        return np.unique(shingle_hashes(body, shingle, seed))
+
+    def similar(left, right):
+        import numpy as np
+
+        return np.array([len(np.intersect1d(x, y, assume_unique=True)) * (p + q) >= (len(x) + len(y)) * p for x, y in zip(left, right)])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of at least the similarity: q and p are its fraction, 2 i >= (n_a + n_b) 2 p / (p + q)."""
-        a = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = cut(pairs.join(a, "a").join(b, "b").where(apart * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b"))
-        wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-        one = read.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
-        bodies = texts.join(one.select("h"), "h", "left_semi").dropDuplicates(["h"])
-        sets = cut(_sets(bodies, shingle, seed).withColumnRenamed("doc_id", "h").join(one, "h").select("node", "set"))
-        both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        same = F.size(F.array_intersect("x", "y"))
-        return cut(both.where(same * (p + q) >= (F.size("x") + F.size("y")) * p).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        """The pairs (grp, a, b) of at least the similarity, by sketches and then by the texts themselves: i (p + q) >= (n_a + n_b) p."""
+        near = cut(compare_pairs(pairs, sketches, numbers, may).join(pairs.select("grp", F.col("a").alias("src"), F.col("b").alias("dst")), ["src", "dst"]).select("grp", F.col("src").alias("a"), F.col("dst").alias("b")))
+        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first_text, "node")
+        wanted = stored(wanted)
+        some = bitmap_hits(texts.select("h", F.coalesce("t", F.lit("")).cast("binary").alias("body")).where("h is not null"), "h", bitmap(wanted.select("h").distinct(), "h"))
+        bodies = some.join(wanted, "h").groupBy("node").agg(F.first("body").alias("body"))
+        return cut(compare_pairs(near, bodies, set_of, similar))
 
     marked = []
     if radius >= 0:
-        fps = stored(fingerprints(texts, "h", "t", shingle, seed).withColumnRenamed("doc_id", "h").join(read.select("h", "node"), "h").groupBy("fp", "node").agg(F.lit(1).alias("one")))
+        fps = stored(read.select("fp", "node").distinct())
         near = links(fps.select("fp").distinct(), radius)
         one = fps.groupBy("fp").agg(F.min("node").alias("dst"))
         same = fps.join(one, "fp").where(F.col("node") != F.col("dst")).select(F.col("node").alias("src"), "dst")
         apart = near.join(one.select(F.col("fp").alias("src"), F.col("dst").alias("a")), "src").drop("src").join(one.select(F.col("fp").alias("dst"), F.col("dst").alias("b")), "dst")
         marked = [cut(same.unionByName(apart.select(F.col("a").alias("src"), F.col("b").alias("dst"))))]
-    stars = entries.where((F.col("node") != F.col("ref")) & fits("n", "ref_n")).select(F.col("node").alias("a"), F.col("ref").alias("b")).distinct()
-    if marked:  # what fingerprints have connected need not be compared
-        roots = components(marked[0])
-        stars = stars.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        stars = stars.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    stars = cut(stars)
-    first = reduce(DataFrame.unionByName, marked, verified(stars))
-    named = entries.join(components(first).withColumnRenamed("root", "r0"), "node", "left").select("s", "node", "n", F.coalesce("r0", "node").alias("root"))
-    named = cut(named)
-    open_ = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
-    left = named.join(open_, "s")
-    right = left.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = left.withColumnRenamed("node", "a").join(right, "s").where((F.col("a") > F.col("b")) & (F.col("root") != F.col("rb")) & fits("n", "nb"))
-    second = verified(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    return read.select("h", "node"), first.unionByName(second)
+
+    def rooted(rows: DataFrame, edges: list[DataFrame]) -> DataFrame:
+        if not edges:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(components(reduce(DataFrame.unionByName, edges)).withColumnRenamed("root", "r"), "node", "left").select(*rows.columns, F.coalesce("r", "node").alias("root"))
+
+    at = stored(rooted(entries, marked))
+    refs = at.groupBy("s").agg(F.min(F.struct("root", "node")).alias("r"))
+    stars = at.join(refs, "s").where(F.col("root") != F.col("r.root")).groupBy("node", F.col("r.node").alias("b")).agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    first = verified(cut(stars.select(F.xxhash64("b", F.pmod("node", F.lit(64))).alias("grp"), F.col("node").alias("a"), "b")))
+    at = stored(rooted(entries, [*marked, first]))
+    holders = at.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("s", "c")
+    left = stored(at.join(holders, "s"))
+    right = left.select("s", F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = left.join(right, "s").where((F.col("node") > F.col("b")) & (F.col("root") != F.col("rb"))).select(F.col("node").alias("a"), "b").distinct()
+    # Pairs are compared between chunks of nodes that have their commonest open shingle in common.
+    home = left.groupBy("node").agg(F.max(F.struct("c", "s")).alias("m"))
+    home = home.select("node", F.xxhash64("m.s", F.pmod(F.xxhash64("node"), F.ceil(F.col("m.c") / chunk))).alias("part"))
+    placed = pairs.join(home.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(home.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
+    second = verified(cut(placed.select(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")).alias("grp"), "a", "b")))
+    return named, reduce(DataFrame.unionByName, [*marked, first, second])
 
 
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
