@@ -95,7 +95,7 @@ def keep_hard(losses: DataFrame, share: float, loss: str = "loss") -> DataFrame:
 
 def importance_prune(losses: DataFrame, keep: float, loss: str = "loss") -> DataFrame:
     """Samples at or above the mean loss, and a hashed share of the rest whose weight is raised to match."""
-    mean = F.avg(loss).over(Window.partitionBy())
+    mean = F.broadcast(losses.agg(F.avg(loss).alias("__m")))  # one row
     draw = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    x = losses.withColumn("__m", mean).withColumn("__hard", F.col(loss) >= F.col("__m"))
+    x = losses.crossJoin(mean).withColumn("__hard", F.col(loss) >= F.col("__m"))
     return x.where(F.col("__hard") | (draw < keep)).withColumn("weight", F.when(F.col("__hard"), 1.0).otherwise(1.0 / keep)).drop("__m", "__hard")

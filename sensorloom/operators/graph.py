@@ -6,6 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ensure_checkpoint_dir(spark) -> None:
+    """Uses the shared folder that the session names; a temporary one only in local mode, where there is no other machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        named = tempfile.mkdtemp()
+    sc.setCheckpointDir(named)
+
+
 def strip_self_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst")
 
@@ -137,20 +152,16 @@ def reach(edges: DataFrame, hops: int, directed: bool = True) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges in either direction.
 
     Labels spread to neighbours and then jump to their label's label, until none changes;
     lineage is cut in the session's checkpoint folder.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    ensure_checkpoint_dir(edges.sparkSession)
     label = nodes_of(edges).withColumn("component", F.col("node")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("__m"))
         spread = label.join(near, "node", "left").select("node", F.least("component", "__m").alias("component"))
         jump = spread.select(F.col("node").alias("component"), F.col("component").alias("__j"))
@@ -159,7 +170,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         label = nxt
         if not changed:
             return label
-    raise RuntimeError("components did not settle; raise rounds")
 
 
 def stats(edges: DataFrame) -> DataFrame:
@@ -193,19 +203,18 @@ def choose_direction(pairs: DataFrame, tie: float = 1.0) -> DataFrame:
     return pairs.withColumn("direction", d)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float, rounds: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
     """(source, node, dist) within a cutoff, by rounds of relaxation until no distance falls."""
     best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"))
     e = edges.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("__to"), F.col("weight").alias("__w"))
     before = None
-    for _ in range(rounds):
+    while True:
         step = best.join(e, "node").select("source", F.col("__to").alias("node"), (F.col("dist") + F.col("__w")).alias("dist")).where(F.col("dist") <= cutoff)
         best = best.unionByName(step).groupBy("source", "node").agg(F.min("dist").alias("dist")).checkpoint()
         now = tuple(best.agg(F.count("*"), F.sum("dist")).first())
         if now == before:
             return best
         before = now
-    raise RuntimeError("distances did not settle; raise rounds")
 
 
 def split_long(edges: DataFrame, limit: float) -> DataFrame:

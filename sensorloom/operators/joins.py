@@ -88,11 +88,14 @@ def colocated(points: DataFrame, by: list[str], position: str, eps: float) -> Da
 
 
 def nearest(left: DataFrame, right: DataFrame, by: list[str], lpos: str, rpos: str, rid: str, limit: float | None = None) -> DataFrame:
-    """Each left row (id) with the nearest right row of the same key, kept without one; ties to the smaller id."""
-    r = right.select(*by, F.col(rpos).alias("__p"), F.col(rid).alias("__id"))
-    d = F.abs(F.col(lpos) - F.col("__p"))
-    best = left.select("id", *by, lpos).join(r, by).groupBy("id").agg(F.min(F.struct(d.alias("dist"), F.col("__id").alias("match"))).alias("m"))
-    best = best.select("id", "m.match", "m.dist") if limit is None else best.select("id", "m.match", "m.dist").where(F.col("dist") <= limit)
+    """Each left row (id) with the nearest right row of the same key, kept without one; ties to the smaller id.
+
+    Neighbours on either side are carried along each key's order; no pairs of a key are made.
+    """
+    from sensorloom.operators.lines import nearest_along
+
+    best = nearest_along(left.select("id", *by, lpos), right.select(F.col(rid).alias("id"), *by, F.col(rpos).alias(lpos)), by, lpos).select("id", "match", "dist")
+    best = best.where("match is not null") if limit is None else best.where(F.col("dist") <= limit)
     return left.join(best, "id", "left")
 
 

@@ -217,11 +217,11 @@ def explicit_split_starts(spark, d):
     return W.split_starts(sp, "train", 4, 3, False).select(F.lit("train").alias("split"), "t").unionByName(W.split_starts(sp, "valid", 4, 3, True).select(F.lit("valid").alias("split"), "t"))
 
 
-@query(COUNTS_SQL + """, s(k) AS (SELECT unnest([0, -1, -2, -21, -22, -23, -45, -46, -47])) SELECT p.node, p.t, CAST(k AS INTEGER) AS shift, q.value, p.t + k < 0 OR q.value IS NULL AS missing FROM panel p CROSS JOIN s JOIN panel q ON q.node = p.node AND q.t = greatest(p.t + k, 0) WHERE p.t < 60""")
+@query(COUNTS_SQL + """, s(k) AS (SELECT unnest([0, -1, -2, -21, -22, -23, -45, -46, -47])) SELECT p.node, p.t, CAST(k AS INTEGER) AS shift, q.value, p.t + k < 0 OR q.value IS NULL AS missing FROM panel p CROSS JOIN s JOIN panel q ON q.node = p.node AND q.t = greatest(p.t + k, 0)""")
 def seasonal_shift_gather(spark, d):
     p = counts(spark, d)
     assert W.seasonal_shifts(3, 24, 2, 3) == [0, -1, -2, -21, -22, -23, -45, -46, -47]
-    return W.gather_shifts(p, W.seasonal_shifts(3, 24, 2, 3)).where("t < 60")
+    return W.gather_shifts(p, W.seasonal_shifts(3, 24, 2, 3))
 
 
 @query(HOURS_SQL + """, z AS (SELECT node, t, CASE WHEN t % 50 >= 5 THEN value END AS value FROM panel), w AS (SELECT t, count(value) OVER f AS n, count(*) OVER f AS m FROM z WINDOW f AS (PARTITION BY node ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))

@@ -117,7 +117,7 @@ def graph_components(spark, d):
     return G.components(m)
 
 
-@query("WITH " + PANEL.format(value="CAST(count(*) AS DOUBLE)", cell="coalesce(g.value, 0.0)") + """, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT DISTINCT node FROM panel)), x AS (SELECT n.i AS node, t, value FROM panel JOIN n USING (node) WHERE t < 100),
+@query("WITH " + PANEL.format(value="CAST(count(*) AS DOUBLE)", cell="coalesce(g.value, 0.0)") + """, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT DISTINCT node FROM panel)), x AS (SELECT n.i AS node, t, value FROM panel JOIN n USING (node)),
  ring AS (SELECT i AS src, (i + 1) % 5 AS dst, 1.0 + i AS weight FROM n), pr AS (SELECT dst AS node, t, sum(weight * value) AS value FROM ring JOIN x ON x.node = src GROUP BY 1, 2)
  SELECT 'step' AS what, node, t, round(value, 6) AS value FROM pr UNION ALL SELECT 'gap', NULL, NULL, round(avg(abs(a.value - b.value)), 6) FROM ring JOIN x a ON a.node = src JOIN x b ON b.node = dst AND b.t = a.t
  UNION ALL SELECT 'energy', NULL, NULL, round(avg(weight * (a.value - b.value) ** 2), 6) FROM ring JOIN x a ON a.node = src JOIN x b ON b.node = dst AND b.t = a.t""")
@@ -125,7 +125,7 @@ def graph_signal_operators(spark, d):
     """Convolution step, neighbour gap and Dirichlet energy of counts on a ring."""
     p = counts(spark, d)
     n = p.select("node").distinct().withColumn("i", (F.row_number().over(Window.orderBy("node")) - 1).cast("long"))
-    x = p.where("t < 100").join(n, "node").select(F.col("i").alias("node"), "t", "value")
+    x = p.join(n, "node").select(F.col("i").alias("node"), "t", "value")
     ring = n.select(F.col("i").alias("src"), F.pmod(F.col("i") + 1, F.lit(5)).alias("dst"), (1.0 + F.col("i")).alias("weight"))
     s = G.propagate(ring, x).select(F.lit("step").alias("what"), "node", "t", R("value").alias("value"))
     one = G.edge_differences(ring, x)
@@ -137,10 +137,7 @@ def graph_signal_operators(spark, d):
  SELECT source, node, round(min(dist), 6) AS dist FROM p GROUP BY 1, 2""")
 def graph_shortest_paths(spark, d):
     e = sparse(spark, d).withColumn("weight", 1 / F.col("weight"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    G.ensure_checkpoint_dir(spark)
     cutoff = 3.0 * e.agg(F.min("weight")).first()[0]
     return G.shortest_paths(e, spark.range(1).withColumnRenamed("id", "node"), cutoff).withColumn("dist", R("dist"))
 
@@ -157,22 +154,18 @@ def graph_induced(spark, d):
     return G.induced(sparse(spark, d), anchors).select("src", "dst", R("weight").alias("weight"), "src_idx", "dst_idx")
 
 
-_SETS = SPARSE + """, u AS (SELECT src, dst FROM e WHERE src < 12 AND dst < 12 UNION SELECT dst, src FROM e WHERE src < 12 AND dst < 12), s2 AS (SELECT DISTINCT list_sort([src, dst]) AS s FROM u),
+_SETS = SPARSE + """, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s2 AS (SELECT DISTINCT list_sort([src, dst]) AS s FROM u),
  s3 AS (SELECT DISTINCT list_sort(list_append(s, u.dst)) AS nodes FROM s2 JOIN u ON list_contains(s, u.src) AND NOT list_contains(s, u.dst))"""
 
 
-def _small(spark, d):
-    return sparse(spark, d).where("src < 12 and dst < 12")
-
-
 @query(_SETS + " SELECT nodes FROM s3")
 def subgraphs_of_three(spark, d):
-    return G.connected_subgraphs(_small(spark, d), 3)
+    return G.connected_subgraphs(sparse(spark, d), 3)
 
 
-@query(_SETS + """, sc AS (SELECT src, list_sort(list(DISTINCT dst)) AS sc FROM e WHERE src < 12 AND dst < 12 GROUP BY 1 HAVING count(DISTINCT dst) >= 2) SELECT src AS node, nodes FROM s3 JOIN sc ON list_contains(nodes, src) AND list_has_all(nodes, sc)""")
+@query(_SETS.replace("k <= 3", "k <= 2") + """, sc AS (SELECT src, list_sort(list(DISTINCT dst)) AS sc FROM e GROUP BY 1 HAVING count(DISTINCT dst) >= 2) SELECT src AS node, nodes FROM s3 JOIN sc ON list_contains(nodes, src) AND list_has_all(nodes, sc)""")
 def subgraphs_with_confounder(spark, d):
-    e = _small(spark, d)
+    e = sparse(spark, d, 2)
     return G.confounder_sets(e, G.connected_subgraphs(e, 3))
 
 
@@ -229,36 +222,36 @@ def radius_join(spark, d):
     return J.within_radius(_points(spark, d), 3000.0).withColumn("dist_m", R("dist_m", 3))
 
 
-@query(f"""WITH {_POINTS}, p AS (SELECT id, lat AS x, lon AS y FROM pt WHERE id < 200), k AS (SELECT a.id AS src, b.id AS dst, sqrt(((b.y - a.y) * 111.320 * cos(radians((a.x + b.x) / 2))) ** 2 + ((b.x - a.x) * 110.540) ** 2) AS dist FROM p a JOIN p b ON a.id <> b.id)
+@query(f"""WITH {_POINTS}, p AS (SELECT id, lat AS x, lon AS y FROM pt), k AS (SELECT a.id AS src, b.id AS dst, sqrt(((b.y - a.y) * 111.320 * cos(radians((a.x + b.x) / 2))) ** 2 + ((b.x - a.x) * 110.540) ** 2) AS dist FROM p a JOIN p b ON a.id <> b.id)
  SELECT src, dst, round(dist, 6) AS dist, CASE WHEN dist >= 20 THEN 3 WHEN dist >= 10 THEN 2 WHEN dist >= 5 THEN 1 WHEN dist >= 0 THEN 0 END AS bin FROM k QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 4""")
 def knn_graph_with_bins(spark, d):
-    p = _points(spark, d).where("id < 200").select("id", F.col("lat").alias("x"), F.col("lon").alias("y"))
+    p = _points(spark, d).select("id", F.col("lat").alias("x"), F.col("lon").alias("y"))
     return J.bins_join(J.knn(p, 4, J.flat_km), "dist", [0, 5, 10, 20]).withColumn("dist", R("dist"))
 
 
-@query("""WITH p AS (SELECT l_orderkey AS id, l_returnflag AS fwy, l_linestatus AS dir, l_extendedprice AS pm FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0),
+@query("""WITH p AS (SELECT l_orderkey AS id, l_returnflag AS fwy, l_linestatus AS dir, l_extendedprice AS pm FROM lineitem),
  u AS (SELECT id, fwy, dir, max(pm) AS pm FROM p GROUP BY ALL) SELECT fwy, dir, id AS src, lead(id) OVER w AS dst, round(lead(pm) OVER w - pm, 6) AS gap FROM u WINDOW w AS (PARTITION BY fwy, dir ORDER BY pm, id) QUALIFY dst IS NOT NULL AND lead(pm) OVER w - pm <= 50""")
 def consecutive_on_line(spark, d):
     return J.consecutive(_line(spark, d), ["fwy", "dir"], F.col("pm"), "id", 50.0).withColumn("gap", R("gap"))
 
 
 def _line(spark, d):
-    x = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 3 = 0")
+    x = table(spark, d, "lineitem")
     return x.groupBy(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("fwy"), F.col("l_linestatus").alias("dir")).agg(F.max("l_extendedprice").alias("pm"))
 
 
-@query("""WITH u AS (SELECT l_orderkey AS id, l_returnflag AS fwy, l_linestatus AS dir, max(l_extendedprice) AS pm FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 GROUP BY 1, 2, 3),
+@query("""WITH u AS (SELECT l_orderkey AS id, l_returnflag AS fwy, l_linestatus AS dir, max(l_extendedprice) AS pm FROM lineitem GROUP BY 1, 2, 3),
  n AS (SELECT *, CAST(coalesce(pm - lag(pm) OVER (PARTITION BY fwy, dir ORDER BY pm, id), 21) > 20 AS INTEGER) AS f FROM u) SELECT id, fwy, dir, CAST(sum(f) OVER (PARTITION BY fwy, dir ORDER BY pm, id) AS BIGINT) AS grp FROM n""")
 def colocated_groups(spark, d):
     return J.colocated(_line(spark, d), ["fwy", "dir"], "pm", 20.0).select("id", "fwy", "dir", "grp")
 
 
-@query("""WITH r AS (SELECT p_partkey AS id, p_brand AS fwy, p_retailprice AS pm FROM part WHERE p_partkey % 5 = 0), m AS (SELECT p_partkey AS rid, p_brand AS fwy, p_retailprice AS rp FROM part WHERE p_partkey % 5 > 2),
+@query("""WITH r AS (SELECT p_partkey AS id, p_brand AS fwy, p_retailprice AS pm FROM part WHERE p_type LIKE 'PROMO%'), m AS (SELECT p_partkey AS rid, p_brand AS fwy, p_retailprice AS rp FROM part WHERE p_type NOT LIKE 'PROMO%'),
  b AS (SELECT r.id, rid, abs(pm - rp) AS dist, row_number() OVER (PARTITION BY r.id ORDER BY abs(pm - rp), rid) AS k FROM r JOIN m USING (fwy)) SELECT r.id, b.rid AS match, round(b.dist, 6) AS dist FROM r LEFT JOIN b ON b.id = r.id AND k = 1 AND b.dist <= 5""")
 def nearest_on_line(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("fwy"), F.col("p_retailprice").alias("pm"))
-    left = p.where("id % 5 = 0")
-    right = p.where("id % 5 > 2").select(F.col("id").alias("rid"), "fwy", F.col("pm").alias("rp"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("fwy"), F.col("p_retailprice").alias("pm"), F.col("p_type").startswith("PROMO").alias("promo"))
+    left = p.where("promo")
+    right = p.where("not promo").select(F.col("id").alias("rid"), "fwy", F.col("pm").alias("rp"))
     return J.nearest(left, right, ["fwy"], "pm", "rp", "rid", 5.0).select("id", "match", R("dist").alias("dist"))
 
 
@@ -293,10 +286,10 @@ def catalog_build(spark, d):
     return n.join(s, "n_nationkey", "left").join(c, "n_nationkey", "left").select("n_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"), F.coalesce("customers", F.lit(0)).alias("customers"))
 
 
-@query("""WITH a AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1), b AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_custkey % 40 = 0 GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS in_degree, coalesce(b.n, 0) AS out_degree FROM a FULL JOIN b ON a.k = b.k""")
+@query("""WITH a AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS in_degree, coalesce(b.n, 0) AS out_degree FROM a FULL JOIN b ON a.k = b.k""")
 def full_outer_degrees(spark, d):
-    a = table(spark, d, "supplier").where("s_suppkey % 3 = 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("in_degree"))
-    b = table(spark, d, "customer").where("c_custkey % 40 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("out_degree"))
+    a = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("in_degree"))
+    b = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("out_degree"))
     return a.join(b, "k", "full").select("k", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 

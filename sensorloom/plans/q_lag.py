@@ -147,7 +147,7 @@ def lowpass_component(spark, d):
 
 @query()
 def spline_upsample(spark, d):
-    return L.cubic_upsample(hours(spark, d).where("t < 48"), 4)
+    return L.cubic_upsample(hours(spark, d), 4)
 
 
 _SHIFTS = """, nd AS (SELECT node, row_number() OVER (ORDER BY node) AS r FROM (SELECT DISTINCT node FROM panel)),

@@ -125,9 +125,9 @@ def evenly_spaced_steps(spark, d):
     return P.evenly_spaced(hours(spark, d), 720, 10).select("node", "t", R("value").alias("value"))
 
 
-@query(COUNTS_SQL + """ SELECT node, t, value FROM panel WHERE t < 30 AND node IN (SELECT node FROM panel WHERE t < 432 AND value > 2 GROUP BY node HAVING count(*) >= 150)""")
+@query(COUNTS_SQL + """ SELECT node, t, value FROM panel WHERE node IN (SELECT node FROM panel WHERE t < 432 AND value > 2 GROUP BY node HAVING count(*) >= 150)""")
 def node_activity_filter(spark, d):
-    return P.active_nodes(counts(spark, d), "train_support", 432, eps=2.0, support=150).where("t < 30").select("node", "t", "value")
+    return P.active_nodes(counts(spark, d), "train_support", 432, eps=2.0, support=150).select("node", "t", "value")
 
 
 _NEAR = """, w AS (SELECT node, t, value, last_value(value IGNORE NULLS) OVER a AS v0, first_value(value IGNORE NULLS) OVER z AS v1,

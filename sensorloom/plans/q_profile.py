@@ -60,17 +60,17 @@ def quantile_bins(spark, d):
     return P.quantile_bins(table(spark, d, "part"), "p_size", 5).groupBy("qbin").agg(F.count("*").alias("n"), R(F.avg("p_retailprice")).alias("mean"))
 
 
-@query("""WITH x AS (SELECT DISTINCT user_id AS node, dayofyear(ts) AS day FROM events WHERE event_id % 4 = 0) SELECT node, count(*) AS days, min(day) AS first, max(day) AS last, round(count(*) / (SELECT count(DISTINCT day) FROM x), 6) AS share FROM x GROUP BY 1""")
+@query("""WITH x AS (SELECT DISTINCT user_id AS node, dayofyear(ts) AS day FROM events) SELECT node, count(*) AS days, min(day) AS first, max(day) AS last, round(count(*) / (SELECT count(DISTINCT day) FROM x), 6) AS share FROM x GROUP BY 1""")
 def presence_statistics(spark, d):
-    e = table(spark, d, "events").where("event_id % 4 = 0")
+    e = table(spark, d, "events")
     return _round(P.presence(e, "user_id", F.dayofyear("ts")), ["share"])
 
 
-@query("""WITH x AS (SELECT DISTINCT user_id AS node, dayofyear(ts) AS day FROM events WHERE event_id % 4 = 0), p AS (SELECT node, count(*) AS days FROM x GROUP BY 1 HAVING count(*) >= 0.4 * (SELECT count(DISTINCT day) FROM x)), m AS (SELECT user_id AS node, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
+@query("""WITH x AS (SELECT DISTINCT user_id AS node, dayofyear(ts) AS day FROM events), p AS (SELECT node, count(*) AS days FROM x GROUP BY 1 HAVING count(*) >= 0.4 * (SELECT count(DISTINCT day) FROM x)), m AS (SELECT user_id AS node, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
  SELECT p.node, days, event_type FROM p JOIN m ON m.node = p.node AND k = 1""")
 def stable_nodes(spark, d):
     e = table(spark, d, "events")
-    return P.stable(P.presence(e.where("event_id % 4 = 0"), "user_id", F.dayofyear("ts")), e.select(F.col("user_id").alias("node"), "event_type", "event_id"), 0.4, "event_id").select("node", "days", "event_type")
+    return P.stable(P.presence(e, "user_id", F.dayofyear("ts")), e.select(F.col("user_id").alias("node"), "event_type", "event_id"), 0.4, "event_id").select("node", "days", "event_type")
 
 
 @query(HOURS_SQL + """ SELECT node, t // 24 AS day, count(value) AS slots, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, max(value) AS max, round(stddev_samp(value), 6) AS std, round(count(value) / 24, 6) AS coverage FROM panel GROUP BY 1, 2""")

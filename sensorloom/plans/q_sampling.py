@@ -106,7 +106,7 @@ def learned_graph_weights(spark, d):
     return _learned(spark, d).withColumn("weight", R("weight"))
 
 
-@query(_LEARNED + """, sm AS (SELECT n.range AS node, n.range % 4 AS sample FROM range(25) n), sc AS (SELECT a.sample, a.node AS src, b.node AS dst, round(coalesce(weight, 0), 6) AS score, CAST(e.src IS NOT NULL AS INTEGER) AS label FROM sm a JOIN sm b ON a.sample = b.sample AND a.node <> b.node LEFT JOIN lg ON lg.src = a.node AND lg.dst = b.node LEFT JOIN e ON e.src = a.node AND e.dst = b.node),
+@query(_LEARNED + """, sm AS (SELECT n.range AS node, n.range % 4 AS sample FROM range(25) n), sc AS (SELECT a.sample, a.node AS src, b.node AS dst, round(coalesce(lg.weight, 0), 6) AS score, CAST(e.src IS NOT NULL AS INTEGER) AS label FROM sm a JOIN sm b ON a.sample = b.sample AND a.node <> b.node LEFT JOIN lg ON lg.src = a.node AND lg.dst = b.node LEFT JOIN e ON e.src = a.node AND e.dst = b.node),
  k AS (SELECT *, rank() OVER (PARTITION BY sample ORDER BY score) + (count(*) OVER (PARTITION BY sample, score) - 1) / 2 AS rk FROM sc) SELECT sample, round((sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 6) AS auroc FROM k GROUP BY 1""")
 def learned_graph_scores(spark, d):
     """A learned graph at the pairs of each sample, scored against the sample's label edges."""
