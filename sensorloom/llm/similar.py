@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bitmap, bitmap_hits, compare_pairs, components, cut, inside, map_binary, stored
 from .simhash import keep_lowest, links, majority
 
-SKETCH = 16  # longs of a parity sketch
+SKETCH = 10  # a parity sketch has 2**SKETCH bits at least, and two or more for every shingle of its set
 
 
 def shingle_hashes(text: bytes, shingle: int, seed: int):
@@ -84,7 +84,8 @@ def prefixes(texts: DataFrame, similarity: Fraction, shingle: int, seed: int, co
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     order = np.where(values[at] == s, rank[at], -1)
                 keep = np.lexsort((s, order))[: len(s) - -(-len(s) * p // q) + 1]
-                odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                width = 1 << max(SKETCH, (2 * len(s)).bit_length())
+                odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                 print_.append(majority(hashes) if len(hashes) else 0)
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), seed))
                 first.append(s[keep].view(np.int64))
@@ -138,10 +139,18 @@ def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, r
     def may(left, right):
         import numpy as np
 
-        a, b = np.stack(left), np.stack(right)
-        na, nb = a[:, -1].astype(np.int64), b[:, -1].astype(np.int64)
-        apart = np.bitwise_count(a[:, :-1] ^ b[:, :-1]).sum(axis=1, dtype=np.int64)
-        return (apart * (p + q) <= (na + nb) * (q - p)) & (np.minimum(na, nb) * q >= np.maximum(na, nb) * p)
+        out = np.zeros(len(left), dtype=bool)
+        for k, (a, b) in enumerate(zip(left, right)):
+            na, nb, a, b = int(a[-1]), int(b[-1]), a[:-1], b[:-1]
+            if min(na, nb) * q < max(na, nb) * p:
+                continue
+            while len(a) != len(b):  # the longer one is folded: its halves' parities add up
+                if len(a) > len(b):
+                    a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+                else:
+                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+            out[k] = int(np.bitwise_count(a ^ b).sum()) * (p + q) <= (na + nb) * (q - p)
+        return out
 
     def numbers(body):
         import numpy as np
