@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators.metrics import guarded_corr
+from sensorloom.operators.metrics import guarded_corr, value_ranks
 
 
 def lag_scores(signal: DataFrame, edges: DataFrame, max_lag: int, extra: list[str] | None = None, circular: int | None = None) -> DataFrame:
@@ -89,10 +89,10 @@ def combine(a: DataFrame, b: DataFrame, how: str = "max") -> DataFrame:
 
 def auroc(scored: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve by ranks, ties sharing their mean rank; null without both classes."""
-    w = Window.partitionBy(*by)
-    r = scored.withColumn("__r", F.rank().over(w.orderBy(score)) + (F.count("*").over(Window.partitionBy(*by, score)) - 1) / 2)
-    pos, n = F.count_if(F.col(label) == 1), F.count("*")
-    return r.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col(label) == 1, F.col("__r"))) - pos * (pos + 1) / 2, pos * (n - pos)).alias("auroc"))
+    c = scored.groupBy(*by, score).agg(F.count("*").alias("__n"), F.count_if(F.col(label) == 1).alias("__p"))
+    r = c.join(value_ranks(scored, by, score, "__r"), [*by, score])
+    pos, n = F.sum("__p"), F.sum("__n")
+    return r.groupBy(*by).agg(F.try_divide(F.sum(F.col("__p") * F.col("__r")) - pos * (pos + 1) / 2, pos * (n - pos)).alias("auroc"))
 
 
 def best_f1(scored: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:

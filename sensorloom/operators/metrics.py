@@ -136,11 +136,33 @@ def wasserstein(facts: DataFrame, by: list[str]) -> DataFrame:
     return a.join(b, [*by, "k"]).groupBy(*by).agg(F.avg(F.abs(F.col("pred") - F.col("target"))).alias("w1"))
 
 
+def value_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", ascending: bool = True, parts: int = 64) -> DataFrame:
+    """(by, value, out): the rank from 1 of each distinct value of a key, ties sharing the mean of their places.
+
+    Rows are counted by value first. Approximate quantiles deal a key's values into parts, so
+    that no task orders all of a key; a part's ranks start after the counts of the parts
+    before it, a few numbers for each key.
+    """
+    c = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    cuts = [k / parts for k in range(1, parts)]
+    bounds = c.groupBy(*by).agg(F.percentile_approx(value, cuts, 1000).alias("__q"))
+    part = F.size(F.filter(F.coalesce("__q", F.array().cast(dict(bounds.dtypes)["__q"])), lambda x: x < F.col(value)))
+    d = c.join(bounds, by).withColumn("__b", F.coalesce(part, F.lit(0))).drop("__q")
+    order = lambda x: F.col(x).asc() if ascending else F.col(x).desc()
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = d.withColumn("__i", before(Window.partitionBy(*by, "__b").orderBy(order(value))))
+    start = d.groupBy(*by, "__b").agg(F.sum("__n").alias("__n")).withColumn("__s", before(Window.partitionBy(*by).orderBy(order("__b")))).drop("__n")
+    return inside.join(start, [*by, "__b"]).select(*by, value, (F.col("__s") + F.col("__i") + (F.col("__n") + 1) / 2).alias(out))
+
+
 def average_rank(df: DataFrame, by: list[str], value: str, out: str = "rank", ascending: bool = True) -> DataFrame:
     """Ranks from 1, ties sharing the mean of their places."""
-    order = F.col(value).asc() if ascending else F.col(value).desc()
-    w = Window.partitionBy(*by)
-    return df.withColumn(out, F.rank().over(w.orderBy(order)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    r = value_ranks(df, by, value, out, ascending)
+    same = [F.col(f"__x.{c}").eqNullSafe(F.col(f"__r.{c}")) for c in [*by, value]]
+    cond = same[0]
+    for x in same[1:]:
+        cond = cond & x
+    return df.alias("__x").join(r.alias("__r"), cond).select("__x.*", F.col(f"__r.{out}"))
 
 
 def kendall(ranks: DataFrame, item: str, a: str, b: str, by: list[str]) -> DataFrame:
