@@ -106,3 +106,64 @@ def prune_longest(edges: DataFrame, component: str = "component") -> DataFrame:
 
     e = edges.select(F.col(component).cast("long").alias("component"), F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double")).dropDuplicates(["src", "dst"])
     return e.groupBy("component").applyInPandas(prune, "component long, src long, dst long, weight double")
+
+
+def independent_columns(panel: DataFrame, by: str, min_std: float = 1e-8) -> DataFrame:
+    """(by, node, pos): of each group's series (by, node, t, value) those that raise the rank of the centred matrix when taken in order of node, and vary by more than min_std.
+
+    A group is one small sample's matrix; steps at which any series has a gap are left out.
+    """
+
+    def choose(pdf):
+        import numpy as np
+        import pandas as pd
+
+        wide = pdf.pivot_table(index="t", columns="node", values="value").sort_index().dropna()
+        x = wide.to_numpy() - wide.to_numpy().mean(axis=0) if len(wide) else np.zeros((0, wide.shape[1]))
+        kept, basis = [], np.zeros((len(x), 0))
+        for j in range(x.shape[1]):
+            rest = x[:, j] - basis @ (basis.T @ x[:, j])
+            size = np.linalg.norm(x[:, j])
+            if size > 0 and np.linalg.norm(rest) > 1e-9 * size and x[:, j].std() > min_std:
+                kept.append(wide.columns[j])
+                basis = np.column_stack([basis, rest / np.linalg.norm(rest)])
+        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(kept), "node": kept, "pos": range(len(kept))})
+
+    kind = dict(panel.dtypes)
+    return panel.select(by, "node", "t", "value").groupBy(by).applyInPandas(choose, f"{by} {kind[by]}, node {kind['node']}, pos int")
+
+
+def breadth_chunks(edges: DataFrame, size: int, component: str = "component") -> DataFrame:
+    """(node, component, chunk): nodes of each component (component, src, dst) in chunks of at most `size` by breadth-first search, seeds and neighbours in order of falling degree, then node.
+
+    The order is sequential, so a component is one task; components must fit an executor.
+    """
+
+    def chunks(pdf):
+        import pandas as pd
+
+        near: dict = {}
+        for a, b in zip(pdf["src"], pdf["dst"]):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        order = sorted(near, key=lambda n: (-len(near[n] - {n}), n))
+        place = {n: k for k, n in enumerate(order)}
+        out, chunk = {}, 0
+        for seed in order:
+            if seed in out:
+                continue
+            queue, n = [seed], 0
+            seen = {seed}
+            while queue and n < size:
+                at = queue.pop(0)
+                out[at] = chunk
+                n += 1
+                for m in sorted(near[at], key=place.get):
+                    if m not in out and m not in seen:
+                        seen.add(m)
+                        queue.append(m)
+            chunk += 1
+        return pd.DataFrame({"node": list(out), "component": pdf[component].iloc[0], "chunk": list(out.values())})
+
+    e = edges.select(component, F.col("src").cast("long"), F.col("dst").cast("long"))
+    return e.groupBy(component).applyInPandas(chunks, f"node long, component {dict(edges.dtypes)[component]}, chunk int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sensorloom.operators import graph as G
 from sensorloom.operators import numeric as N
 from sensorloom.plans.fixtures import counts
 from sensorloom.plans.q_graph import SPARSE, sparse
@@ -43,3 +44,16 @@ def two_hop_projection(spark, d):
     e = sparse(spark, d).select("src", "dst")
     two = e.alias("u").join(e.alias("v"), F.col("u.dst") == F.col("v.src")).where("u.src <> v.dst").select(F.col("u.src").alias("src"), F.col("v.dst").alias("dst"))
     return two.join(e, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.count("*").alias("paths"))
+
+
+@query()
+def full_rank_columns(spark, d):
+    """Independent series of each period of the counts; tests check planted sums and constants."""
+    return N.independent_columns(counts(spark, d).withColumn("part", F.floor(F.col("t") / 240)), "part")
+
+
+@query()
+def breadth_first_chunks(spark, d):
+    """Chunks of at most six nodes of the sparse graph's components; tests check sizes and connection."""
+    e = sparse(spark, d)
+    return N.breadth_chunks(e.join(G.components(e).withColumnRenamed("node", "src"), "src"), 6)

@@ -95,3 +95,20 @@ def test_causal_registry(spark):
     with pytest.raises(KeyError):
         K.get_method("none")
     assert G.edges_all(labels, F.lit(True)).count() == 3
+
+
+def test_independent_columns_and_chunks(spark):
+    from sensorloom.operators import numeric as N
+
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=50), rng.normal(size=50)
+    cols = {"a": a, "b": b, "c": a + b, "d": np.ones(50), "e": a - 2 * b + 1, "f": rng.normal(size=50)}
+    rows = [(0, n, t, float(v[t])) for n, v in cols.items() for t in range(50)]
+    got = N.independent_columns(spark.createDataFrame(rows, "part long, node string, t long, value double"), "part").collect()
+    assert [(r.node, r.pos) for r in sorted(got, key=lambda r: r.pos)] == [("a", 0), ("b", 1), ("f", 2)]
+    e = spark.createDataFrame([(1, k, k + 1) for k in range(9)] + [(2, 20, 21)], "component long, src long, dst long")
+    out = {}
+    for r in N.breadth_chunks(e, 4).collect():
+        out.setdefault((r.component, r.chunk), []).append(r.node)
+    assert sorted(len(v) for v in out.values()) == [2, 2, 4, 4] or max(map(len, out.values())) <= 4
+    assert sorted(n for v in out.values() for n in v) == [*range(10), 20, 21]
