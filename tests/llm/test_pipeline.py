@@ -49,3 +49,23 @@ def test_representatives(spark):
     got = near_duplicates(docs).collect()
     want = {r.component_id for r in got if r.component_id is not None}
     assert sorted(k for k in kept if k is not None) == sorted(want) and kept.count(None) == 1
+
+
+def test_stages_with_clashing_names_nulls_and_empty_tables(spark, tmp_path):
+    """Columns named like the operators' own are kept with their values; empty tables give empty ones; nulls and repeated rows have their stated result."""
+    names = ["k", "h", "keep", "tokens", "posterior", "base", "terms", "k1", "root", "node", "score", "__k", "__h"]
+    rows, _ = documents(spark)
+    rows = [(i, t, lang, "s", n, *range(len(names))) for i, t, lang, _, n, _ in rows[:60] + [rows[5]] + [r for r in rows if r[0] is None or r[0] >= 400]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all([r[n] for n in names] == list(range(len(names))) for r in got)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(kept) == len(set(kept)) and sum(t is None for _, t in kept) <= 1
+    same = corpus_pipeline.personal_data(spark, docs, "")
+    assert same.count() == docs.count() and same.where("text is null and n_chars is null").count() == 1
+    assert corpus_pipeline.packing(spark, docs.limit(0), "").count() == 0
