@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 from .chroma import match_recordings
 from .common import table
 from .langid import identify_language, train_language_model
+from .lexical import LEXICAL_SQL, search_documents
 from .license import license_sql, scan_licenses
 from .mixing import TARGETS, mixing_rates
 from .packing import pack
 from .passages import remove_passages
 from .pii import find_personal_data
+from .prefix_trie import conversation_trie, trie_sql
+from .sharding import interleave_sql, shard_documents
 from .simhash import near_duplicates
 from .topk import top_k
 from .toxicity import held_out, score_toxicity, train_toxicity
@@ -75,9 +79,25 @@ def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_recordings(table(spark, sf_dir, "documents").selectExpr("doc_id", "encode(text, 'UTF-8') AS pcm"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against all documents; nulls, empty texts, ties and repeated rows as in search_documents."""
+    return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of the law `rows`; nulls, empty texts, ties and repeated rows as in shard_documents."""
+    dealt = shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations; nulls, empty texts, ties and repeated rows as in conversation_trie."""
+    return conversation_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_passages": op6_passages, "op7_topk": op7_topk, "op8_chroma": op8_chroma, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack, "pipeline": corpus_pipeline.run}
+    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_passages": op6_passages, "op7_topk": op7_topk, "op8_chroma": op8_chroma, "op9_personal_data": op9_personal_data, "op10_pack": op10_pack, "op11_lexical": op11_lexical, "op12_interleave": op12_interleave, "op13_prefix_trie": op13_prefix_trie, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op7_topk": TOPK_SQL}
+    return {"op1_license_scan": license_sql(), "op7_topk": TOPK_SQL, "op11_lexical": LEXICAL_SQL, "op12_interleave": interleave_sql(), "op13_prefix_trie": trie_sql()}
