@@ -99,22 +99,6 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], lpos: str, rpos: s
     return left.join(best, "id", "left")
 
 
-def knn(points: DataFrame, k: int, distance) -> DataFrame:
-    """Directed k nearest neighbours (src, dst, dist) of a small point table (id, x, y): every pair is measured.
-
-    The point set is a sensor catalog: thousands of rows, not facts; it is broadcast and
-    checked to be at most 100000 rows.
-    """
-    n = points.count()
-    if n > 100_000:
-        raise ValueError("knn compares all pairs and is meant for catalogs of at most 100000 points")
-    a = points.select(F.col("id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    b = F.broadcast(points.select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2")))
-    d = a.join(b, F.col("src") != F.col("dst")).withColumn("dist", distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    w = Window.partitionBy("src").orderBy("dist", "dst")
-    return d.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("src", "dst", "dist")
-
-
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, status, field, before, after): added and removed keys, and changed fields of common ones."""
     added = new.join(old, key, "left_anti").select(key, F.lit("added").alias("status"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import graph as G
 from sensorloom.operators import joins as J
+from sensorloom.operators.nearest import FLAT_KM, HAVERSINE_M, knn, knn_graph
 from sensorloom.plans.fixtures import FLOWS_SQL, PANEL, counts, flows
 from sensorloom.plans.registry import query, table
 
@@ -226,7 +227,15 @@ def radius_join(spark, d):
  SELECT src, dst, round(dist, 6) AS dist, CASE WHEN dist >= 20 THEN 3 WHEN dist >= 10 THEN 2 WHEN dist >= 5 THEN 1 WHEN dist >= 0 THEN 0 END AS bin FROM k QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 4""")
 def knn_graph_with_bins(spark, d):
     p = _points(spark, d).select("id", F.col("lat").alias("x"), F.col("lon").alias("y"))
-    return J.bins_join(J.knn(p, 4, J.flat_km), "dist", [0, 5, 10, 20]).withColumn("dist", R("dist"))
+    return J.bins_join(knn(p, 4, FLAT_KM), "dist", [0, 5, 10, 20]).withColumn("dist", R("dist"))
+
+
+@query(f"""WITH {_POINTS}, h AS (SELECT a.id AS src, b.id AS dst, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2 AS h FROM pt a JOIN pt b ON a.id <> b.id),
+ k AS (SELECT src, dst, {_HAV} AS dist FROM h QUALIFY row_number() OVER (PARTITION BY src ORDER BY {_HAV}, dst) <= 5), s AS (SELECT median(dist) FILTER (dist > 0) AS s FROM k), e AS (SELECT src, dst, exp(-((dist / s) ** 2)) AS w FROM k, s), z AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e)
+ SELECT src, dst, round(max(w), 6) AS weight FROM z GROUP BY 1, 2""")
+def knn_gaussian_graph(spark, d):
+    p = _points(spark, d).select("id", F.col("lat").alias("x"), F.col("lon").alias("y"))
+    return _sorted_edges(knn_graph(p, 5, HAVERSINE_M))
 
 
 @query("""WITH p AS (SELECT l_orderkey AS id, l_returnflag AS fwy, l_linestatus AS dir, l_extendedprice AS pm FROM lineitem),
