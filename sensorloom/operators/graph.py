@@ -21,6 +21,16 @@ def ensure_checkpoint_dir(spark) -> None:
     sc.setCheckpointDir(named)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the checkpoint folder and read again: its lineage ends, and it is computed once (an eager checkpoint computes it twice)."""
+    import uuid
+
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir().rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def strip_self_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst")
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators.graph import ensure_checkpoint_dir
+from sensorloom.operators.graph import kept
 from sensorloom.operators.joins import flat_km, haversine_m
 
 LEVELS = 31
@@ -90,11 +90,6 @@ def _positions(points: DataFrame, k: int) -> DataFrame:
     return few.groupBy("x", "y").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def knn(points: DataFrame, k: int, metric: Metric = PLANE, leaf: int = 0, range_rows: int = 1 << 17) -> DataFrame:
     """The k nearest other points of each point (id, x, y) as (src, dst, dist), ties to the smaller dst; all others where there are fewer.
 
@@ -103,7 +98,7 @@ def knn(points: DataFrame, k: int, metric: Metric = PLANE, leaf: int = 0, range_
     """
     spark = points.sparkSession
     known = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    placed = _kept(_positions(known, k))
+    placed = kept(_positions(known, k))
     b = placed.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     if not b["n"]:
         return known.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"))
@@ -132,12 +127,12 @@ def knn(points: DataFrame, k: int, metric: Metric = PLANE, leaf: int = 0, range_
         yield pdf.assign(level=level, leaf=number + (TaskContext.get().partitionId() << 40))
 
     schema = coded.schema.simpleString()[7:-1].replace(":", " ") + ", level int, leaf long"
-    held = _kept((coded.repartitionByRange(ranges, "code") if ranges > 1 else coded.coalesce(1)).mapInPandas(split, schema))
+    held = kept((coded.repartitionByRange(ranges, "code") if ranges > 1 else coded.coalesce(1)).mapInPandas(split, schema))
 
     # Leaves as boxes, in units of the distance.
     ux, uy = F.col("x") * per_x, F.col("y") * per_y
     boxes = held.groupBy("leaf").agg(F.first("level").alias("level"), F.min("code").alias("code"), F.count("*").alias("n"), F.min(ux).alias("ax"), F.max(ux).alias("bx"), F.min(uy).alias("ay"), F.max(uy).alias("by"))
-    boxes = _kept(boxes)
+    boxes = kept(boxes)
     cell = lambda c, lev: F.expr(f"shiftright({c}, 2 * ({LEVELS} - ({lev})))")
     even = lambda c: F.expr("aggregate(sequence(0, 30), 0L, (s, i) -> s | shiftleft(shiftright(%s, 2 * i) & 1L, i))" % c)
     # A leaf asks, at its parent's level, for the cells within the bound of its parent's cell.
@@ -168,7 +163,7 @@ def knn(points: DataFrame, k: int, metric: Metric = PLANE, leaf: int = 0, range_
     far = lambda a, z, oa, oz: F.greatest(F.col(oz) - F.col(a), F.col(z) - F.col(oa))
     m = pairs.join(asked.select("leaf", "bound", "ax", "bx", "ay", "by"), "leaf").join(o, F.col("other") == F.col("o_leaf"))
     m = m.withColumn("least", F.greatest(gap("ax", "bx", "o_ax", "o_bx"), gap("ay", "by", "o_ay", "o_by"))).withColumn("most", stretch * F.sqrt(far("ax", "bx", "o_ax", "o_bx") ** 2 + far("ay", "by", "o_ay", "o_by") ** 2))
-    m = _kept(m.select("leaf", "other", "bound", "least", F.when(F.col("o_n") > k, F.col("most")).alias("most")))
+    m = kept(m.select("leaf", "other", "bound", "least", F.when(F.col("o_n") > k, F.col("most")).alias("most")))
     tight = m.groupBy("leaf").agg((F.least(F.min("bound"), F.coalesce(F.min("most"), F.lit(float("inf")))) * (1 + 1e-9) + 1e-12).alias("bound"))
     m = m.drop("bound").join(tight, "leaf").where("least <= bound").select("leaf", "other", "bound").join(o.select("o_leaf", "o_ax", "o_bx", "o_ay", "o_by"), F.col("other") == F.col("o_leaf"))
 
@@ -195,7 +190,7 @@ def knn_graph(points: DataFrame, k: int, metric: Metric = PLANE, weight: str = "
 
     Raises ValueError for Gaussian weights where no distance is positive. Points at one place have weight 1.
     """
-    near = _kept(knn(points, k, metric))
+    near = kept(knn(points, k, metric))
     if weight == "binary":
         e = near.select("src", "dst", F.lit(1.0).alias("weight"))
     elif weight == "gaussian":

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom.operators import selection as S
-from sensorloom.operators.graph import ensure_checkpoint_dir
+from sensorloom.operators.graph import ensure_checkpoint_dir, strip_self_loops, symmetrize
+from sensorloom.operators.louvain import louvain, modularity, split_groups
 from sensorloom.plans.fixtures import FACTS_SQL, predictions
 from sensorloom.plans.q_graph import SPARSE, sparse
 from sensorloom.plans.registry import query, table
@@ -103,6 +104,21 @@ def propagated_groups(spark, d):
     return S.label_groups(sparse(spark, d))
 
 
+@query()
+def modularity_groups(spark, d):
+    """Louvain groups of the sparse graph, groups above eight nodes cut breadth first; tests hold modularity against a plain Louvain."""
+    e = sparse(spark, d)
+    return split_groups(e, louvain(e), 8, 4)
+
+
+@query(SPARSE + """, y AS (SELECT src, dst, max(weight) AS w FROM (SELECT src, dst, weight FROM e WHERE src <> dst UNION ALL SELECT dst, src, weight FROM e WHERE src <> dst) GROUP BY 1, 2), g AS (SELECT CAST(n_nationkey AS BIGINT) AS node, n_regionkey AS grp FROM nation),
+ j AS (SELECT a.grp AS ga, b.grp AS gb, w FROM y JOIN g a ON a.node = src JOIN g b ON b.node = dst), m AS (SELECT sum(w) AS m FROM j) SELECT round(sum(inn) / max(m) - sum(tot * tot) / max(m * m), 6) AS modularity FROM (SELECT ga, sum(w) AS tot, sum(w) FILTER (ga = gb) AS inn FROM j GROUP BY 1), m""")
+def region_modularity(spark, d):
+    """How well the regions part the trade graph."""
+    g = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").alias("grp"))
+    return modularity(symmetrize(strip_self_loops(sparse(spark, d))), g).select(R("modularity").alias("modularity"))
+
+
 @query("""WITH n AS (SELECT CAST(floor(count(*) * 0.05) AS BIGINT) AS w FROM events), r AS (SELECT event_id AS id, row_number() OVER (ORDER BY value DESC, event_id) AS k FROM events), h AS (SELECT id FROM r, n WHERE k <= w - CAST(floor(w * 0.2) AS BIGINT)), o AS (SELECT event_id AS id, row_number() OVER (ORDER BY md5('7/' || event_id), event_id) AS k FROM events WHERE event_id NOT IN (SELECT id FROM h))
  SELECT id, true AS hard FROM h UNION ALL SELECT id, false FROM o, n WHERE k <= CAST(floor(w * 0.2) AS BIGINT)""")
 def epsilon_greedy_samples(spark, d):
