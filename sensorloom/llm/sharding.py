@@ -45,7 +45,7 @@ def interleave(rows: DataFrame, stratum: str, shards: int, seed: int = 12, bucke
     """
     columns = rows.columns
     total = rows.count()
-    bits = max(0, (total // bucket_rows).bit_length())
+    bits = max(min(8, total.bit_length()), (total // bucket_rows).bit_length())
     key = F.when(F.col(stratum).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(stratum).cast("string")))
     (k, h, hb, times, n, rank, share, fb, place, part) = fresh(rows, "key", "hash", "hash_bucket", "times", "n", "rank", "share", "share_bucket", "place", "part")
     once = rows.withColumn(k, key).withColumn(h, seeded_hash(seed, *[F.col(c) for c in columns if c != stratum]))
