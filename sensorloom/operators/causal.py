@@ -63,7 +63,7 @@ def lagged_correlation(signal: DataFrame, pairs: DataFrame) -> DataFrame:
 def stronger_direction(signal: DataFrame, pairs: DataFrame) -> DataFrame:
     s = _lagged(signal, pairs, 1, 3)
     o = s.select("sample", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("score").alias("__o"))
-    return s.join(o, ["sample", "src", "dst"], "left").select("sample", "src", "dst", F.when(F.col("score") >= F.coalesce("__o", F.lit(0.0)), F.col("score")).otherwise(0.0).alias("score"))
+    return s.join(o, ["sample", "src", "dst"], "left").select("sample", "src", "dst", F.when(F.col("score") > F.coalesce("__o", F.lit(0.0)), F.col("score")).otherwise(0.0).alias("score"))
 
 
 @method("mean_difference")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators.storage import first_rows, numbered
+
 
 def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
 def nearest_centers(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """(id, v, cluster, d1, d2): nearest center and the distances to the nearest two; centers (cluster, c) are few and broadcast."""
+    """(id, v, cluster, d1, d2): nearest center and the distances to the nearest two; centers (cluster, c), 4096 at most, are broadcast."""
+    if centers.limit(4097).count() > 4096:
+        raise ValueError("more than 4096 centers")
     pairs = points.select("id", "v").crossJoin(F.broadcast(centers.select("cluster", "c")))
     d = F.round(F.sqrt(_squared(F.col("v"), F.col("c"))), 9)
     best = pairs.groupBy("id").agg(F.min(F.struct(d.alias("d"), "cluster")).alias("m"), F.array_sort(F.collect_list(d)).alias("ds"), F.first("v").alias("v"))
@@ -45,13 +49,15 @@ def confidence(assignment: DataFrame, eps: float = 1e-9) -> DataFrame:
 
 
 def halving_leaves(points: DataFrame, depth: int) -> DataFrame:
-    """(id, leaf): balanced leaves by halving on alternating axes x and y, ties by id; 2**depth leaves."""
+    """(id, leaf): balanced leaves by halving on alternating axes x and y, ties by id; 2**depth leaves.
+
+    A level is one global order by leaf and axis; a leaf's start is the sum of the sizes of the leaves before it.
+    """
     p = points.select("id", "x", "y").withColumn("leaf", F.lit(0))
     for level in range(depth):
-        w = Window.partitionBy("leaf")
-        rank = F.row_number().over(w.orderBy("xy"[level % 2], "id"))
-        half = F.ceil(F.count("*").over(w) / 2)
-        p = p.withColumn("leaf", F.col("leaf") * 2 + (rank > half).cast("int"))
+        p = numbered(p, [F.asc("leaf"), F.asc("xy"[level % 2]), F.asc("id")], "k")
+        spans = p.groupBy("leaf").agg(F.min("k").alias("from"), F.count("*").alias("n"))
+        p = p.join(F.broadcast(spans), "leaf").select("id", "x", "y", (F.col("leaf") * 2 + (F.col("k") - F.col("from") >= F.ceil(F.col("n") / 2)).cast("int")).alias("leaf"))
     return p.select("id", "leaf")
 
 
@@ -70,8 +76,8 @@ def group_signal(panel: DataFrame, groups: DataFrame, how: str = "mean") -> Data
 
 def hashed_groups(nodes: DataFrame, size: int) -> DataFrame:
     """(node, grp): a fixed random order cut into equal groups."""
-    rank = F.row_number().over(Window.orderBy(F.md5(F.col("node").cast("string")))) - 1
-    return nodes.withColumn("grp", F.floor(rank / size))
+    placed = numbered(nodes.withColumn("__h", F.md5(F.col("node").cast("string"))), [F.asc("__h"), F.asc("node")], "__k")
+    return placed.withColumn("grp", F.floor(F.col("__k") / size)).drop("__h", "__k")
 
 
 def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
 def keep_hard(losses: DataFrame, share: float, loss: str = "loss") -> DataFrame:
     """The hardest share of samples: largest losses, ties by id."""
     n = losses.count()
-    return losses.orderBy(F.desc(loss), "id").limit(max(1, int(n * share)))
+    return first_rows(losses, max(1, int(n * share)), [F.desc(loss), F.asc("id")])
 
 
 def importance_prune(losses: DataFrame, keep: float, loss: str = "loss") -> DataFrame:

@@ -5,30 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark) -> None:
-    """Uses the shared folder that the session names; a temporary one only in local mode, where there is no other machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        named = tempfile.mkdtemp()
-    sc.setCheckpointDir(named)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the checkpoint folder and read again: its lineage ends, and it is computed once (an eager checkpoint computes it twice)."""
-    import uuid
-
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir().rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from sensorloom.operators.storage import ensure_checkpoint_dir, kept, numbered  # noqa: F401
 
 
 def strip_self_loops(edges: DataFrame) -> DataFrame:
@@ -112,15 +89,17 @@ def chebyshev(lap: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def degrees(edges: DataFrame, hub_share: float = 0.1) -> DataFrame:
-    """(node, in_degree, out_degree, degree, is_hub); degree counts distinct neighbours either way, hubs are the top share by degree, then id."""
+def degrees(edges: DataFrame, hub_share: float = 0.15) -> DataFrame:
+    """(node, in_degree, out_degree, degree, is_hub); degree counts distinct neighbours either way, hubs are the top share by degree (halves to the even number, one at least), then id; none where all degrees are equal."""
     e = strip_self_loops(edges)
     out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
     into = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
     any_ = e.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("other"))).groupBy("node").agg(F.count_distinct("other").alias("degree"))
     n = nodes_of(edges).join(out, "node", "left").join(into, "node", "left").join(any_, "node", "left").fillna(0)
-    rank = F.row_number().over(Window.orderBy(F.desc("degree"), "node"))
-    return n.withColumn("is_hub", rank <= F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy()) * hub_share))).select("node", "in_degree", "out_degree", "degree", "is_hub")
+    placed = numbered(n, [F.desc("degree"), F.asc("node")], "__k")
+    s = placed.agg(F.count("*").alias("n"), F.max("degree").alias("hi"), F.min("degree").alias("lo")).first()
+    hubs = max(1, round(s["n"] * hub_share)) if s["n"] and s["hi"] > s["lo"] else 0
+    return placed.select("node", "in_degree", "out_degree", "degree", (F.col("__k") < hubs).alias("is_hub"))
 
 
 def top_k(edges: DataFrame, k: int, largest: bool = True) -> DataFrame:
@@ -237,9 +216,9 @@ def induced(edges: DataFrame, anchors: DataFrame, both: bool = True) -> DataFram
     """Edges with both (or either) ends among anchors (node), ids renumbered densely from 0."""
     a, b = anchors.select(F.col("node").alias("src"), F.lit(1).alias("__a")), anchors.select(F.col("node").alias("dst"), F.lit(1).alias("__b"))
     j = edges.join(a, "src", "left").join(b, "dst", "left")
-    kept = j.where(F.col("__a").isNotNull() & F.col("__b").isNotNull() if both else F.col("__a").isNotNull() | F.col("__b").isNotNull()).drop("__a", "__b")
-    number = nodes_of(kept).withColumn("idx", (F.row_number().over(Window.orderBy("node")) - 1).cast("int"))
-    return kept.join(number.select(F.col("node").alias("src"), F.col("idx").alias("src_idx")), "src").join(number.select(F.col("node").alias("dst"), F.col("idx").alias("dst_idx")), "dst")
+    found = j.where(F.col("__a").isNotNull() & F.col("__b").isNotNull() if both else F.col("__a").isNotNull() | F.col("__b").isNotNull()).drop("__a", "__b")
+    number = numbered(nodes_of(found), [F.asc("node")], "idx").withColumn("idx", F.col("idx").cast("int"))
+    return found.join(number.select(F.col("node").alias("src"), F.col("idx").alias("src_idx")), "src").join(number.select(F.col("node").alias("dst"), F.col("idx").alias("dst_idx")), "dst")
 
 
 def connected_subgraphs(edges: DataFrame, size: int) -> DataFrame:

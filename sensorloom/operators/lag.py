@@ -62,23 +62,42 @@ def summarize_lags(scores: DataFrame, how: str = "max", skip_zero: bool = True)
 
 
 def pairwise_winner(scores: DataFrame) -> DataFrame:
-    """Each pair's stronger direction keeps its score, the other gets 0; equal scores both stay."""
+    """Each pair's stronger direction keeps its score, the other gets 0; of equal scores both get 0."""
     o = scores.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("score").alias("__o"))
-    return scores.join(o, ["src", "dst"], "left").withColumn("score", F.when(F.col("score") >= F.coalesce("__o", F.lit(0.0)), F.col("score")).otherwise(0.0)).drop("__o")
+    return scores.join(o, ["src", "dst"], "left").withColumn("score", F.when(F.col("score") > F.coalesce("__o", F.lit(0.0)), F.col("score")).otherwise(0.0)).drop("__o")
 
 
 def mean_scores(signal: DataFrame, mode: str = "difference") -> DataFrame:
-    """(src, dst, score) from the nodes' means: difference dst - src (at least 0) or ratio."""
+    """(src, dst, score) from the nodes' means where dst's is the larger, else 0: their difference, or dst's over the absolute value of src's (1e-12 at least)."""
     m = signal.groupBy("node").agg(F.avg("value").alias("m"))
     a, b = m.select(F.col("node").alias("src"), F.col("m").alias("a")), m.select(F.col("node").alias("dst"), F.col("m").alias("b"))
-    v = F.greatest(F.col("b") - F.col("a"), F.lit(0.0)) if mode == "difference" else F.coalesce(F.try_divide("b", "a"), F.lit(0.0))
-    return a.join(b, F.col("src") != F.col("dst")).select("src", "dst", v.alias("score"))
+    v = F.col("b") - F.col("a") if mode == "difference" else F.col("b") / F.greatest(F.abs("a"), F.lit(1e-12))
+    return a.join(b, F.col("src") != F.col("dst")).select("src", "dst", F.when(F.col("b") > F.col("a"), v).otherwise(0.0).alias("score"))
 
 
-def select_child(scores: DataFrame, key: Column, keep: int = 1) -> DataFrame:
-    """Only each source's best children by key keep their score."""
-    w = Window.partitionBy("src").orderBy(key, "dst")
-    return scores.withColumn("score", F.when(F.row_number().over(w) <= keep, F.col("score")).otherwise(0.0))
+def select_child(scores: DataFrame, rule: str, means: DataFrame | None = None, support: DataFrame | None = None) -> DataFrame:
+    """Only one child of each source, among those with a score above 0, keeps its score; the others get 0. Ties go to the smaller child.
+
+    next: the child of the next larger mean (means: node, m), then of the larger score; where
+    no child has a larger mean, the one of the largest score. biggest: of the largest mean,
+    then score. corr: of the largest support (src, dst, support; 0 where missing), then score.
+    all: every child.
+    """
+    if rule == "all":
+        return scores
+    if rule not in ("next", "biggest", "corr"):
+        raise ValueError(f"unknown rule {rule!r}: all, next, biggest or corr")
+    c = scores.where("score > 0 AND src <> dst")
+    if rule == "corr":
+        c = c.join(support.select("src", "dst", "support"), ["src", "dst"], "left").fillna(0.0, ["support"])
+        order = [F.desc("support"), F.desc("score")]
+    else:
+        a, b = means.select(F.col("node").alias("src"), F.col("m").alias("__a")), means.select(F.col("node").alias("dst"), F.col("m").alias("__b"))
+        c = c.join(a, "src").join(b, "dst")
+        larger = F.col("__b") > F.col("__a")
+        order = [F.desc("__b"), F.desc("score")] if rule == "biggest" else [F.desc(larger), F.when(larger, F.col("__b") - F.col("__a")), F.desc("score")]
+    best = c.withColumn("__k", F.row_number().over(Window.partitionBy("src").orderBy(*order, "dst"))).where("__k = 1").select("src", "dst", F.lit(True).alias("__best"))
+    return scores.join(best, ["src", "dst"], "left").withColumn("score", F.when(F.col("__best"), F.col("score")).otherwise(0.0)).drop("__best")
 
 
 def combine(a: DataFrame, b: DataFrame, how: str = "max") -> DataFrame:

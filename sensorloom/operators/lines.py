@@ -6,22 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bracket(points: DataFrame, refs: DataFrame, by: list[str], pos: str, rid: str, tolerance: float) -> DataFrame:
-    """points (id, by, pos) with the reference rows (by, pos, rid) around them: match where one is within tolerance, lower and upper neighbours within tolerance * 10.
-
-    Both sides are put in one order per key and references are carried forward and backward:
-    one shuffle, no range join. Ties: the smaller rid.
+def bracket(points: DataFrame, refs: DataFrame, by: list[str], pos: str, rid: str, tolerance: float, reach: float | None = None) -> DataFrame:
+    """points (id, by, pos) with the reference rows (by, pos, rid) around them: match, lower, lower_pos, upper, upper_pos, mode, gap.
+
+    exact: the nearest row (the lower of two as near) lies within max(tolerance, 0.05) and is
+    match, lower and upper. before_start, after_end: the first or last row is both. Else
+    between, if both neighbours lie within `reach` (the tolerance, unless given), gap the
+    larger distance; or all null. Of rows at one place the smaller rid comes first. Both sides
+    are put in one order per key and references are carried forward and backward: one shuffle, no range join.
     """
-    r = refs.groupBy(*by, pos).agg(F.min(rid).alias("__rid")).select(*by, F.col(pos).alias("__p"), F.struct(F.col(pos).alias("pos"), F.col("__rid").alias("rid")).alias("__r"), F.lit(None).cast(dict(points.dtypes)["id"]).alias("id"))
+    reach = tolerance if reach is None else reach
+    row = F.struct(F.col(pos).alias("pos"), F.col("__a").alias("first"), F.col("__z").alias("last"))
+    r = refs.groupBy(*by, pos).agg(F.min(rid).alias("__a"), F.max(rid).alias("__z")).select(*by, F.col(pos).alias("__p"), row.alias("__r"), F.lit(None).cast(dict(points.dtypes)["id"]).alias("id"))
     p = points.select(*by, F.col(pos).alias("__p"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), "id")
     w = Window.partitionBy(*by).orderBy("__p")
     u = r.unionByName(p).withColumn("lo", F.last("__r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first("__r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
-    near = lambda c: F.abs(F.col(f"{c}.pos") - F.col("__p"))
-    u = u.where("id is not null")
-    lo, hi = F.when(near("lo") <= 10 * tolerance, F.col("lo")), F.when(near("hi") <= 10 * tolerance, F.col("hi"))
-    best = F.when(F.coalesce(near("lo"), F.lit(float("inf"))) <= F.coalesce(near("hi"), F.lit(float("inf"))), F.col("lo")).otherwise(F.col("hi"))
-    match = F.when(F.abs(best["pos"] - F.col("__p")) <= tolerance, best["rid"])
-    return u.select("id", *by, F.col("__p").alias(pos), match.alias("match"), lo["rid"].alias("lower"), lo["pos"].alias("lower_pos"), hi["rid"].alias("upper"), hi["pos"].alias("upper_pos"))
+    u = u.where("id is not null").withColumn("dl", F.abs(F.col("lo.pos") - F.col("__p"))).withColumn("dh", F.abs(F.col("hi.pos") - F.col("__p")))
+    inf = F.lit(float("inf"))
+    low, high = F.coalesce("dl", inf), F.coalesce("dh", inf)
+    mode = F.when(F.least(low, high) <= max(tolerance, 0.05), "exact").when(F.col("lo").isNull() & F.col("hi").isNotNull(), "before_start").when(F.col("hi").isNull() & F.col("lo").isNotNull(), "after_end").when(F.greatest(low, high) <= reach, "between")
+    u = u.withColumn("mode", mode)
+    one = F.when(F.col("mode") == "exact", F.when(low <= high, F.struct(F.col("lo.pos"), F.col("lo.first").alias("rid"))).otherwise(F.struct(F.col("hi.pos"), F.col("hi.first").alias("rid")))).when(F.col("mode") == "before_start", F.struct(F.col("hi.pos"), F.col("hi.first").alias("rid"))).when(F.col("mode") == "after_end", F.struct(F.col("lo.pos"), F.col("lo.last").alias("rid")))
+    between = F.col("mode") == "between"
+    lower, upper = F.coalesce(one, F.when(between, F.struct(F.col("lo.pos"), F.col("lo.last").alias("rid")))), F.coalesce(one, F.when(between, F.struct(F.col("hi.pos"), F.col("hi.first").alias("rid"))))
+    gap = F.when(between, F.greatest(low, high)).when(F.col("mode").isNotNull(), F.least(low, high))
+    return u.select("id", *by, F.col("__p").alias(pos), F.when(F.col("mode") == "exact", one["rid"]).alias("match"), lower["rid"].alias("lower"), lower["pos"].alias("lower_pos"), upper["rid"].alias("upper"), upper["pos"].alias("upper_pos"), "mode", gap.alias("gap"))
 
 
 def interpolate(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

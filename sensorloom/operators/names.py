@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Spellings of sensor types by canonical code.
-TYPES = {"ML": "ML", "MAINLINE": "ML", "OR": "OR", "ON RAMP": "OR", "ON-RAMP": "OR", "FR": "FR", "OFF RAMP": "FR", "OFF-RAMP": "FR"}
+TYPES = {"MAINLINE": "ML", "ML": "ML", "ONRAMP": "OR", "OR": "OR", "OFFRAMP": "FR", "FR": "FR"}
 
 
-def sensor_type(value: Column, default: str = "UNK") -> Column:
-    table = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, F.upper(F.trim(value))), F.lit(default))
+def sensor_type(value: Column) -> Column:
+    """The canonical code of a sensor type; other texts trimmed and in capitals, empty for null."""
+    table, text = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), F.upper(F.trim(value))
+    return F.coalesce(F.try_element_at(table, text), text, F.lit(""))
 
 
 def canonical_id(value: Column) -> Column:

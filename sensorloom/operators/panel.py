@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators.storage import numbered
+
 
 def dense_panel(readings: DataFrame, node: str, ts: str, value: Column, unit: str = "hour") -> DataFrame:
     """(node, t, ts, value): one row per node and time step from the first to the last step; gaps are null.
@@ -56,10 +58,9 @@ def one_hot(code: Column, levels: list[int], prefix: str) -> list[Column]:
 def encode(df: DataFrame, column: str, out: str) -> DataFrame:
     """Dense integer code of a column's sorted distinct values (0 based).
 
-    Codes come from a window over the distinct values only, which are joined back, so the
-    rows themselves are never sorted in one task.
+    Only the distinct values are ordered, in ranges, and joined back.
     """
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+    codes = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), [F.asc(column)], out).withColumn(out, F.col(out).cast("int"))
     return df.join(codes, column, "left")
 
 

@@ -26,13 +26,21 @@ def zero_transitions(panel: DataFrame, by: list[str], eps: float = 0.0) -> DataF
     return s.groupBy(*by).agg(share(True, True).alias("p00"), share(True, False).alias("p01"), share(False, True).alias("p10"), share(False, False).alias("p11"))
 
 
-def expected_zero_rate(train: DataFrame, test: DataFrame, by: list[str], eps: float = 0.0) -> DataFrame:
-    """Observed zero rate of the test part, and what Poisson and negative binomial moments of the training part expect."""
-    m = train.groupBy(*by).agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    r = F.col("m") * F.col("m") / (F.col("v") - F.col("m"))
-    nb = F.when(F.col("v") > F.col("m"), F.pow(r / (r + F.col("m")), r)).otherwise(F.exp(-F.col("m")))
-    j = test.join(m.select(*by, F.exp(-F.col("m")).alias("pois"), F.when(F.col("m") > 0, nb).otherwise(1.0).alias("nb")), by)
-    return j.agg(F.avg((F.col("value") <= eps).cast("double")).alias("observed"), F.avg("pois").alias("poisson"), F.avg("nb").alias("negative_binomial"))
+def expected_zero_rate(train: DataFrame, test: DataFrame, node: str = "node", hour: str = "h", eps: float = 1e-6) -> DataFrame:
+    """Observed zero rate of the test part, and what the training part expects of it: a Poisson law by node and hour over the test steps, and a negative binomial law by node over the nodes.
+
+    A node's hour without training steps has the node's mean. The negative binomial law is the
+    Poisson one where the variance does not exceed the mean by more than eps. Values within eps
+    of 0 are zero.
+    """
+    m = train.groupBy(node).agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    by_hour = train.groupBy(node, hour).agg(F.avg("value").alias("mh"))
+    r = F.col("m") * F.col("m") / F.greatest(F.col("v") - F.col("m"), F.lit(eps))
+    # (r / (r + m + eps)) ** r by logarithms, which keep their digits where r is large.
+    nb = F.when(F.col("v") > F.col("m") + eps, F.exp(-r * F.log1p((F.col("m") + eps) / r))).otherwise(F.exp(-F.col("m")))
+    over = test.where("value is not null").join(m, node).join(by_hour, [node, hour], "left")
+    seen = over.agg(F.avg((F.abs("value") <= eps).cast("double")).alias("observed"), F.avg(F.exp(-F.coalesce("mh", "m"))).alias("poisson"))
+    return seen.crossJoin(F.broadcast(m.agg(F.avg(nb).alias("negative_binomial"))))  # one row each
 
 
 def positive_thresholds(train: DataFrame, q: float, support: int, eps: float = 0.0) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators.storage import numbered
+
 
 def in_months(ts: Column, year: int, months: list[int]) -> Column:
     return (F.year(ts) == year) & F.month(ts).isin(months)
@@ -99,11 +101,10 @@ def in_windows(panel: DataFrame, specs: list[WindowSpec]) -> DataFrame:
 
 def node_bins(nodes: DataFrame, bins: int) -> DataFrame:
     """(node, bin): nodes in order, dealt into bins of near-equal size, the first ones larger."""
-    n, k = F.count("*").over(Window.partitionBy()), F.row_number().over(Window.orderBy("node")) - 1
-    big = F.floor(F.col("n") / bins) + 1
-    rest = F.pmod("n", F.lit(bins))
-    d = nodes.select("node").distinct().withColumn("n", n).withColumn("k", k)
-    late = rest + F.floor((F.col("k") - rest * big) / F.greatest(big - 1, F.lit(1)))
+    d = numbered(nodes.select("node").distinct(), [F.asc("node")], "k")
+    n = d.count()
+    big, rest = n // bins + 1, n % bins
+    late = rest + F.floor((F.col("k") - rest * big) / max(big - 1, 1))
     return d.select("node", F.when(F.col("k") < rest * big, F.floor(F.col("k") / big)).otherwise(late).cast("int").alias("bin"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators.storage import kept
+
 
 def with_properties(samples: DataFrame, properties: DataFrame, prop: str, allowed: list) -> DataFrame:
     """Samples (sample, node) whose nodes all have a property value among those allowed; a node without one counts as not."""
@@ -57,33 +59,36 @@ def add_isolated(samples: DataFrame, candidates: DataFrame, tries: int = 4, seed
     return samples.select("sample", "node").unionByName(got.groupBy("sample").agg(F.min(F.struct("k", "node")).alias("m")).select("sample", F.col("m.node").alias("node")))
 
 
-def repair_routes(stops: DataFrame, edges: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """(route, roads, reason, changed): routes (route, pos, road) with the shortest connecting paths filled in where neighbours are not joined.
+def repair_routes(stops: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(route, roads, reason, changed): routes (route, pos, road) with the shortest connecting paths filled in where neighbours are not joined; a road that follows itself is kept once.
 
-    reason: empty without roads, unknown_road if one is not known, unreachable if a gap has no
-    path of at most `most` edges, else null. Paths are searched once for every distinct gap,
-    all at once, a join a step; ties go to the smaller roads.
+    reason: empty_or_nonlist_route without stops (a row of null pos), unknown_road if a road is
+    null or not known, unreachable_anchor if a gap has no path, else null. changed: a path of
+    more than two roads was filled in. Paths are searched for every distinct gap, all at once,
+    a join a step, no place twice; ties go to the smaller roads.
     """
     w = Window.partitionBy("route").orderBy("pos")
-    s = stops.where("road is not null").select("route", "pos", "road", F.lead("road").over(w).alias("nxt")).join(known.select(F.col("road"), F.lit(True).alias("ok")), "road", "left")
-    gap = s.where("nxt is not null and road <> nxt").select(F.col("road").alias("a"), F.col("nxt").alias("b")).distinct()
-    front = gap.select("a", "b", F.array("a").alias("path"), F.col("a").alias("at"))
-    found = None
-    e = edges.select(F.col("src").alias("at"), "dst").distinct()
-    for _ in range(most):
-        grown = front.join(e, "at").where(~F.array_contains("path", F.col("dst"))).groupBy("a", "b", F.col("dst").alias("at")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+    s = stops.where("pos is not null").select("route", "pos", "road", F.lead("road").over(w).alias("nxt"), (F.lead("pos").over(w)).isNotNull().alias("more"))
+    s = kept(s.join(known.select("road", F.lit(True).alias("ok")).distinct(), "road", "left"))
+    gap = s.where("road is not null and nxt is not null and road <> nxt").select(F.col("road").alias("a"), F.col("nxt").alias("b")).distinct()
+    front = kept(gap.select("a", "b", F.array("a").alias("path"), F.col("a").alias("at")))
+    seen, found = front.select("a", "b", "at"), front.select("a", "b", "path").limit(0)
+    e = kept(edges.select(F.col("src").alias("at"), "dst").distinct())
+    while front.limit(1).count():
+        grown = front.join(e, "at").groupBy("a", "b", F.col("dst").alias("at")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        grown = kept(grown.join(seen, ["a", "b", "at"], "left_anti"))
         hit = grown.where("at = b").select("a", "b", "path")
-        found = hit if found is None else found.unionByName(hit.join(found, ["a", "b"], "left_anti"))
-        front = grown.where("at <> b")
+        found, seen = kept(found.unionByName(hit)), kept(seen.unionByName(grown.select("a", "b", "at")))
+        front = grown.join(hit.select("a", "b"), ["a", "b"], "left_anti")
     j = s.join(found.select(F.col("a").alias("road"), F.col("b").alias("nxt"), "path"), ["road", "nxt"], "left")
-    part = F.when(F.col("nxt").isNull(), F.array("road")).when(F.col("road") == F.col("nxt"), F.array().cast("array<bigint>")).otherwise(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))))
+    part = F.when(~F.col("more"), F.array("road")).when(F.col("road") == F.col("nxt"), F.array().cast("array<bigint>")).otherwise(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))))
     g = j.groupBy("route").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("p")))), lambda x: x["p"])).alias("roads"), F.collect_list("road").alias("own"),
-        F.bool_or(F.col("ok").isNull()).alias("unknown"), F.bool_or(F.col("nxt").isNotNull() & (F.col("road") != F.col("nxt")) & F.col("path").isNull()).alias("cut"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("p")))), lambda x: x["p"])).alias("roads"), F.bool_or(F.col("ok").isNull()).alias("unknown"),
+        F.bool_or(F.col("more") & (F.col("road") != F.col("nxt")) & F.col("path").isNull()).alias("cut"), F.bool_or(F.size("path") > 2).alias("longer"),
     )
     r = stops.select("route").distinct().join(g, "route", "left")
-    reason = F.when(F.col("own").isNull(), "empty").when(F.col("unknown"), "unknown_road").when(F.col("cut"), "unreachable")
-    return r.select("route", F.when(reason.isNull(), F.col("roads")).alias("roads"), reason.alias("reason"), (reason.isNull() & (F.size("roads") != F.size("own"))).alias("changed"))
+    reason = F.when(F.col("unknown").isNull(), "empty_or_nonlist_route").when(F.col("unknown"), "unknown_road").when(F.col("cut"), "unreachable_anchor")
+    return r.select("route", F.when(reason.isNull(), F.col("roads")).alias("roads"), reason.alias("reason"), (reason.isNull() & F.coalesce("longer", F.lit(False))).alias("changed"))
 
 
 def roughness_top_k(edges: DataFrame, panel: DataFrame, k: int, pool: int) -> DataFrame:

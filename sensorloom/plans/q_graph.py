@@ -79,7 +79,7 @@ def graph_chebyshev(spark, d):
 
 @query(SPARSE + NODES + """, o AS (SELECT src AS node, count(*) AS n FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS n FROM e GROUP BY 1), a AS (SELECT node, count(DISTINCT x) AS n FROM (SELECT src AS node, dst AS x FROM e UNION ALL SELECT dst, src FROM e) GROUP BY 1),
  j AS (SELECT nd.node, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, coalesce(a.n, 0) AS degree FROM nd LEFT JOIN o USING (node) LEFT JOIN i USING (node) LEFT JOIN a USING (node))
- SELECT *, row_number() OVER (ORDER BY degree DESC, node) <= greatest(1, ceil(count(*) OVER () * 0.1)) AS is_hub FROM j""")
+ SELECT *, row_number() OVER (ORDER BY degree DESC, node) <= CASE WHEN max(degree) OVER () > min(degree) OVER () THEN greatest(1, round_even(count(*) OVER () * 0.15, 0)) ELSE 0 END AS is_hub FROM j""")
 def graph_degrees_and_hubs(spark, d):
     return G.degrees(sparse(spark, d))
 

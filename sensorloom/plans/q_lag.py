@@ -71,14 +71,14 @@ def lag_summary_mean(spark, d):
     return L.summarize_lags(L.lag_scores(p, L.all_pairs(p), 6), "mean").withColumn("score", R("score"))
 
 
-_CAUSE = _SCORE.format(f="max") + """, w AS (SELECT a.src, a.dst, CASE WHEN a.score >= b.score THEN a.score ELSE 0 END AS score FROM sm a JOIN sm b ON a.src = b.dst AND a.dst = b.src), ch AS (SELECT src, dst, CASE WHEN row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, dst) <= 2 THEN score ELSE 0 END AS score FROM w),
- mn AS (SELECT node, avg(value) AS m FROM panel GROUP BY 1), rp AS (SELECT a.node AS src, b.node AS dst, greatest(b.m - a.m, 0) AS score FROM mn a JOIN mn b ON a.node <> b.node), cb AS (SELECT src, dst, ch.score + rp.score / 100 AS score FROM ch JOIN rp USING (src, dst))"""
+_CAUSE = _SCORE.format(f="max") + """, w AS (SELECT a.src, a.dst, CASE WHEN a.score > b.score THEN a.score ELSE 0 END AS score FROM sm a JOIN sm b ON a.src = b.dst AND a.dst = b.src), mn AS (SELECT node, avg(value) AS m FROM panel GROUP BY 1), rp AS (SELECT a.node AS src, b.node AS dst, greatest(b.m - a.m, 0) AS score FROM mn a JOIN mn b ON a.node <> b.node),
+ ch AS (SELECT w.src, w.dst, CASE WHEN w.score > 0 AND row_number() OVER (PARTITION BY w.src ORDER BY w.score > 0 DESC, b.m > a.m DESC, CASE WHEN b.m > a.m THEN b.m - a.m END, w.score DESC, w.dst) = 1 THEN w.score ELSE 0 END AS score FROM w JOIN mn a ON a.node = w.src JOIN mn b ON b.node = w.dst), cb AS (SELECT src, dst, ch.score + rp.score / 100 AS score FROM ch JOIN rp USING (src, dst))"""
 
 
 def _causal(spark, d):
     p = hours(spark, d)
     s = L.pairwise_winner(L.summarize_lags(L.lag_scores(p, L.all_pairs(p), 6)))
-    cc = L.select_child(s, F.desc(F.round("score", 9)), 2)
+    cc = L.select_child(s, "next", means=p.groupBy("node").agg(F.avg("value").alias("m")))
     return cc, L.mean_scores(p), p
 
 
@@ -90,6 +90,18 @@ def causal_baselines(spark, d):
     return j.select("src", "dst", R("cc").alias("cc"), R("rp").alias("rp"), R("score").alias("combo"))
 
 
+@query(HOURS_SQL + _CAUSE + """, f AS (SELECT a.node AS src, b.node AS dst, CASE WHEN b.m > a.m THEN b.m / greatest(abs(a.m), 1e-12) ELSE 0 END AS score, a.m AS am, b.m AS bm FROM mn a JOIN mn b ON a.node <> b.node), su AS (SELECT src, dst, score AS support FROM sm)
+ SELECT src, dst, round(score, 6) AS ratio, round(CASE WHEN score > 0 AND row_number() OVER (PARTITION BY src ORDER BY score > 0 DESC, bm DESC, score DESC, dst) = 1 THEN score ELSE 0 END, 6) AS biggest, round(CASE WHEN score > 0 AND row_number() OVER (PARTITION BY src ORDER BY score > 0 DESC, support DESC, score DESC, dst) = 1 THEN score ELSE 0 END, 6) AS corr FROM f JOIN su USING (src, dst)""")
+def child_selection_rules(spark, d):
+    """The ratio of means, and which child the rules biggest and corr leave to each source."""
+    p = hours(spark, d)
+    ratio, m = L.mean_scores(p, "ratio"), p.groupBy("node").agg(F.avg("value").alias("m"))
+    support = L.summarize_lags(L.lag_scores(p, L.all_pairs(p), 6)).withColumnRenamed("score", "support")
+    big, corr = L.select_child(ratio, "biggest", means=m), L.select_child(ratio, "corr", support=support)
+    j = ratio.join(big.withColumnRenamed("score", "biggest"), ["src", "dst"]).join(corr.withColumnRenamed("score", "corr"), ["src", "dst"])
+    return j.select("src", "dst", R("score").alias("ratio"), R("biggest").alias("biggest"), R("corr").alias("corr"))
+
+
 _LABELLED = _CAUSE + ", lb AS (SELECT round(cb.score, 6) AS score, CAST(length(src) < length(dst) AS INTEGER) AS label, src FROM cb)"
 
 

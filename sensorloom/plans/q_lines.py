@@ -20,22 +20,24 @@ def _parts(spark, d):
 
 _BRACKET = _PARTS + """, c AS (SELECT s.id, s.fwy, s.pm, r.rid, r.pm AS rp FROM s LEFT JOIN r USING (fwy)),
  lo AS (SELECT id, max(rp) AS lp FROM c WHERE rp <= pm GROUP BY 1), hi AS (SELECT id, min(rp) AS hp FROM c WHERE rp >= pm GROUP BY 1),
- j AS (SELECT s.*, lp, hp, (SELECT min(rid) FROM r WHERE r.fwy = s.fwy AND r.pm = lp) AS lr, (SELECT min(rid) FROM r WHERE r.fwy = s.fwy AND r.pm = hp) AS hr FROM s LEFT JOIN lo USING (id) LEFT JOIN hi USING (id)),
- k AS (SELECT id, fwy, pm, CASE WHEN coalesce(pm - lp, 'inf'::DOUBLE) <= coalesce(hp - pm, 'inf'::DOUBLE) THEN CASE WHEN pm - lp <= 0.5 THEN lr END ELSE CASE WHEN hp - pm <= 0.5 THEN hr END END AS match, CASE WHEN pm - lp <= 5 THEN lr END AS lower, CASE WHEN pm - lp <= 5 THEN lp END AS lower_pos, CASE WHEN hp - pm <= 5 THEN hr END AS upper, CASE WHEN hp - pm <= 5 THEN hp END AS upper_pos FROM j)"""
+ j AS (SELECT s.*, lp, hp, (SELECT min(rid) FROM r WHERE r.fwy = s.fwy AND r.pm = lp) AS lr, (SELECT max(rid) FROM r WHERE r.fwy = s.fwy AND r.pm = lp) AS lz, (SELECT min(rid) FROM r WHERE r.fwy = s.fwy AND r.pm = hp) AS hr FROM s LEFT JOIN lo USING (id) LEFT JOIN hi USING (id)),
+ md AS (SELECT *, coalesce(pm - lp, 'inf'::DOUBLE) AS dl, coalesce(hp - pm, 'inf'::DOUBLE) AS dh, CASE WHEN least(coalesce(pm - lp, 'inf'::DOUBLE), coalesce(hp - pm, 'inf'::DOUBLE)) <= 0.5 THEN 'exact' WHEN lp IS NULL AND hp IS NOT NULL THEN 'before_start' WHEN hp IS NULL AND lp IS NOT NULL THEN 'after_end' WHEN pm - lp <= 5 AND hp - pm <= 5 THEN 'between' END AS mode FROM j),
+ k AS (SELECT id, fwy, pm, mode, CASE WHEN mode = 'exact' THEN CASE WHEN dl <= dh THEN lr ELSE hr END END AS match, CASE WHEN mode = 'exact' AND dl <= dh THEN lr WHEN mode IN ('exact', 'before_start') THEN hr WHEN mode IN ('after_end', 'between') THEN lz END AS lower, CASE WHEN mode = 'exact' AND dl <= dh THEN lp WHEN mode IN ('exact', 'before_start') THEN hp WHEN mode IN ('after_end', 'between') THEN lp END AS lower_pos,
+ CASE WHEN mode = 'exact' AND dl <= dh THEN lr WHEN mode = 'after_end' THEN lz WHEN mode IS NOT NULL THEN hr END AS upper, CASE WHEN mode = 'exact' AND dl <= dh OR mode = 'after_end' THEN lp WHEN mode IS NOT NULL THEN hp END AS upper_pos, CASE WHEN mode = 'between' THEN greatest(dl, dh) WHEN mode IS NOT NULL THEN least(dl, dh) END AS gap FROM md)"""
 
 
-@query("WITH " + _BRACKET + " SELECT id, match, lower, round(lower_pos, 4) AS lower_pos, upper, round(upper_pos, 4) AS upper_pos FROM k")
+@query("WITH " + _BRACKET + " SELECT id, match, lower, round(lower_pos, 4) AS lower_pos, upper, round(upper_pos, 4) AS upper_pos, mode, round(gap, 6) AS gap FROM k")
 def postmile_brackets(spark, d):
     s, r = _parts(spark, d)
-    b = L.bracket(s.select("id", "fwy", "pm"), r.withColumnRenamed("id", "rid"), ["fwy"], "pm", "rid", 0.5)
-    return b.select("id", "match", "lower", R("lower_pos", 4).alias("lower_pos"), "upper", R("upper_pos", 4).alias("upper_pos"))
+    b = L.bracket(s.select("id", "fwy", "pm"), r.withColumnRenamed("id", "rid"), ["fwy"], "pm", "rid", 0.5, 5.0)
+    return b.select("id", "match", "lower", R("lower_pos", 4).alias("lower_pos"), "upper", R("upper_pos", 4).alias("upper_pos"), "mode", R("gap").alias("gap"))
 
 
 @query("WITH " + _BRACKET + """, y AS (SELECT k.*, a.y AS y0, b.y AS y1 FROM k LEFT JOIN r a ON a.rid = lower LEFT JOIN r b ON b.rid = upper)
  SELECT id, round(CASE WHEN y0 IS NULL OR y1 IS NULL THEN coalesce(y0, y1) ELSE y0 + CASE WHEN upper_pos = lower_pos THEN 0 ELSE greatest(0, least(1, (pm - lower_pos) / (upper_pos - lower_pos))) END * (y1 - y0) END, 6) AS y FROM y""")
 def postmile_interpolation(spark, d):
     s, r = _parts(spark, d)
-    b = L.bracket(s.select("id", "fwy", "pm"), r.withColumnRenamed("id", "rid"), ["fwy"], "pm", "rid", 0.5)
+    b = L.bracket(s.select("id", "fwy", "pm"), r.withColumnRenamed("id", "rid"), ["fwy"], "pm", "rid", 0.5, 5.0)
     at = r.select("id", "y")
     j = b.join(at.select(F.col("id").alias("lower"), F.col("y").alias("y0")), "lower", "left").join(at.select(F.col("id").alias("upper"), F.col("y").alias("y1")), "upper", "left")
     return j.select("id", R(L.interpolate(F.col("pm"), F.col("lower_pos"), F.col("y0"), F.col("upper_pos"), F.col("y1"))).alias("y"))

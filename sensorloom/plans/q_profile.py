@@ -28,11 +28,12 @@ def zero_transitions(spark, d):
     return _round(P.zero_transitions(counts(spark, d), ["node"]), ["p00", "p01", "p10", "p11"])
 
 
-@query(COUNTS_SQL + """, m AS (SELECT node, t % 24 AS h, avg(value) AS m, var_pop(value) AS v FROM panel WHERE t < 432 GROUP BY 1, 2), x AS (SELECT node, h, exp(-m) AS po, CASE WHEN m > 0 THEN CASE WHEN v > m THEN power((m * m / (v - m)) / (m * m / (v - m) + m), m * m / (v - m)) ELSE exp(-m) END ELSE 1 END AS nb FROM m)
- SELECT round(avg(CAST(value <= 0 AS DOUBLE)), 6) AS observed, round(avg(po), 6) AS poisson, round(avg(nb), 6) AS negative_binomial FROM panel p JOIN x ON x.node = p.node AND x.h = p.t % 24 WHERE t >= 576""")
+@query(COUNTS_SQL + """, m AS (SELECT node, avg(value) AS m, var_pop(value) AS v FROM panel WHERE t < 432 GROUP BY 1), h AS (SELECT node, t % 24 AS h, avg(value) AS mh FROM panel WHERE t < 432 GROUP BY 1, 2),
+ nb AS (SELECT avg(CASE WHEN v > m + 1e-6 THEN exp(-(m * m / greatest(v - m, 1e-6)) * ln(1 + (m + 1e-6) / (m * m / greatest(v - m, 1e-6)))) ELSE exp(-m) END) AS nb FROM m)
+ SELECT round(avg(CAST(abs(value) <= 1e-6 AS DOUBLE)), 6) AS observed, round(avg(exp(-coalesce(mh, m))), 6) AS poisson, round(max(nb), 6) AS negative_binomial FROM panel p JOIN m USING (node) LEFT JOIN h ON h.node = p.node AND h.h = p.t % 24, nb WHERE t >= 576""")
 def expected_zero_rates(spark, d):
     p = counts(spark, d).withColumn("h", F.pmod("t", F.lit(24)))
-    return _round(P.expected_zero_rate(p.where("t < 432"), p.where("t >= 576"), ["node", "h"]), ["observed", "poisson", "negative_binomial"])
+    return _round(P.expected_zero_rate(p.where("t < 432"), p.where("t >= 576")), ["observed", "poisson", "negative_binomial"])
 
 
 @query(COUNTS_SQL + " SELECT node, round(quantile_cont(value, 0.9) FILTER (value > 0), 6) AS threshold FROM panel WHERE t < 432 GROUP BY 1 HAVING count(*) FILTER (value > 0) >= 24")

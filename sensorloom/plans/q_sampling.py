@@ -58,18 +58,21 @@ def samples_with_isolated_node(spark, d):
     return S.add_isolated(o, table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), 12)
 
 
-_ROUTES = SPARSE.replace("WITH ", "WITH RECURSIVE ", 1) + """, st AS (SELECT * FROM (VALUES (1, 0, 0), (1, 1, 7), (1, 2, 12), (2, 0, 3), (2, 1, 99), (3, 0, NULL), (4, 0, 5), (4, 1, 5), (4, 2, 9)) v(route, pos, road)), gp AS (SELECT DISTINCT road AS a, nxt AS b FROM (SELECT road, lead(road) OVER (PARTITION BY route ORDER BY pos) AS nxt FROM st WHERE road IS NOT NULL) WHERE nxt <> road),
- wk(a, b, path) AS (SELECT a::BIGINT, b::BIGINT, [a::BIGINT] FROM gp UNION ALL SELECT wk.a, wk.b, list_append(path, e.dst) FROM wk JOIN e ON e.src = path[-1] AND NOT list_contains(path, e.dst) WHERE len(path) <= 4 AND path[-1] <> wk.b),
+_ROUTES = SPARSE.replace("WITH ", "WITH RECURSIVE ", 1) + """, st AS (SELECT s_suppkey % 40 AS route, CASE WHEN s_suppkey % 40 = 7 THEN NULL ELSE s_suppkey END AS pos, CASE WHEN s_suppkey % 31 = 0 THEN NULL WHEN s_suppkey % 37 = 0 THEN 99 ELSE s_nationkey END AS road FROM supplier WHERE s_suppkey % 40 <> 9), sp AS (SELECT *, lead(road) OVER w AS nxt, lead(pos) OVER w IS NOT NULL AS more FROM st WHERE pos IS NOT NULL WINDOW w AS (PARTITION BY route ORDER BY pos)), gp AS (SELECT DISTINCT road AS a, nxt AS b FROM sp WHERE nxt <> road),
+ wk(a, b, path) AS (SELECT a::BIGINT, b::BIGINT, [a::BIGINT] FROM gp UNION ALL SELECT wk.a, wk.b, list_append(path, e.dst) FROM wk JOIN e ON e.src = path[-1] AND NOT list_contains(path, e.dst) WHERE len(path) <= 7 AND path[-1] <> wk.b),
  bs AS (SELECT a, b, path FROM wk WHERE path[-1] = b QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) = 1)"""
 
 
-@query(_ROUTES + """, s AS (SELECT route, pos, road, lead(road) OVER (PARTITION BY route ORDER BY pos) AS nxt FROM st WHERE road IS NOT NULL), j AS (SELECT s.*, path, CASE WHEN nxt IS NULL THEN [road::BIGINT] WHEN nxt = road THEN []::BIGINT[] ELSE path[1:len(path) - 1] END AS part FROM s LEFT JOIN bs ON a = road AND b = nxt),
- g AS (SELECT route, flatten(list(part ORDER BY pos)) AS roads, count(*) AS n, bool_or(road >= 25) AS unknown, bool_or(nxt <> road AND path IS NULL) AS cut FROM j GROUP BY 1), r AS (SELECT DISTINCT st.route, roads, n, CASE WHEN n IS NULL THEN 'empty' WHEN unknown THEN 'unknown_road' WHEN cut THEN 'unreachable' END AS reason FROM st LEFT JOIN g USING (route))
- SELECT route, CASE WHEN reason IS NULL THEN roads END AS roads, reason, coalesce(reason IS NULL AND len(roads) <> n, false) AS changed FROM r""")
+@query(_ROUTES + """, j AS (SELECT sp.*, path, CASE WHEN NOT more THEN [road::BIGINT] WHEN nxt = road THEN []::BIGINT[] ELSE path[1:len(path) - 1] END AS part FROM sp LEFT JOIN bs ON a = road AND b = nxt),
+ g AS (SELECT route, flatten(list(part ORDER BY pos)) AS roads, bool_or(coalesce(road >= 25, true)) AS unknown, bool_or(more AND nxt <> road AND path IS NULL) AS cut, bool_or(len(path) > 2) AS longer FROM j GROUP BY 1), r AS (SELECT DISTINCT st.route, roads, longer, CASE WHEN unknown IS NULL THEN 'empty_or_nonlist_route' WHEN unknown THEN 'unknown_road' WHEN cut THEN 'unreachable_anchor' END AS reason FROM st LEFT JOIN g USING (route))
+ SELECT route, CASE WHEN reason IS NULL THEN roads END AS roads, reason, coalesce(reason IS NULL AND longer, false) AS changed FROM r""")
 def repaired_routes(spark, d):
-    stops = spark.createDataFrame([(1, 0, 0), (1, 1, 7), (1, 2, 12), (2, 0, 3), (2, 1, 99), (3, 0, None), (4, 0, 5), (4, 1, 5), (4, 2, 9)], "route int, pos int, road bigint")
+    """Routes through the nations of suppliers, some with null, unknown or no stops."""
+    s, k = table(spark, d, "supplier").where("s_suppkey % 40 <> 9"), F.col("s_suppkey")
+    road = F.when(k % 31 == 0, F.lit(None)).when(k % 37 == 0, 99).otherwise(F.col("s_nationkey")).cast("long")
+    stops = s.select((k % 40).alias("route"), F.when(k % 40 != 7, k).alias("pos"), road.alias("road"))
     known = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("road"))
-    return S.repair_routes(stops, sparse(spark, d), known, 4)
+    return S.repair_routes(stops, sparse(spark, d), known)
 
 
 @query(COUNTS_SQL + """, st AS (SELECT node, avg(value) AS m, stddev_pop(value) AS s FROM panel GROUP BY 1), z AS (SELECT node, t, (value - m) / s AS z FROM panel JOIN st USING (node)), nd AS (SELECT DISTINCT node FROM panel), p AS (SELECT a.node AS src, b.node AS dst, abs(length(a.node) - length(b.node)) AS dist FROM nd a JOIN nd b ON a.node <> b.node QUALIFY row_number() OVER (PARTITION BY a.node ORDER BY dist, b.node) <= 3),
@@ -120,7 +123,7 @@ _BENCH = COUNTS_SQL + """, sg AS (SELECT t // 240 AS sample, node, t, value FROM
  cr AS (SELECT pr.sample, src, dst, k, corr(x.value, y.value) AS c FROM pr JOIN sg x ON x.sample = pr.sample AND x.node = src CROSS JOIN unnest(range(0, 4)) u(k) JOIN sg y ON y.sample = pr.sample AND y.node = dst AND y.t = x.t + k GROUP BY ALL),
  m AS (SELECT sample, node, avg(value) AS m FROM sg GROUP BY 1, 2), lc AS (SELECT sample, src, dst, max(abs(c)) AS score FROM cr WHERE k > 0 GROUP BY 1, 2, 3),
  sc AS (SELECT 'correlation' AS method, sample, src, dst, abs(c) AS score FROM cr WHERE k = 0 UNION ALL SELECT 'lagged_correlation', sample, src, dst, score FROM lc
- UNION ALL SELECT 'stronger_direction', a.sample, a.src, a.dst, CASE WHEN a.score >= b.score THEN a.score ELSE 0 END FROM lc a JOIN lc b ON a.sample = b.sample AND a.src = b.dst AND a.dst = b.src UNION ALL SELECT 'mean_difference', pr.sample, src, dst, greatest(y.m - x.m, 0) FROM pr JOIN m x ON x.sample = pr.sample AND x.node = src JOIN m y ON y.sample = pr.sample AND y.node = dst),
+ UNION ALL SELECT 'stronger_direction', a.sample, a.src, a.dst, CASE WHEN a.score > b.score THEN a.score ELSE 0 END FROM lc a JOIN lc b ON a.sample = b.sample AND a.src = b.dst AND a.dst = b.src UNION ALL SELECT 'mean_difference', pr.sample, src, dst, greatest(y.m - x.m, 0) FROM pr JOIN m x ON x.sample = pr.sample AND x.node = src JOIN m y ON y.sample = pr.sample AND y.node = dst),
  lb AS (SELECT method, round(score, 6) AS score, CAST(length(src) < length(dst) AS INTEGER) AS label FROM sc), rk AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2 AS rk FROM lb),
  a AS (SELECT method, (sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS auroc, count(*) AS pairs FROM rk GROUP BY 1), th AS (SELECT DISTINCT method, score FROM lb),
  c AS (SELECT th.method, th.score, sum(label) FILTER (lb.score >= th.score) AS tp, count(*) FILTER (lb.score >= th.score) AS said, sum(label) AS pos, count(*) AS n FROM th JOIN lb USING (method) GROUP BY 1, 2),

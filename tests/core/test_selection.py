@@ -15,45 +15,159 @@ def clouds(spark, centers, each=40, seed=0):
     return spark.createDataFrame(rows, "id long, v array<double>, cluster int"), rows
 
 
-def test_silhouette_and_k(spark):
-    """Closed-form silhouettes equal those over all pairs; planted groups get the best score."""
-    df, rows = clouds(spark, [(0, 0), (6, 0), (0, 6)], 12)
-    v, lab = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    d2 = ((v[:, None] - v[None]) ** 2).sum(axis=2)
-    want = {}
+def plain_silhouettes(v, lab):
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    out = []
     for i in range(len(v)):
         own = [j for j in range(len(v)) if lab[j] == lab[i] and j != i]
-        a, b = d2[i, own].mean(), min(d2[i, lab == k].mean() for k in set(lab) - {lab[i]})
-        want[i] = (b - a) / max(a, b)
-    got = {r.id: r.s for r in S.silhouettes(df).collect()}
-    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
-    m = S.cluster_metrics(df).first()
-    assert m.clusters == 3 and abs(m.silhouette - np.mean(list(want.values()))) < 1e-9 and abs(m.size_entropy - np.log(3)) < 1e-9
-    scores = {r.clusters: r.score for r in S.adaptive_k(df.select("id", "v"), [2, 3, 4], 8).collect()}
-    assert max(scores, key=scores.get) in (2, 3) and len(scores) == 3
+        others = [d[i, lab == k].mean() for k in set(lab.tolist()) - {lab[i]}]
+        out.append((min(others) - d[i, own].mean()) / max(min(others), d[i, own].mean()) if own and others else 0.0)
+    return np.array(out)
+
+
+def plain_ratio(v, lab, q):
+    c = {k: v[lab == k].mean(axis=0) for k in sorted(set(lab.tolist()))}
+    r = {k: np.quantile(np.linalg.norm(v[lab == k] - c[k], axis=1), q) for k in c}
+    return min((np.linalg.norm(c[a] - c[b]) / (r[a] + r[b] + 1e-8), a, b) for a in c for b in c if a < b)
+
+
+def plain_davies_bouldin(v, lab):
+    c = {k: v[lab == k].mean(axis=0) for k in set(lab.tolist())}
+    s = {k: np.linalg.norm(v[lab == k] - c[k], axis=1).mean() for k in c}
+    return np.mean([max((s[a] + s[b]) / np.linalg.norm(c[a] - c[b]) for b in c if b != a) for a in c])
+
+
+def test_silhouettes_and_metrics(spark):
+    """Euclidean silhouettes over all pairs, a lone point 0, labels below 0 left out but for their share; null with one cluster."""
+    df, rows = clouds(spark, [(0, 0), (6, 0), (0, 6)], 12)
+    v, lab = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    more = spark.createDataFrame([(100, [3.0, 9.0], 7), (101, [1.0, 1.0], -1), (102, [2.0, 1.0], -1)], df.schema)
+    v2, lab2 = np.vstack([v, [[3.0, 9.0]]]), np.r_[lab, 7]
+    got = {r.id: r.s for r in S.silhouettes(df.unionByName(more)).collect()}
+    assert len(got) == 37 and np.allclose([got[i] for i in [*range(36), 100]], plain_silhouettes(v2, lab2)) and got[100] == 0
+    m = S.cluster_metrics(df.unionByName(more)).first()
+    f = np.array([12, 12, 12, 1]) / 37
+    assert m.clusters == 4 and abs(m.silhouette - plain_silhouettes(v2, lab2).mean()) < 1e-9 and abs(m.davies_bouldin - plain_davies_bouldin(v2, lab2)) < 1e-9
+    assert abs(m.size_entropy + (f * np.log(f + 1e-12)).sum() / np.log(4)) < 1e-9 and abs(m.uncertain_ratio - 2 / 39) < 1e-12
+    one = S.cluster_metrics(df.where("cluster = 0")).first()
+    assert one.clusters == 1 and one.silhouette is None and one.davies_bouldin is None and one.calinski_harabasz is None
+
+
+def test_scores_of_k(spark):
+    """The score from its parts, over the labels that k-means gave; a floor of the shares excludes a k."""
+    from sensorloom.operators.cluster import kmeans
+
+    df, rows = clouds(spark, [(0, 0), (6, 0), (0, 6)], 12)
+    v = np.array([r[1] for r in rows])
+    for r in S.adaptive_k(df.select("id", "v"), [2, 3], 8).collect():
+        labels = {x.id: x.cluster for x in kmeans(df.select("id", "v"), r.clusters, 8)[1].collect()}
+        lab = np.array([labels[i] for i in range(len(v))])
+        s, n = plain_silhouettes(v, lab), np.bincount(lab) / len(lab)
+        want = s.mean() + 0.5 * np.quantile(s, 0.2) + 0.2 * np.log(plain_ratio(v, lab, 0.9)[0]) - 0.2 * plain_davies_bouldin(v, lab) - 0.1 * (n.max() - 1 / r.clusters)
+        assert abs(r.score - want) < 1e-6
+    assert S.adaptive_k(df.select("id", "v"), [4], 3, least_share=0.4).first().score == float("-inf")
+
+
+def plain_merge(v, lab, rho, q, share):
+    lab = lab.copy()
+
+    def dense(a):
+        return np.array([sorted(set(a[a >= 0].tolist())).index(x) if x >= 0 else -1 for x in a])
+
+    def tiny(a):
+        a = dense(a)
+        while True:
+            n = np.bincount(a[a >= 0])
+            small = [k for k in range(len(n)) if n[k] < max(1, int(np.ceil(share * len(a))))]
+            if not small or len(n) <= 1:
+                return a
+            t = min(small, key=lambda k: (n[k], k))
+            c = [v[a == k].mean(axis=0) for k in range(len(n))]
+            a[a == t] = min((k for k in range(len(n)) if k != t), key=lambda k: (np.linalg.norm(c[k] - c[t]), k))
+            a = dense(a)
+
+    lab = tiny(lab)
+    while lab.max() + 1 > 2:
+        gap, a, b = plain_ratio(v[lab >= 0], lab[lab >= 0], q)
+        if gap >= rho:
+            break
+        keep, drop = (a, b) if (lab == a).sum() >= (lab == b).sum() else (b, a)
+        lab[lab == drop] = keep
+        lab = tiny(lab)
+    return lab
+
+
+@pytest.mark.parametrize("rho,share", [(1.0, 0.0), (1.6, 0.06), (50.0, 0.0)])
+def test_merges_by_plain_loops(spark, rho, share):
+    rng = np.random.default_rng(3)
+    at = [(0, 0), (0.4, 0.2), (5, 5), (5.3, 5.1), (9, 0), (9.2, 0.5), (2, 2)]
+    rows = [(100 * k + i, [float(x) for x in rng.normal(c, 0.5)], k) for k, c in enumerate(at) for i in range(3 if k == 6 else 10 + 3 * k)] + [(900, [1.0, 1.0], -1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, cluster int")
+    got = {r.id: r.cluster for r in S.merge_overlapping(df, rho, 0.9, share).collect()}
+    want = plain_merge(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), rho, 0.9, share)
+    assert [got[r[0]] for r in rows] == want.tolist()
+
+
+def test_labels_of_days(spark):
+    """Days whose clusters bear different numbers get the same labels, also where one dimension is a thousand times wider."""
+    rng = np.random.default_rng(5)
+    at = np.array([(0, 0), (1, 4000), (2, 1000)], dtype=float)
+    rows = [(d, (k + d) % 3, (at[k] + rng.normal(size=2) * (0.05, 50)).tolist()) for d in range(5) for k in range(3)]
+    got = {(r.day, r.cluster): r.label for r in S.align_labels(spark.createDataFrame(rows, "day long, cluster int, c array<double>"), 3, 20).collect()}
+    for k in range(3):
+        assert len({got[d, (k + d) % 3] for d in range(5)}) == 1
+    few = S.align_labels(spark.createDataFrame(rows[:2], "day long, cluster int, c array<double>"), 9, 5).collect()
+    assert len({r.label for r in few}) == 2
 
 
 def test_balanced_assignment_is_greedy(spark):
     df, rows = clouds(spark, [(0, 0), (1, 0), (0.5, 1)], 15, seed=3)
+    rows, df = rows[:44], df.where("id < 44")
     centers = np.array([(0, 0), (1, 0), (0.5, 1)], dtype=float)
     c = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(centers)], "cluster int, c array<double>")
-    d = {r[0]: np.round(np.sqrt(((np.array(r[1]) - centers) ** 2).sum(axis=1)), 9) for r in rows}
+    d = {r[0]: np.round(((np.array(r[1]) - centers) ** 2).sum(axis=1), 9) for r in rows}
     order = sorted(d, key=lambda i: (-(np.sort(d[i])[1] - np.sort(d[i])[0]), i))
-    room, want = [14, 14, 14], {}
+    room, want = [15, 15, 14], {}
     for i in order:
-        free = [k for k in sorted(range(3), key=lambda k: (d[i][k], k)) if room[k]]
-        want[i] = free[0] if free else None
-        if free:
-            room[free[0]] -= 1
-    got = {r.id: r.cluster for r in S.balanced_assignment(df.select("id", "v"), c, 14).collect()}
-    assert got == want and sum(x is None for x in got.values()) == 3
+        want[i] = next(k for k in sorted(range(3), key=lambda k: (d[i][k], k)) if room[k])
+        room[want[i]] -= 1
+    assert {r.id: r.cluster for r in S.balanced_assignment(df.select("id", "v"), c).collect()} == want
+
+
+def test_selection_with_probabilities(spark):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(50)], "id long, loss double")
+    got = {r.id: (r.hard, r.probability) for r in S.epsilon_greedy(df, 0.25, 0.01, 1).collect()}
+    best = sorted(range(50), key=lambda i: (-(i % 7), i))[:11]  # round(12.5) is 12, one of them explores
+    assert len(got) == 12 and all(got[i] == (True, 1.0) for i in best) and [p for h, p in got.values() if not h] == [1 / 39]
+    assert len(S.epsilon_greedy(df, 1.0, 0.5).collect()) == 50 and S.epsilon_greedy(df, 0.1, 0.0).where("not hard").count() == 0
+
+
+def test_global_order(spark):
+    """Places over many ranges are those of one sort, descending and with ties by id."""
+    from sensorloom.operators.storage import first_rows, numbered
+
+    rows = [(i, None if i % 41 == 0 else (i * 37) % 11) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, x int")
+    got = {r.id: r.k for r in numbered(df, [F.desc("x"), F.asc("id")], "k", part_rows=60).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [got[i] for i, _ in order] == list(range(500))
+    assert {r.id for r in first_rows(df, 33, [F.desc("x"), F.asc("id")]).collect()} == {i for i, _ in order[:33]}
 
 
 def test_leaves_and_groups(spark):
+    """Leaves are those of a plain split of the largest leaf at the median of its wider axis."""
     rng = np.random.default_rng(1)
-    p = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal() * 3)) for i in range(101)], "id long, x double, y double")
-    sizes = sorted(r["count"] for r in S.widest_split(p, 5).groupBy("leaf").count().collect())
-    assert sum(sizes) == 101 and len(sizes) == 5 and sizes[-1] <= 2 * sizes[0] + 1
+    pts = {i: (float(rng.normal()), float(rng.normal() * 3)) for i in range(101)}
+    leaves = [list(pts)]
+    while len(leaves) < 5:
+        n = max(range(len(leaves)), key=lambda k: (len(leaves[k]), -k))
+        mine = leaves[n]
+        wide = [max(pts[i][a] for i in mine) - min(pts[i][a] for i in mine) for a in (0, 1)]
+        mine = sorted(mine, key=lambda i: (pts[i][0 if wide[0] >= wide[1] else 1], i))
+        leaves[n] = mine[: (len(mine) + 1) // 2]
+        leaves.append(mine[(len(mine) + 1) // 2 :])
+    got = {r.id: r.leaf for r in S.widest_split(spark.createDataFrame([(i, *p) for i, p in pts.items()], "id long, x double, y double"), 5).collect()}
+    assert got == {i: n for n, leaf in enumerate(leaves) for i in leaf}
     e = [(a, b, 5.0) for g in (0, 10, 20) for a in range(g, g + 5) for b in range(g, g + 5) if a != b] + [(4, 10, 0.1), (14, 20, 0.1)]
     got = {r.node: r.grp for r in S.label_groups(spark.createDataFrame(e, "src long, dst long, weight double")).collect()}
     assert len({got[n] for n in range(5)}) == len({got[n] for n in range(10, 15)}) == 1 and len(set(got.values())) == 3
@@ -110,5 +224,7 @@ def test_independent_columns_and_chunks(spark):
     out = {}
     for r in N.breadth_chunks(e, 4).collect():
         out.setdefault((r.component, r.chunk), []).append(r.node)
-    assert sorted(len(v) for v in out.values()) == [2, 2, 4, 4] or max(map(len, out.values())) <= 4
+    assert max(map(len, out.values())) <= 4 and len(out) <= 5
+    for nodes in out.values():  # every chunk is a connected stretch of its line
+        assert sorted(nodes) == list(range(min(nodes), max(nodes) + 1))
     assert sorted(n for v in out.values() for n in v) == [*range(10), 20, 21]
