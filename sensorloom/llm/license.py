@@ -135,6 +135,12 @@ def parse_template(markup: str) -> list[tuple]:
     return stack[0]
 
 
+def trimmed(items: list[tuple]) -> list[tuple]:
+    """items without the optional and replaceable regions at either end: a text that holds the rest matches with none of their words."""
+    at = [n for n, (kind, _) in enumerate(items) if kind == "word"]
+    return items[at[0] : at[-1] + 1]
+
+
 class TokenAutomaton:
     """One automaton for all templates; run(words, i) gives the labels of those that match at i."""
 
@@ -146,7 +152,7 @@ class TokenAutomaton:
         self.start = self._state()
         must: dict[str, set[bytes]] = {}
         for label, markup in templates.items():
-            items = parse_template(markup)
+            items = trimmed(parse_template(markup))
             words = {x for kind, x in items if kind == "word"}
             must[label] = {w for w in words if len(w) > 7} or words
             first = self._state()

@@ -78,3 +78,14 @@ def test_whole_licences(docs_of):
         assert all(name in got[100 * k + v].labels.split(",") and got[100 * k + v].score == 1 for v in range(4)), name
         assert not any(name in got[100 * k + v].labels.split(",") for v in (50, 51)), name
     assert len(names) >= 20
+
+
+def test_regions_at_the_ends_do_not_matter():
+    """A template is found as without its outer regions, and its automaton starts at mandatory words only."""
+    from sensorloom.llm.license import TEMPLATES, TokenAutomaton
+
+    assert TokenAutomaton(TEMPLATES).first is not None
+    auto = TokenAutomaton({"x": "<<var;max=3>> <<beginOptional>>maybe<<endOptional>> may copy <<var;max=1>> it <<var;max=2>> <<beginOptional>>all<<endOptional>>"})
+    assert auto.first == {b"may"}
+    found = lambda text: {x for i in range(len(text)) for x in auto.run(text, i)}
+    assert found(b"you may copy it".split()) == found(b"may copy all it".split()) == {"x"} and not found(b"may copy a b it".split())
