@@ -44,7 +44,7 @@ LAST = (1 << 63) - 1
 class Stretches:
     """Minimizers of all windows of a list of (id, offset, bytes) pieces, as arrays."""
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]], length: int):
+    def __init__(self, pieces: list[tuple[int, int, bytes, int]], length: int):
         import numpy as np
 
         self.length = length
@@ -62,7 +62,7 @@ class Stretches:
                 begins[e - s : e - length + 1] = True
         at = np.flatnonzero(begins)
         if not len(at):
-            self.first = self.count = self.back = self.ids = self.offset = at
+            self.first = self.count = self.back = self.ids = self.offset = self.rows = at
             self.gram = at.view(np.uint64)
             return
         grams = self.digest(np.arange(n - GRAM + 1), GRAM)
@@ -84,6 +84,7 @@ class Stretches:
         self.back = where[new] - self.first
         piece = np.searchsorted(ends, self.first, side="right")
         self.ids = np.array([p[0] for p in pieces], dtype=np.int64)[piece]
+        self.rows = np.array([p[3] for p in pieces], dtype=np.int64)[piece]
         self.offset = self.first - (ends - sizes)[piece] + np.array([p[1] for p in pieces], dtype=np.int64)[piece]
 
     @staticmethod
@@ -118,7 +119,7 @@ class Stretches:
         return h ^ (h >> np.uint64(29))
 
     def units(self, keep) -> Units:
-        return Units(self.first[keep], self.count[keep], self.back[keep], self.gram[keep], self.ids[keep], self.offset[keep])
+        return Units(self.first[keep], self.count[keep], self.back[keep], self.gram[keep], self.ids[keep], self.offset[keep], self.rows[keep])
 
     def whole(self, u: Units):
         """Hash of every unit: its bytes, where its minimizer is, and how many windows it has."""
@@ -143,13 +144,13 @@ class Stretches:
 
 
 class Units:
-    """Runs of windows that share a minimizer: begin in the buffer, windows, distance to the minimizer, gram, id and offset."""
+    """Runs of windows that share a minimizer: begin in the buffer, windows, distance to the minimizer, gram, id, offset and row."""
 
-    def __init__(self, first, count, back, gram, ids, offset):
-        self.first, self.count, self.back, self.gram, self.ids, self.offset = first, count, back, gram, ids, offset
+    def __init__(self, first, count, back, gram, ids, offset, rows):
+        self.first, self.count, self.back, self.gram, self.ids, self.offset, self.rows = first, count, back, gram, ids, offset, rows
 
     def only(self, keep) -> Units:
-        return Units(self.first[keep], self.count[keep], self.back[keep], self.gram[keep], self.ids[keep], self.offset[keep])
+        return Units(self.first[keep], self.count[keep], self.back[keep], self.gram[keep], self.ids[keep], self.offset[keep], self.rows[keep])
 
     def split(self, size: int) -> Units:
         """Runs cut where the distance to the minimizer passes a multiple of size."""
@@ -161,7 +162,7 @@ class Units:
         new = np.flatnonzero((step == 0) | np.r_[True, block[1:] != block[:-1]]) if len(step) else step
         run, at = np.repeat(np.arange(len(n)), n)[new], step[new]
         count = np.diff(np.r_[new, len(step)])
-        return Units(self.first[run] + at, count, self.back[run] - at, self.gram[run], self.ids[run], self.offset[run] + at)
+        return Units(self.first[run] + at, count, self.back[run] - at, self.gram[run], self.ids[run], self.offset[run] + at, self.rows[run])
 
 
 def row_key(ids, offsets):
@@ -183,20 +184,20 @@ def _scan(docs: DataFrame, length: int, rows, schema: str) -> DataFrame:
 
         for b in batches:
             pieces = []
-            for i, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, body, row in zip(*(b.column(c).to_pylist() for c in range(3))):
                 if len(body) >= length:
                     step = PIECE - length
-                    pieces += [(i, o, body[o : o + step + length - 1]) for o in range(0, max(1, len(body) - length + 1), step)]
+                    pieces += [(i, o, body[o : o + step + length - 1], row) for o in range(0, max(1, len(body) - length + 1), step)]
             for lo, hi in text_chunks([p[2] for p in pieces], PIECE - len(pieces)):
                 out = rows(Stretches(pieces[lo:hi], length))
                 arrays = [pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64)) for a in out]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("id", "body").mapInArrow(run, schema)
+    return docs.select("id", "body", "row").mapInArrow(run, schema)
 
 
 def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> DataFrame:
-    """(id, start, stop): byte ranges of docs(id, body) covered by windows that also start earlier.
+    """(id, row, start, stop): byte ranges of docs(id, body, row) covered by windows that also start earlier.
 
     Earlier means a smaller id, or the same id and a smaller start. bits bounds the
     bitmaps that passes are carried in (2**27 bits are 16 MB), whatever the input: a fuller
@@ -215,7 +216,7 @@ def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> Data
         return np.flatnonzero(inside(frequent.value, s.gram, gram_bits)) if len(s.gram) else np.zeros(0, np.int64)
 
     place = F.struct(F.col("id").alias("id"), F.col("start").alias("start"))
-    columns = "core long, whole long, id long, start long, windows long"
+    columns = "core long, whole long, id long, start long, windows long, row long"
     marks, chosen = None, []
     for size in (None, RUN, 1):
 
@@ -223,14 +224,14 @@ def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> Data
             u = s.units(gram_hit(s))
             for (bits_, sent), part in zip(chosen, (RUN, 1)):
                 u = u.only(np.flatnonzero(inside(sent.value, row_key(u.ids, u.offset), bits_)) if len(u.ids) else np.zeros(0, np.int64)).split(part)
-            return [s.core(u, size), s.whole(u), u.ids, u.offset, u.count]
+            return [s.core(u, size), s.whole(u), u.ids, u.offset, u.count, u.rows]
 
         rows = stored(_scan(docs, length, units, columns))
         firsts = rows.groupBy("core", "whole").agg(F.min(place).alias("early"), F.count("*").alias("n")).select("core", "whole", "early.*", "n")
         firsts = stored(firsts if size != 1 else firsts.where("n > 1"))
         early = firsts.where("n > 1").select("core", "whole", F.col("id").alias("__i"), F.col("start").alias("__s"))
         later = bitmap_hits(rows, "whole", bitmap(early.select("whole"), "whole", bits)).join(early, ["core", "whole"]).where((F.col("id") > F.col("__i")) | ((F.col("id") == F.col("__i")) & (F.col("start") > F.col("__s"))))
-        found = later.select("id", "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
+        found = later.select("id", "row", "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
         marks = found if marks is None else marks.unionByName(found)
         if size != 1:
             several = firsts.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
@@ -262,17 +263,21 @@ def remove_passages(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     do not cross documents. n_spans counts maximal removed runs. With keep_text the
     remaining bytes are returned too (kept binary).
 
-    Null, empty and shorter texts have nothing removed. Rows of one id are one document
-    for the order: a repeated row is no earlier than its twin, so neither goes for the
-    other. Null ids come last. An empty table gives no rows. Other columns are not read.
+    Null, empty and shorter texts have nothing removed. Of rows
+    of one id none is the earlier document: a repeated row stays as it is, and of different
+    texts only what starts later in its own text than in any of them goes. Null ids come last. An empty table gives no rows. Other columns are not read.
     """
     d = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"),
     )
+    # Only where rows of different texts share an id are they told apart by a hash.
+    digest = F.xxhash64("body")
+    shared = d.groupBy("id").agg(F.min(digest).alias("a"), F.max(digest).alias("z")).where("a <> z")
+    d = d.withColumn("row", digest if shared.limit(1).count() else F.lit(0).cast("long"))
     marks = repeated_windows(d, length, bits)
-    by_doc = marks.groupBy("id").agg(F.collect_set(F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("stop"))).alias("marks"))
-    joined = d.join(by_doc, "id", "left").select("doc_id", "body", "marks")
+    by_doc = marks.groupBy("id", "row").agg(F.collect_set(F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("stop"))).alias("marks"))
+    joined = d.join(by_doc, ["id", "row"], "left").select("doc_id", "body", "marks")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

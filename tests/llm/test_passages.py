@@ -57,3 +57,12 @@ def test_repeated_rows_null_ids_and_empty(docs_of):
     got = sorted(((r.doc_id or 10**9), r.n_removed, bytes(r.kept)) for r in remove_passages(docs_of([(1, t), (1, t), (None, t)]), keep_text=True).collect())
     assert got == [(1, 0, t.encode())] * 2 + [(10**9, 160, b"")]
     assert remove_passages(docs_of([])).count() == 0
+
+
+def test_rows_that_share_an_id(docs_of):
+    """Marks of one text do not reach another of the same id, or of no id."""
+    rng = random.Random(4)
+    x, y = ("".join(rng.choices("abcdefghijklmnop", k=n)) for n in (120, 240))
+    for i in (None, 7):
+        got = {bytes(r.kept): r.n_removed for r in remove_passages(docs_of([(i, x + x), (i, y), (8 if i else i, "z")]), keep_text=True).collect()}
+        assert got == {x.encode(): 120, y.encode(): 0, b"z": 0}
