@@ -119,16 +119,6 @@ def mad_gap(vectors: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame
     return d.agg(near_.alias("near"), far_.alias("far"), (far_ - near_).alias("gap"))
 
 
-def learned_graph(first: DataFrame, second: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(src, dst, weight): softmax over each src's candidate pairs of the positive part of its embedding's product with dst's."""
-    a, b = first.select(F.col("node").alias("src"), F.col("v").alias("x")), second.select(F.col("node").alias("dst"), F.col("v").alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    r = pairs.select("src", "dst").distinct().join(a, "src").join(b, "dst").select("src", "dst", F.greatest(dot, F.lit(0.0)).alias("r"))
-    w = Window.partitionBy("src")
-    top = r.withColumn("e", F.exp(F.col("r") - F.max("r").over(w)))
-    return top.select("src", "dst", (F.col("e") / F.sum("e").over(w)).alias("weight"))
-
-
 def sample_graphs(samples: DataFrame, learned: DataFrame) -> DataFrame:
     """(sample, src, dst, score): a learned graph's weights at every ordered pair of a sample's nodes; 0 where it has none.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators import causal as K
 from sensorloom.operators import lag as L
 from sensorloom.operators import sampling as S
+from sensorloom.operators.learned import adaptive_graph, directed_top_k
 from sensorloom.plans.fixtures import COUNTS_SQL, counts
 from sensorloom.plans.q_graph import SPARSE, sparse
 from sensorloom.plans.registry import query, table
@@ -86,36 +87,50 @@ def smoothest_neighbours(spark, d):
 _COS = "1 - list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
 
 
-@query(SPARSE + f""", pr AS (SELECT a.vec_id AS src, (a.vec_id * 7 + k) % 25 AS dst FROM embeddings a, unnest(range(1, 9)) u(k) WHERE a.vec_id < 25), rw AS (SELECT DISTINCT src, dst, true AS near FROM e WHERE src <> dst UNION ALL SELECT DISTINCT src, dst, false FROM pr WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM e WHERE (e.src = pr.src AND e.dst = pr.dst) OR (e.src = pr.dst AND e.dst = pr.src))),
+@query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id AS src, (vec_id * 7 + 1) % n AS dst FROM embeddings, n), pr AS (SELECT DISTINCT vec_id AS src, (vec_id * 11 + k) % n AS dst FROM embeddings, n, unnest(range(1, 5)) u(k)), rw AS (SELECT DISTINCT src, dst, true AS near FROM e WHERE src <> dst UNION ALL SELECT DISTINCT src, dst, false FROM pr WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM e) AND (dst, src) NOT IN (SELECT (src, dst) FROM e)),
  c AS (SELECT near, {_COS} AS d FROM rw JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst) SELECT round(avg(d) FILTER (near), 6) AS near, round(avg(d) FILTER (NOT near), 6) AS far, round(avg(d) FILTER (NOT near) - avg(d) FILTER (near), 6) AS gap FROM c""")
 def smoothness_gap(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    pairs = spark.range(25).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).select("src", ((F.col("src") * 7 + F.col("k")) % 25).alias("dst"))
-    return S.mad_gap(v, sparse(spark, d), pairs).select(R("near").alias("near"), R("far").alias("far"), R("gap").alias("gap"))
+    n = v.count()
+    edges = v.select(F.col("node").alias("src"), ((F.col("node") * 7 + 1) % n).alias("dst"))
+    pairs = v.select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).select("src", ((F.col("src") * 11 + F.col("k")) % n).alias("dst"))
+    return S.mad_gap(v, edges, pairs).select(R("near").alias("near"), R("far").alias("far"), R("gap").alias("gap"))
 
 
-_LEARNED = SPARSE + """, em AS (SELECT vec_id AS node, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), pr AS (SELECT n.range AS src, m.range AS dst FROM range(25) n, range(25) m WHERE n.range <> m.range AND (n.range + m.range) % 2 = 0), r AS (SELECT src, dst, greatest(list_dot_product(a.v, b.v), 0) AS r FROM pr JOIN em a ON a.node = src JOIN em b ON b.node = dst + 25),
- lg AS (SELECT src, dst, exp(r - max(r) OVER w) / sum(exp(r)) OVER w * exp(max(r) OVER w) AS weight FROM r WINDOW w AS (PARTITION BY src))"""
+_LEARNED = """WITH em AS (SELECT vec_id AS node, CAST(embedding AS DOUBLE[]) AS v, CAST(list_reverse(embedding) AS DOUBLE[]) AS u FROM embeddings), r AS (SELECT a.node AS src, b.node AS dst, greatest(list_dot_product(a.v, b.u) * 4, 0) AS r FROM em a, em b),
+ lw AS (SELECT src, dst, exp(r) / sum(exp(r)) OVER (PARTITION BY src) AS weight FROM r QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(r, 12) DESC, dst) <= {k})"""
 
 
-def _learned(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    pairs = spark.range(25).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))).alias("dst")).where("src <> dst and (src + dst) % 2 = 0")
-    return S.learned_graph(v, v.select((F.col("node") - 25).alias("node"), "v"), pairs)
+def _embedded(spark, d, scale=1.0):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
+    return e.select("node", F.transform("v", lambda x: x * scale).alias("v"), "label"), e.select("node", F.reverse("v").alias("v"))
 
 
-@query(_LEARNED + " SELECT src, dst, round(weight, 6) AS weight FROM lg")
+@query(_LEARNED.format(k=5) + " SELECT src, dst, round(weight, 6) AS weight FROM lw")
 def learned_graph_weights(spark, d):
-    return _learned(spark, d).withColumn("weight", R("weight"))
+    """The five strongest of all nodes for each node, with their share of the softmax over all."""
+    a, b = _embedded(spark, d, 4.0)
+    return adaptive_graph(a, b, 5).withColumn("weight", R("weight"))
+
+
+@query("""WITH em AS (SELECT vec_id AS node, CAST(embedding AS DOUBLE[]) AS v, CAST(list_concat(embedding[2:], embedding[1:1]) AS DOUBLE[]) AS u FROM embeddings), r AS (SELECT a.node AS src, b.node AS dst, (exp(2 * x) - 1) / (exp(2 * x) + 1) AS w FROM (SELECT a.node AS an, b.node AS bn, 3 * (list_dot_product(a.v, b.u) - list_dot_product(a.u, b.v)) AS x FROM em a, em b) z JOIN em a ON a.node = an JOIN em b ON b.node = bn WHERE x > 0)
+ SELECT src, dst, round(w, 6) AS weight FROM r QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(w, 12) DESC, dst) <= 4""")
+def learned_directed_graph(spark, d):
+    """The second embedding of a node is its first, turned by one place."""
+    a, _ = _embedded(spark, d)
+    b = a.select("node", F.concat(F.slice("v", F.lit(2), F.size("v") - 1), F.slice("v", 1, 1)).alias("v"))
+    return directed_top_k(a, b, 4).withColumn("weight", R("weight"))
 
 
-@query(_LEARNED + """, sm AS (SELECT n.range AS node, n.range % 4 AS sample FROM range(25) n), sc AS (SELECT a.sample, a.node AS src, b.node AS dst, round(coalesce(lg.weight, 0), 6) AS score, CAST(e.src IS NOT NULL AS INTEGER) AS label FROM sm a JOIN sm b ON a.sample = b.sample AND a.node <> b.node LEFT JOIN lg ON lg.src = a.node AND lg.dst = b.node LEFT JOIN e ON e.src = a.node AND e.dst = b.node),
+@query(_LEARNED.format(k=50) + """, sm AS (SELECT vec_id AS node, vec_id // 25 AS sample, label FROM embeddings), sc AS (SELECT a.sample, round(coalesce(lw.weight, 0), 6) AS score, CAST(a.label = b.label AS INTEGER) AS label FROM sm a JOIN sm b ON a.sample = b.sample AND a.node <> b.node LEFT JOIN lw ON lw.src = a.node AND lw.dst = b.node),
  k AS (SELECT *, rank() OVER (PARTITION BY sample ORDER BY score) + (count(*) OVER (PARTITION BY sample, score) - 1) / 2 AS rk FROM sc) SELECT sample, round((sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 6) AS auroc FROM k GROUP BY 1""")
 def learned_graph_scores(spark, d):
-    """A learned graph at the pairs of each sample, scored against the sample's label edges."""
-    samples = spark.range(25).selectExpr("id % 4 AS sample", "id AS node")
-    s = S.sample_graphs(samples, _learned(spark, d)).withColumn("score", R("score"))
-    lab = samples.select("sample", F.col("node").alias("src")).join(sparse(spark, d), "src").select("sample", "src", "dst")
+    """A learned graph of all nodes at the pairs of each sample, scored against pairs of one label."""
+    a, b = _embedded(spark, d, 4.0)
+    samples = a.select((F.floor(F.col("node") / 25)).alias("sample"), "node", "label")
+    s = S.sample_graphs(samples, adaptive_graph(a, b, 50)).withColumn("score", R("score"))
+    x, y = samples.select("sample", F.col("node").alias("src"), "label"), samples.select("sample", F.col("node").alias("dst"), "label")
+    lab = x.join(y, ["sample", "label"]).where("src <> dst").select("sample", "src", "dst")
     return L.auroc(S.with_labels(s, lab), ["sample"]).select("sample", R("auroc").alias("auroc"))
 
 
