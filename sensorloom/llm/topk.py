@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Depths (shares of the lists) at which bounds are looked at.
 DEPTHS = (0.125, 0.25, 0.5, 0.75, 0.875, 0.9375)
 
@@ -138,7 +140,7 @@ class RunningBest:
 
 def top_k(
     vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding",
-    block: int = 1024, query_block: int = 8192, stripes: int = 8, resolve: int = 160,
+    block: int = 1024, query_block: int = 8192, resolve: int = 160,
 ) -> DataFrame:
     """Each query's k highest integer inner products: query_id, rank (from 1), vec_id, score.
 
@@ -149,22 +151,20 @@ def top_k(
     are filled with zeros. Scores beyond a long are clipped to its range. An empty table
     gives no rows. Other columns are not read.
 
-    Queries are dealt by a hash into blocks of `query_block`, candidates into `stripes`. A
-    task reads a query block's stripe as a stream of blocks of about `block` rows and carries
-    each query's k best from one to the next as a lower bound, so memory does not grow with
-    the table, and k rows a query and stripe are left to rank.
+    Queries are dealt by a hash into blocks of about `query_block`, each broadcast (its size is
+    bounded by that number and the dimensions). Candidates are read where they lie, once for
+    each block of queries, and are not shuffled: a task reads them as a stream of blocks of
+    about `block` rows and carries each query's k best from one to the next as a lower bound,
+    so memory does not grow with the table, and k rows a query and task are left to rank.
     """
     usable = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     )
-    whole = usable.select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v"), (F.col("vec_id") % every == 0).alias("asks"))
-    counts = whole.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.size("v")).alias("dims")).first()
-    stripes, query_parts, dims = max(1, min(stripes, -(-counts["n"] // block))), max(1, -(-counts["q"] // query_block)), max(counts["dims"] or 1, 1)
-    salted = F.xxhash64("vec_id", "v")
-    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    given = whole.select("vec_id", "v", F.lit(1).alias("kind"), F.pmod(salted, F.lit(stripes)).cast("int").alias("stripe"), every_of(query_parts).alias("qpart"))
-    asked = whole.where("asks").select("vec_id", "v", F.lit(0).alias("kind"), F.pmod(salted, F.lit(query_parts)).cast("int").alias("qpart"), every_of(stripes).alias("stripe")).select(given.columns)
+    whole = usable.select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    asks = stored(whole.where(F.col("vec_id") % every == 0).withColumn("h", F.xxhash64("vec_id", "v")))
+    counts = whole.agg(F.max(F.size("v")).alias("dims")).first()
+    query_parts, dims = max(1, -(-asks.count() // query_block)), max(counts["dims"] or 1, 1)
 
     def matrix(lists):
         import numpy as np
@@ -176,50 +176,45 @@ def top_k(
         m[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = flat[ends[0] : ends[-1]]
         return m
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    def search(asked):
+        """The scan that leaves each query's k best of a task's candidates."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            best, ids, rows, held = RunningBest(*asked.value, k, resolve), [], [], 0
+            for b in batches:
+                ids.append(b.column(0).to_numpy())
+                rows.append(matrix(b.column(1)))
+                held += b.num_rows
+                if held >= block:
+                    ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
+                    upto = held // block * block
+                    for at in range(0, upto, block):
+                        best.add(ids[0][at : at + block], rows[0][at : at + block])
+                    ids, rows, held = [ids[0][upto:]], [rows[0][upto:]], held - upto
+            if held:
+                best.add(np.concatenate(ids), np.concatenate(rows))
+            if len(best.q):
+                yield pa.RecordBatch.from_arrays([pa.array(best.query_ids[best.q]), pa.array(best.ids), pa.array(best.score)], names=["query_id", "vec_id", "score"])
+
+        return run
+
+    import numpy as np
 
-        key, best, asking, waiting = None, None, [], []
-
-        def look(final: bool):
-            """Goes through whole blocks of the waiting candidates, and through the rest at the end of a group."""
-            nonlocal best, asking, waiting
-            if best is None and (waiting or final) and asking:
-                best, asking = RunningBest(np.concatenate([a for a, _ in asking]), np.concatenate([v for _, v in asking]), k, resolve), []
-            if best is None or not waiting:
-                waiting = waiting if not final else []
-                return
-            ids, rows = np.concatenate([a for a, _ in waiting]), np.concatenate([v for _, v in waiting])
-            upto = len(ids) if final else len(ids) // block * block
-            for at in range(0, upto, block):
-                best.add(ids[at : min(at + block, upto)], rows[at : min(at + block, upto)])
-            waiting = [(ids[upto:], rows[upto:])] if upto < len(ids) else []
-
-        def result():
-            if best is None or not len(best.q):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(best.query_ids[best.q]), pa.array(best.ids), pa.array(best.score)], names=["query_id", "vec_id", "score"])
-
-        for b in batches:
-            keys = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
-            ids, kinds, rows = b.column(3).to_numpy(), b.column(2).to_numpy(), matrix(b.column(4))
-            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1) | (kinds[1:] != kinds[:-1])]) if len(ids) else []
-            for at, to in zip(new, [*new[1:], len(ids)]):
-                now = tuple(keys[at])
-                if now != key:
-                    look(True)
-                    done = result()
-                    if done is not None:
-                        yield done
-                    key, best, asking, waiting = now, None, [], []
-                (waiting if kinds[at] else asking).append((ids[at:to], rows[at:to]))
-                look(False)
-        look(True)
-        done = result()
-        if done is not None:
-            yield done
-
-    rows = given.unionByName(asked).select("qpart", "stripe", "kind", "vec_id", "v").repartition(query_parts * stripes, "qpart", "stripe").sortWithinPartitions("qpart", "stripe", "kind")
-    found = rows.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = None
+    for n in range(query_parts):
+        mine = sorted((r["vec_id"], r["v"]) for r in asks.where(F.pmod("h", F.lit(query_parts)) == n).select("vec_id", "v").toLocalIterator())
+        if not mine:
+            continue
+        m = np.zeros((len(mine), dims), dtype=np.int64)
+        for at, (_, v) in enumerate(mine):
+            m[at, : len(v)] = v
+        asked = vectors.sparkSession.sparkContext.broadcast((np.array([i for i, _ in mine], dtype=np.int64), m))
+        part = stored(whole.mapInArrow(search(asked), "query_id long, vec_id long, score long"))
+        asked.destroy()  # its rows are stored
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

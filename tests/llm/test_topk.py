@@ -48,8 +48,8 @@ def test_small_and_large_values(spark):
     assert run(spark, [(0, [1.0])]) == []
 
 
-def test_stripes_and_carried_bounds(spark):
-    """Any number of stripes and blocks gives the same rows, ties and repeated rows included; bounds carried on settle queries early."""
+def test_blocks_and_carried_bounds(spark):
+    """Any number of blocks gives the same rows, ties and repeated rows included; bounds carried on settle queries early."""
     import numpy as np
 
     from sensorloom.llm.topk import RunningBest
@@ -57,7 +57,7 @@ def test_stripes_and_carried_bounds(spark):
     rng = random.Random(8)
     rows = [(i, [f32(rng.choice([-1, 0, 1]) * 0.25) for _ in range(6)]) for i in range(600)] + [(41, [0.25] * 6)] * 3
     want = brute(rows, 20, 20)
-    assert all(run(spark, rows, block=b, stripes=s, query_block=q, resolve=r) == want for b, s, q, r in ((16, 1, 5, 4), (64, 3, 1000, 10), (1000, 8, 8192, 160)))
+    assert all(run(spark, rows, block=b, query_block=q, resolve=r) == want for b, q, r in ((16, 5, 4), (64, 1000, 10), (1000, 8192, 160)))
     # One list decides these scores, so a few reads of it do.
     v = np.zeros((4096, 8), dtype=np.int64)
     v[:, 0] = np.random.default_rng(0).permutation(4096)
