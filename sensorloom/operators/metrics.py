@@ -7,6 +7,7 @@ All take prediction p and target t as Columns; a null target is missing. With a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,8 +137,8 @@ def wasserstein(facts: DataFrame, by: list[str]) -> DataFrame:
     return a.join(b, [*by, "k"]).groupBy(*by).agg(F.avg(F.abs(F.col("pred") - F.col("target"))).alias("w1"))
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", ascending: bool = True, parts: int = 64) -> DataFrame:
-    """(by, value, out): the rank from 1 of each distinct value of a key, ties sharing the mean of their places.
+def value_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", ascending: bool = True, parts: int = 64, times: str | None = None) -> DataFrame:
+    """(by, value, out, times if named: its rows): the rank from 1 of each distinct value of a key, ties sharing the mean of their places.
 
     Rows are counted by value first. Approximate quantiles deal a key's values into parts, so
     that no task orders all of a key; a part's ranks start after the counts of the parts
@@ -152,17 +153,27 @@ def value_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", asc
     before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = d.withColumn("__i", before(Window.partitionBy(*by, "__b").orderBy(order(value))))
     start = d.groupBy(*by, "__b").agg(F.sum("__n").alias("__n")).withColumn("__s", before(Window.partitionBy(*by).orderBy(order("__b")))).drop("__n")
-    return inside.join(start, [*by, "__b"]).select(*by, value, (F.col("__s") + F.col("__i") + (F.col("__n") + 1) / 2).alias(out))
+    return inside.join(start, [*by, "__b"]).select(*by, value, (F.col("__s") + F.col("__i") + (F.col("__n") + 1) / 2).alias(out), *([F.col("__n").alias(times)] if times else []))
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, out: str = "rank", ascending: bool = True) -> DataFrame:
-    """Ranks from 1, ties sharing the mean of their places."""
-    r = value_ranks(df, by, value, out, ascending)
-    same = [F.col(f"__x.{c}").eqNullSafe(F.col(f"__r.{c}")) for c in [*by, value]]
-    cond = same[0]
-    for x in same[1:]:
-        cond = cond & x
-    return df.alias("__x").join(r.alias("__r"), cond).select("__x.*", F.col(f"__r.{out}"))
+    """Ranks from 1, ties sharing the mean of their places.
+
+    Values that hold more than a thousandth of all rows are broadcast (there are a thousand at
+    most), so that no frequent value is the key of a shuffle.
+    """
+    r = value_ranks(df, by, value, out, ascending, times="__times")
+    often = F.col("__times") * 1000 > df.count()
+
+    def on(a: str, b: str) -> Column:
+        same = [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in [*by, value]]
+        return reduce(lambda x, y: x & y, same)
+
+    hot, rest = F.broadcast(r.where(often)), r.where(~often)
+    x = df.alias("__x")
+    found = x.join(hot.alias("__r"), on("__x", "__r")).select("__x.*", F.col(f"__r.{out}"))
+    left = x.join(hot.alias("__h"), on("__x", "__h"), "left_anti").alias("__y")
+    return found.unionByName(left.join(rest.alias("__r"), on("__y", "__r")).select("__y.*", F.col(f"__r.{out}")))
 
 
 def kendall(ranks: DataFrame, item: str, a: str, b: str, by: list[str]) -> DataFrame:

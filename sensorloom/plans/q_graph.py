@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import graph as G
 from sensorloom.operators import joins as J
+from sensorloom.operators import neighbourhoods as H
 from sensorloom.operators.nearest import FLAT_KM, HAVERSINE_M, knn, knn_graph
 from sensorloom.plans.fixtures import FLOWS_SQL, PANEL, counts, flows
 from sensorloom.plans.registry import query, table
@@ -307,3 +308,25 @@ def semi_and_anti_joins(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     key = F.col("o_custkey") == F.col("c_custkey")
     return o.join(c.where("c_mktsegment = 'BUILDING'"), key, "left_semi").join(c.where("c_acctbal < 0"), key, "left_anti").agg(F.count("*").alias("n"))
+
+
+@query(SPARSE + """, b AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), dg AS (SELECT a AS node, count(*) AS d FROM b GROUP BY 1), h AS (SELECT a AS c, a AS node, 0 AS hop FROM b UNION SELECT a, b, 1 FROM b UNION SELECT x.a, y.b, 2 FROM b x JOIN b y ON x.b = y.a), m AS (SELECT c, node, min(hop) AS hop FROM h GROUP BY 1, 2),
+ r AS (SELECT c, m.node, row_number() OVER (PARTITION BY c ORDER BY hop, d DESC, m.node) AS k FROM m JOIN dg ON dg.node = m.node), g AS (SELECT c, list(node ORDER BY node) AS nodes FROM r WHERE k <= 5 GROUP BY c HAVING count(*) = 5) SELECT DISTINCT nodes FROM g""")
+def two_hop_samples(spark, d):
+    return H.two_hop_samples(sparse(spark, d), 5)
+
+
+@query("""WITH s AS (SELECT vec_id // 5 AS sample, vec_id AS node, CAST(embedding[1] AS DOUBLE) AS y, CAST(embedding[2] AS DOUBLE) AS x FROM embeddings), m AS (SELECT sample, avg(y) AS y, avg(x) AS x, list(node) AS own FROM s GROUP BY 1),
+ f AS (SELECT a.sample, a.own, b.own AS more, ((a.y - b.y) ** 2 + (a.x - b.x) ** 2) / 2 AS gap, b.sample AS other FROM m a JOIN m b ON a.sample <> b.sample QUALIFY row_number() OVER (PARTITION BY a.sample ORDER BY gap DESC, other) = 1) SELECT DISTINCT list_sort(list_concat(own, more)) AS nodes FROM f""")
+def samples_far_apart(spark, d):
+    e = table(spark, d, "embeddings")
+    s = e.select(F.floor(F.col("vec_id") / 5).alias("sample"), F.col("vec_id").alias("node"))
+    return H.combine_far_apart(s, e.select(F.col("vec_id").alias("node"), F.col("embedding")[0].cast("double").alias("y"), F.col("embedding")[1].cast("double").alias("x")))
+
+
+@query("SELECT p_partkey, 0 AS pos, CAST(p_size AS INTEGER) AS route, 'N' AS direction FROM part UNION ALL SELECT p_partkey, 1, CAST(p_size + 100 AS INTEGER), CASE WHEN p_partkey % 2 = 0 THEN 'S' ELSE 'E' END FROM part WHERE p_partkey % 3 <> 0")
+def connector_route_rows(spark, d):
+    """A registered table function in a lateral join; names are made of the parts' sizes."""
+    H.register_table_functions(spark)
+    p = table(spark, d, "part").selectExpr("p_partkey", "concat(p_size, 'N TO ', CASE WHEN p_partkey % 3 <> 0 THEN concat(p_size + 100, CASE WHEN p_partkey % 2 = 0 THEN ' SB' ELSE '-E' END) ELSE 'CONN' END) AS name")
+    return spark.sql("SELECT p_partkey, r.pos, r.route, r.direction FROM {p}, LATERAL connector_routes(name) r", p=p)
