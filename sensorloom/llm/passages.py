@@ -193,11 +193,11 @@ def _scan(docs: DataFrame, length: int, rows, schema: str) -> DataFrame:
                 arrays = [pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64)) for a in out]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("id", "body", "row").mapInArrow(run, schema)
+    return docs.select("id", "body", F.col("row") if "row" in docs.columns else F.lit(0).cast("long").alias("row")).mapInArrow(run, schema)
 
 
 def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> DataFrame:
-    """(id, row, start, stop): byte ranges of docs(id, body, row) covered by windows that also start earlier.
+    """(id, row, start, stop): byte ranges of docs(id, body, row if rows of one id are to be told apart) covered by windows that also start earlier.
 
     Earlier means a smaller id, or the same id and a smaller start. bits bounds the
     bitmaps that passes are carried in (2**27 bits are 16 MB), whatever the input: a fuller
@@ -216,7 +216,8 @@ def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> Data
         return np.flatnonzero(inside(frequent.value, s.gram, gram_bits)) if len(s.gram) else np.zeros(0, np.int64)
 
     place = F.struct(F.col("id").alias("id"), F.col("start").alias("start"))
-    columns = "core long, whole long, id long, start long, windows long, row long"
+    told = "row" in docs.columns
+    columns = "core long, whole long, id long, start long, windows long" + (", row long" if told else "")
     marks, chosen = None, []
     for size in (None, RUN, 1):
 
@@ -224,14 +225,14 @@ def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> Data
             u = s.units(gram_hit(s))
             for (bits_, sent), part in zip(chosen, (RUN, 1)):
                 u = u.only(np.flatnonzero(inside(sent.value, row_key(u.ids, u.offset), bits_)) if len(u.ids) else np.zeros(0, np.int64)).split(part)
-            return [s.core(u, size), s.whole(u), u.ids, u.offset, u.count, u.rows]
+            return [s.core(u, size), s.whole(u), u.ids, u.offset, u.count, u.rows][: 6 if told else 5]
 
         rows = stored(_scan(docs, length, units, columns))
         firsts = rows.groupBy("core", "whole").agg(F.min(place).alias("early"), F.count("*").alias("n")).select("core", "whole", "early.*", "n")
         firsts = stored(firsts if size != 1 else firsts.where("n > 1"))
         early = firsts.where("n > 1").select("core", "whole", F.col("id").alias("__i"), F.col("start").alias("__s"))
         later = bitmap_hits(rows, "whole", bitmap(early.select("whole"), "whole", bits)).join(early, ["core", "whole"]).where((F.col("id") > F.col("__i")) | ((F.col("id") == F.col("__i")) & (F.col("start") > F.col("__s"))))
-        found = later.select("id", "row", "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
+        found = later.select("id", F.col("row") if told else F.lit(0).cast("long").alias("row"), "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
         marks = found if marks is None else marks.unionByName(found)
         if size != 1:
             several = firsts.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
@@ -274,8 +275,9 @@ def remove_passages(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     # Only where rows of different texts share an id are they told apart by a hash.
     digest = F.xxhash64("body")
     shared = d.groupBy("id").agg(F.min(digest).alias("a"), F.max(digest).alias("z")).where("a <> z")
-    d = d.withColumn("row", digest if shared.limit(1).count() else F.lit(0).cast("long"))
-    marks = repeated_windows(d, length, bits)
+    told = shared.limit(1).count() > 0
+    marks = repeated_windows(d.withColumn("row", digest) if told else d, length, bits)
+    d = d.withColumn("row", digest if told else F.lit(0).cast("long"))
     by_doc = marks.groupBy("id", "row").agg(F.collect_set(F.shiftleft(F.col("start"), 32).bitwiseOR(F.col("stop"))).alias("marks"))
     joined = d.join(by_doc, ["id", "row"], "left").select("doc_id", "body", "marks")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
