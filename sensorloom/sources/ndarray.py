@@ -55,6 +55,16 @@ def _npy_header(f) -> tuple[tuple[int, ...], bool, object]:
     return (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
 
 
+def block_paths(folder: str) -> list[str]:
+    """The block-*.npy files of a folder, in order; a folder's path ends with a slash."""
+    from pyarrow import fs
+
+    folder = folder.rstrip("/")
+    store, inner = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    scheme = folder.removesuffix(inner)
+    return sorted(scheme + f.path for f in store.get_file_info(fs.FileSelector(inner)) if f.base_name.startswith("block-") and f.base_name.endswith(".npy"))
+
+
 def layout_of(path: str, dims: list[str], member: str | None = None, shape: str | None = None, dtype: str = "<f4") -> Layout:
     """Layout of an array from the file's own header, or from shape ("-1,12,325": -1 from the size) and dtype for raw files."""
     import numpy as np
@@ -121,8 +131,12 @@ def read_rows(f, lay: Layout, first: int, last: int, items, gap_bytes: int):
 
 @dataclass
 class Rows(InputPartition):
+    """Rows first to last of a file, whose own first row is row `base` of the whole array."""
+
     first: int
     last: int
+    file: int = 0
+    base: int = 0
 
 
 @dataclass
@@ -162,7 +176,7 @@ class Chosen:
 
 
 class NdArraySource(DataSource):
-    """Format `ndarray`. Options: path, dims ("t,node"), member, shape, dtype, split_bytes, gap_bytes, label_<dim> (a .npy vector of longs).
+    """Format `ndarray`. Options: path (a file, or a folder with a slash at its end that holds blocks of rows, block-*.npy), dims ("t,node"), member, shape, dtype, split_bytes, gap_bytes, label_<dim> (a .npy vector of longs).
 
     Columns: each dim (its place, or its label where it has one), for the dim `stamp` names
     its label as an extra column `label`, and value (double; NaN and infinities are null).
@@ -183,7 +197,15 @@ class NdArraySource(DataSource):
 class NdArrayReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options, self.dims = options, options["dims"].split(",")
-        self.lay = layout_of(options["path"], self.dims, options.get("member"), options.get("shape"), options.get("dtype", "<f4"))
+        path = options["path"]
+        files = block_paths(path) if path.endswith("/") else [path]
+        if not files:
+            raise ValueError(f"{path} holds no blocks")
+        self.lays = [layout_of(f, self.dims, options.get("member"), options.get("shape"), options.get("dtype", "<f4")) for f in files]
+        self.lay = self.lays[0]
+        self.rows = sum(x.shape[0] for x in self.lays)
+        if any(x.shape[1:] != self.lay.shape[1:] or x.dims != self.lay.dims for x in self.lays):
+            raise ValueError("blocks differ in shape")
         self.chosen = Chosen()
 
     def pushFilters(self, filters):
@@ -195,7 +217,7 @@ class NdArrayReader(DataSourceReader):
         """Values of a dimension's places first to last: its labels where it has some."""
         import numpy as np
 
-        size = self.lay.shape[self.lay.dims.index(dim)]
+        size = self.rows if dim == self.lay.dims[0] else self.lay.shape[self.lay.dims.index(dim)]
         last = size if last is None else last
         path = self.options.get(f"label_{dim}")
         if path is None or (path and dim == self.options.get("stamp")):
@@ -219,24 +241,28 @@ class NdArrayReader(DataSourceReader):
         import numpy as np
 
         row = max(1, self.lay.row_items * np.dtype(self.lay.dtype).itemsize)
-        step = max(1, int(self.options.get("split_bytes", 64 << 20)) // row) if not self.lay.packed else max(1, self.lay.shape[0])
+        step = max(1, int(self.options.get("split_bytes", 64 << 20)) // row)
         outer = self.lay.dims[0]
-        plain = f"label_{outer}" not in self.options or outer == self.options.get("stamp")
-        low, high = (self.chosen.low.get(outer, 0), self.chosen.high.get(outer, self.lay.shape[0] - 1)) if plain else (0, self.lay.shape[0] - 1)
-        if plain and outer in self.chosen.values:
-            wanted = sorted(v for v in self.chosen.values[outer] if v is not None)
-            low, high = max(low, wanted[0] if wanted else high + 1), min(high, wanted[-1] if wanted else -1)
-        low, high = max(low, 0), min(high, self.lay.shape[0] - 1)
-        if self.lay.packed:
-            return [Rows(0, self.lay.shape[0])] if low <= high else []
-        return [Rows(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
+        low, high = 0, self.rows - 1
+        if f"label_{outer}" not in self.options or outer == self.options.get("stamp"):
+            low, high = max(low, self.chosen.low.get(outer, low)), min(high, self.chosen.high.get(outer, high))
+            if outer in self.chosen.values:
+                wanted = sorted(v for v in self.chosen.values[outer] if v is not None)
+                low, high = (max(low, wanted[0]), min(high, wanted[-1])) if wanted else (1, 0)
+        out, base = [], 0
+        for n, lay in enumerate(self.lays):
+            a, z = max(low - base, 0), min(high - base + 1, lay.shape[0])
+            if a < z:
+                out += [Rows(0, lay.shape[0], n, base)] if lay.packed else [Rows(x, min(x + step, z), n, base) for x in range(a, z, step)]
+            base += lay.shape[0]
+        return out
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         if partition is None:  # what Spark asks for where no range is left
             return
-        lay = self.lay
+        lay = self.lays[partition.file]
         inner = np.indices(lay.shape[1:]).reshape(len(lay.shape) - 1, -1) if len(lay.shape) > 1 else np.zeros((0, 1), np.int64)
         values = {d: self._labels(d) for d in lay.dims[1:]}
         ok = np.ones(lay.row_items, bool)
@@ -249,19 +275,19 @@ class NdArrayReader(DataSourceReader):
         gap = int(self.options.get("gap_bytes", 1 << 16))
         step = max(1, CHUNK // max(1, 8 * len(items)))
         with open_file(lay.path) as f:
-            stream = self._stream(f, partition, items, step) if lay.packed else ((a, read_rows(f, lay, a, min(a + step, partition.last), items, gap)[0]) for a in range(partition.first, partition.last, step))
+            stream = self._stream(f, lay, partition, items, step) if lay.packed else ((a, read_rows(f, lay, a, min(a + step, partition.last), items, gap)[0]) for a in range(partition.first, partition.last, step))
             for at, block in stream:
-                yield from self._batches(at, block, columns)
+                yield from self._batches(partition.base + at, block, columns)
 
-    def _stream(self, f, partition: Rows, items, step: int):
+    def _stream(self, f, lay: Layout, partition: Rows, items, step: int):
         import numpy as np
 
-        kind = np.dtype(self.lay.dtype)
-        with zipfile.ZipFile(f) as z, z.open(self.lay.packed) as inner:
-            inner.read(self.lay.offset)
+        kind = np.dtype(lay.dtype)
+        with zipfile.ZipFile(f) as z, z.open(lay.packed) as inner:
+            inner.read(lay.offset)
             for a in range(partition.first, partition.last, step):
                 n = min(step, partition.last - a)
-                body = inner.read(n * self.lay.row_items * kind.itemsize)
+                body = inner.read(n * lay.row_items * kind.itemsize)
                 yield a, np.frombuffer(body, kind).reshape(n, -1)[:, items]
 
     def _batches(self, at: int, block, columns) -> Iterator[pa.RecordBatch]:
@@ -305,3 +331,35 @@ def read_series_archive(spark: SparkSession, path: str, values: str = "targets",
     """(t, node, ts, value) of an archive of unix times [T] and values [T, N]; without compression it is read by many tasks."""
     d = read_ndarray(spark, path, ["t", "node"], member=values, label_t=path, label_member=times, stamp="t", **options)
     return d.select("t", "node", F.timestamp_seconds("label").alias("ts"), "value")
+
+
+def write_ndarray_blocks(panel: DataFrame, folder: str, width: int, block_rows: int = 4096, dtype: str = "<f4") -> DataFrame:
+    """Writes a panel (t long, node long, value), both counted from 0, as arrays [block_rows, width] in files block-*.npy; returns their manifest (path, first, rows).
+
+    Each block is written by the task that has its rows, whole and under its own name, so a
+    task that runs again leaves the same files. Cells that the panel lacks are NaN. The last
+    block ends at the last t that it holds; a block without any row is not written, so t must have none missing for whole blocks.
+    """
+    folder = folder.rstrip("/")
+
+    def save(key, pdf):
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(inner, recursive=True)
+        first = int(key[0]) * block_rows
+        rows = block_rows if pdf["more"].iloc[0] else int(pdf["t"].max()) - first + 1
+        m = np.full((rows, width), np.nan, np.dtype(dtype))
+        m[pdf["t"].to_numpy() - first, pdf["node"].to_numpy()] = pdf["value"].to_numpy(dtype=float)
+        path = f"{inner}/block-{int(key[0]):09d}.npy"
+        with store.open_output_stream(path) as f:
+            np.save(f, m)
+        return pd.DataFrame({"path": [path], "first": [first], "rows": [rows]})
+
+    b = F.floor(F.col("t") / block_rows)
+    last = panel.agg(F.max(b).alias("z"))  # one row
+    dealt = panel.select("t", "node", "value", b.alias("block")).crossJoin(F.broadcast(last)).withColumn("more", F.col("block") < F.col("z")).drop("z")
+    written = dealt.groupBy("block").applyInPandas(save, "path string, first long, rows long")
+    return panel.sparkSession.createDataFrame(written.collect(), written.schema)  # runs the writing; a row a block

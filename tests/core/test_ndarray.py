@@ -84,6 +84,21 @@ def test_more_than_two_gigabytes_in_many_tasks(spark, tmp_path):
     assert rows(df.where("t >= 399998 and node in (0, 1999)")) == [(399_998, 0, 0.0), (399_998, 1999, 0.0), (399_999, 0, 0.0), (399_999, 1999, 7.0)]
 
 
+def test_blocks_written_by_tasks(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(53, 7)).astype("f4")
+    panel = spark.createDataFrame([(t, n, float(a[t, n])) for t in range(53) for n in range(7) if (t, n) != (9, 3)], "t long, node long, value double").repartition(4)
+    out = f"{tmp_path}/blocks/"
+    m = A.write_ndarray_blocks(panel, out, 7, block_rows=10).collect()
+    assert sorted((r["first"], r["rows"]) for r in m) == [(0, 10), (10, 10), (20, 10), (30, 10), (40, 10), (50, 3)]
+    a[9, 3] = np.nan
+    df = A.read_ndarray(spark, out, ["t", "node"], split_bytes=140)
+    assert rows(df) == want(a) and df.rdd.getNumPartitions() == 11 and df.where("t between 20 and 24").rdd.getNumPartitions() == 1
+    assert rows(df.where("t in (19, 51) and node = 2")) == [(19, 2, float(a[19, 2])), (51, 2, float(a[51, 2]))]
+    with pytest.raises(Exception, match="no blocks"):
+        A.read_ndarray(spark, f"{tmp_path}/", ["t", "node"]).count()
+
+
 def test_refusals(tmp_path):
     np.save(tmp_path / "o.npy", np.array([{}, 1], dtype=object), allow_pickle=True)
     with pytest.raises(ValueError):
