@@ -156,6 +156,31 @@ def value_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank", asc
     return inside.join(start, [*by, "__b"]).select(*by, value, (F.col("__s") + F.col("__i") + (F.col("__n") + 1) / 2).alias(out), *([F.col("__n").alias(times)] if times else []))
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], out: str = "q") -> DataFrame:
+    """(by, out): exact quantiles of a key's values as an array, linear between neighbours; nulls are left out, and a key without other values has null.
+
+    Values are counted, and value_ranks places each of them: sketches only deal values to
+    tasks, counts decide. A place next to a wanted one adds its value by its weight, so memory
+    does not grow with a key, and a scope without keys is dealt over tasks like any other.
+    """
+    key = by or ["__one"]
+    rows = df.where(F.col(value).isNotNull()).select(*by, value)
+    rows = rows if by else rows.withColumn("__one", F.lit(1))
+    r = value_ranks(rows, key, value, "__rank", times="__times")
+    n = r.groupBy(*key).agg(F.sum("__times").alias("__all"))
+    low = F.col("__rank") - (F.col("__times") + 1) / 2
+    holds = lambda k: (low <= k) & (k < low + F.col("__times"))
+
+    def one(p: float) -> Column:
+        at = F.lit(float(p)) * (F.col("__all") - 1)
+        k = F.floor(at)
+        share = F.when(holds(k), 1 - (at - k)).otherwise(0.0) + F.when(holds(k + 1), at - k).otherwise(0.0)
+        return F.sum(F.when(share > 0, F.col(value).cast("double") * share))
+
+    found, q = r.join(n, key), F.array(*[one(p) for p in probs]).alias(out)
+    return df.select(*by).distinct().join(found.groupBy(*by).agg(q), by, "left") if by else found.agg(q)
+
+
 def average_rank(df: DataFrame, by: list[str], value: str, out: str = "rank", ascending: bool = True) -> DataFrame:
     """Ranks from 1, ties sharing the mean of their places.
 

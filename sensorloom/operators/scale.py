@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators.metrics import exact_quantiles
+
 
 def _guard(x: Column, eps: float) -> Column:
     return F.when(F.abs(x) <= eps, 1.0).otherwise(x)
@@ -14,8 +16,7 @@ def fit(train: DataFrame, kind: str, by: list[str], value: str = "value", eps: f
     """(by..., center, spread) of a scaler: z (population), sample_z, minmax, minmax_raw (no zero guard) or robust."""
     v = F.col(value)
     if kind == "robust":
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return train.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[1].alias("center"), _guard(F.col("q")[2] - F.col("q")[0], eps).alias("spread"))
+        return exact_quantiles(train, by, value, [0.25, 0.5, 0.75]).select(*by, F.col("q")[1].alias("center"), _guard(F.col("q")[2] - F.col("q")[0], eps).alias("spread"))
     center, spread = {
         "z": (F.avg(v), F.stddev_pop(v)), "sample_z": (F.avg(v), F.stddev_samp(v)), "minmax": (F.min(v), F.max(v) - F.min(v)), "minmax_raw": (F.min(v), F.max(v) - F.min(v)),
     }[kind]
@@ -44,8 +45,7 @@ def shape_z(panel: DataFrame, keys: list[str], value: str = "value", eps: float
 
 def quantile_knots(train: DataFrame, by: list[str], n: int, value: str = "value") -> DataFrame:
     """n evenly spaced quantiles per key, as an array."""
-    probs = F.array(*[F.lit(k / (n - 1)) for k in range(n)])
-    return train.groupBy(*by).agg(F.percentile(F.col(value), probs).alias("knots"))
+    return exact_quantiles(train, by, value, [k / (n - 1) for k in range(n)], "knots")
 
 
 def _position(knots: Column, x: Column, right: bool) -> Column:
@@ -67,6 +67,5 @@ def quantile_transform(df: DataFrame, knots: DataFrame, by: list[str], value: st
 
 def outlier_bounds(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Values beyond 1.5 interquartile ranges of the quartiles: bounds and counts per key."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.75)))
-    b = df.groupBy(*by).agg(q.alias("q")).select(*by, (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("high"))
+    b = exact_quantiles(df, by, value, [0.25, 0.75]).select(*by, (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("high"))
     return df.join(b, by).groupBy(*by, "low", "high").agg(F.count_if((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).alias("outliers"), F.count(value).alias("n"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sensorloom.operators.metrics import exact_quantiles
+
+
 def _steps() -> WindowSpec:
     return Window.partitionBy("node").orderBy("t")
 
@@ -68,7 +71,7 @@ def difficulty(panel: DataFrame, history: int, horizon: int) -> DataFrame:
 
 def strata(scores: DataFrame, history: int, period: int) -> DataFrame:
     """Temporal phase and difficulty tercile (0, 1, 2; a value on a bound goes up) of windows."""
-    q = scores.agg(F.percentile("score", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
+    q = exact_quantiles(scores, [], "score", [1 / 3, 2 / 3])
     return scores.crossJoin(F.broadcast(q)).select(
         "t", "score", F.pmod(F.col("t") + history, F.lit(period)).alias("phase"), ((F.col("score") >= F.col("q")[0]).cast("int") + (F.col("score") >= F.col("q")[1]).cast("int")).alias("tercile")
     )

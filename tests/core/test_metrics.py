@@ -48,3 +48,19 @@ def test_empty_and_kendall(spark):
     assert math.isclose(frame(spark, [], []).agg(M.mae(*columns()).alias("m")).first()["m"], 0.0)
     ranks = spark.createDataFrame([("a", 1, 3), ("b", 2, 2), ("c", 3, 1), ("d", 3, 4)], "i string, x int, y int").withColumn("g", F.lit(1))
     assert M.kendall(ranks, "i", "x", "y", ["g"]).first()["tau"] == pytest.approx((-3 + 2) / 5)
+
+
+def test_exact_quantiles(spark):
+    """Ties, single values, nulls and one scope without keys, against NumPy."""
+    import numpy as np
+
+    from sensorloom.operators.metrics import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    rows = [("a", float(v)) for v in rng.normal(size=301)] + [("b", float(v)) for v in rng.integers(0, 3, 200)] + [("c", 4.0), ("d", None), ("a", None)]
+    df, probs = spark.createDataFrame(rows, "k string, v double"), [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.99, 1.0]
+    got = {r.k: r.q for r in exact_quantiles(df, ["k"], "v", probs).collect()}
+    assert set(got) == {"a", "b", "c", "d"} and got.pop("d") is None
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile([v for n, v in rows if n == k and v is not None], probs), atol=1e-12)
+    assert np.allclose(exact_quantiles(df, [], "v", probs).first().q, np.quantile([v for _, v in rows if v is not None], probs), atol=1e-12)
