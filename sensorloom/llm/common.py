@@ -63,10 +63,22 @@ def stored(df: DataFrame) -> DataFrame:
     Unlike checkpoint() the copy is columnar and compressed, so later passes read only
     the columns they use.
     """
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """stored(df), and the folder it lies in."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/sensorloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of stored_at() that no later step reads: what was made of them is stored itself."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def map_binary(df: DataFrame, id_col: str, text_col: str, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_hits, inside, stored
+from .common import bitmap, bitmap_hits, discard, inside, stored, stored_at
 from .hashing import text_chunks
 
 GRAM = 32
@@ -227,16 +227,20 @@ def repeated_windows(docs: DataFrame, length: int = 100, bits: int = 27) -> Data
                 u = u.only(np.flatnonzero(inside(sent.value, row_key(u.ids, u.offset), bits_)) if len(u.ids) else np.zeros(0, np.int64)).split(part)
             return [s.core(u, size), s.whole(u), u.ids, u.offset, u.count, u.rows][: 6 if told else 5]
 
-        rows = stored(_scan(docs, length, units, columns))
+        rows, rows_at = stored_at(_scan(docs, length, units, columns))
         firsts = rows.groupBy("core", "whole").agg(F.min(place).alias("early"), F.count("*").alias("n")).select("core", "whole", "early.*", "n")
-        firsts = stored(firsts if size != 1 else firsts.where("n > 1"))
+        firsts, firsts_at = stored_at(firsts if size != 1 else firsts.where("n > 1"))
         early = firsts.where("n > 1").select("core", "whole", F.col("id").alias("__i"), F.col("start").alias("__s"))
         later = bitmap_hits(rows, "whole", bitmap(early.select("whole"), "whole", bits)).join(early, ["core", "whole"]).where((F.col("id") > F.col("__i")) | ((F.col("id") == F.col("__i")) & (F.col("start") > F.col("__s"))))
         found = later.select("id", F.col("row") if told else F.lit(0).cast("long").alias("row"), "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
+        found = stored(found)
         marks = found if marks is None else marks.unionByName(found)
         if size != 1:
             several = firsts.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
-            chosen.append(bitmap(stored(_bitmap_key(firsts.join(several, "core", "left_semi"))), "key", bits))
+            keys, keys_at = stored_at(_bitmap_key(firsts.join(several, "core", "left_semi")))
+            chosen.append(bitmap(keys, "key", bits))
+            discard(docs.sparkSession, keys_at)
+        discard(docs.sparkSession, rows_at, firsts_at)
     # False hits of a bitmap add true windows of the corpus, which cannot disturb a minimum.
     for used in (frequent, *(sent for _, sent in chosen)):  # what they let through is stored
         used.destroy()
