@@ -47,6 +47,23 @@ def constant(facts: DataFrame, train: DataFrame, stat: str = "median", per_node:
     return facts.crossJoin(F.broadcast(train.agg(f.alias(out))))
 
 
+def mean_by_turn(train: DataFrame, mask: DataFrame) -> DataFrame:
+    """mask (node, turn, observed) with pred and source: the mean of the training values (node, turn, value) of an observed pair; else that of the observed nodes of its turn; else that of all nodes of its turn.
+
+    source says which of node, observed and turn it is, null where a turn has no value. An
+    observed pair without a value is treated like one not observed. Nulls are skipped.
+    """
+    v = train.where("value is not null").groupBy("node", "turn").agg(F.sum("value").alias("__s"), F.count("*").alias("__n"))
+    known = mask.select("node", "turn", F.coalesce("observed", F.lit(False)).alias("observed"))
+    seen = v.join(known.where("observed").select("node", "turn").distinct(), ["node", "turn"], "left_semi").withColumn("__o", F.lit(True))
+    all_ = v.join(seen.select("node", "turn", "__o"), ["node", "turn"], "left")
+    own = F.try_divide(F.sum(F.when(F.col("__o"), F.col("__s"))), F.sum(F.when(F.col("__o"), F.col("__n"))))
+    turns = all_.groupBy("turn").agg(own.alias("__b"), F.try_divide(F.sum("__s"), F.sum("__n")).alias("__c"))
+    j = known.join(seen.select("node", "turn", (F.col("__s") / F.col("__n")).alias("__a")), ["node", "turn"], "left").join(turns, "turn", "left")
+    source = F.when(F.col("__a").isNotNull(), "node").when(F.col("__b").isNotNull(), "observed").when(F.col("__c").isNotNull(), "turn")
+    return j.select("node", "turn", "observed", F.coalesce("__a", "__b", "__c").alias("pred"), source.alias("source"))
+
+
 def moving_average(panel: DataFrame, window: int, out: str = "pred") -> DataFrame:
     """Mean of the known values of the `window` steps before each step."""
     return panel.withColumn(out, F.avg("value").over(_steps().rowsBetween(-window, -1)))

@@ -248,3 +248,44 @@ def label_matrix(samples: DataFrame, edges: DataFrame) -> DataFrame:
     a, b = samples.select("sample", F.col("node").alias("cause")), samples.select("sample", F.col("node").alias("effect"))
     e = edges.select(F.col("src").alias("cause"), F.col("dst").alias("effect"), F.lit(1).alias("__l")).distinct()
     return a.join(b, "sample").join(e, ["cause", "effect"], "left").select("sample", "cause", "effect", F.coalesce("__l", F.lit(0)).alias("label"))
+
+
+def triangles(pairs: DataFrame) -> DataFrame:
+    """(a, b, c) of every three nodes that are all joined, once each, from distinct pairs (a, b) with a < b.
+
+    Each pair points from its node of fewer neighbours to that of more, so of m pairs a node
+    has at most sqrt(2m) pointing away, however many neighbours a hub has, and two of them
+    make at most m rows a node; the third pair is looked up by a join.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    j = pairs.join(ends.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    up = F.struct("na", "a") < F.struct("nb", "b")
+    d = j.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("high"))
+    two = d.alias("x").join(d.alias("y"), "low").where("x.high < y.high").select("low", F.col("x.high").alias("a"), F.col("y.high").alias("b"))
+    three = two.join(pairs.select("a", "b"), ["a", "b"])
+    s = F.array_sort(F.array("low", "a", "b"))
+    return three.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
+
+
+def prune_longest(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight) that are not the longest of any u-v, v-w, u-w that are all there.
+
+    Longer means more weight, then larger src, then larger dst. Taken longest first, an edge
+    goes while all shorter ones are still there, so whether it goes depends on the input
+    alone: no fixpoint is needed, and no such three edges are left. Self loops stay and take
+    no part; of repeated edges the lightest stands; rows with a null are left out.
+    """
+    one = edges.where("src is not null and dst is not null and weight is not null").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    e = strip_self_loops(one)
+    pairs = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.when(F.col("src") < F.col("dst"), F.col("weight")).alias("up"), F.when(F.col("src") > F.col("dst"), F.col("weight")).alias("down"))
+    pairs = pairs.groupBy("a", "b").agg(F.max("up").alias("up"), F.max("down").alias("down"))
+    t = triangles(pairs)
+    for x, y in ("ab", "bc", "ac"):
+        t = t.join(pairs.select(F.col("a").alias(x), F.col("b").alias(y), F.col("up").alias(x + y), F.col("down").alias(y + x)), [x, y])
+    edge = lambda x, y: F.struct(F.col(x + y).alias("weight"), F.col(x).alias("src"), F.col(y).alias("dst"))
+    tops = [
+        F.when(F.col(u + v).isNotNull() & F.col(v + w).isNotNull() & F.col(u + w).isNotNull(), F.greatest(edge(u, v), edge(v, w), edge(u, w)))
+        for u, v, w in ("abc", "acb", "bac", "bca", "cab", "cba")
+    ]
+    gone = t.select(F.explode(F.array(*tops)).alias("e")).where("e is not null").select("e.src", "e.dst").distinct()
+    return one.join(gone, ["src", "dst"], "left_anti")

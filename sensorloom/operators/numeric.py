@@ -87,27 +87,6 @@ def k_center(points: DataFrame, by: str, k: int) -> DataFrame:
     return points.select(by, "id", "v").groupBy(by).applyInPandas(choose, f"{by} {kind[by]}, id {kind['id']}, turn int")
 
 
-def prune_longest(edges: DataFrame, component: str = "component") -> DataFrame:
-    """Edges (component, src, dst, weight) left after repeatedly dropping the longest edge that a two-step path replaces.
-
-    The order is fixed: longest first, then src, then dst; an edge u-w goes if u-v and v-w are still there and both shorter.
-    """
-
-    def prune(pdf):
-        live = {(r.src, r.dst): r.weight for r in pdf.itertuples()}
-        out: dict = {}
-        for u, v in live:
-            out.setdefault(u, set()).add(v)
-        for (u, w), length in sorted(live.items(), key=lambda e: (-e[1], e[0])):
-            if any((v, w) in live and live[u, v] < length and live[v, w] < length for v in out.get(u, ()) if v != w and (u, v) in live):
-                del live[u, w]
-                out[u].discard(w)
-        return pdf[[(r.src, r.dst) in live for r in pdf.itertuples()]]
-
-    e = edges.select(F.col(component).cast("long").alias("component"), F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double")).dropDuplicates(["src", "dst"])
-    return e.groupBy("component").applyInPandas(prune, "component long, src long, dst long, weight double")
-
-
 def independent_columns(panel: DataFrame, by: str, min_std: float = 1e-8) -> DataFrame:
     """(by, node, pos): of each group's series (by, node, t, value) those that raise the rank of the centred matrix when taken in order of node, and vary by more than min_std.
 

@@ -33,9 +33,10 @@ def k_center_coreset(spark, d):
     return N.k_center(table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "label", 5)
 
 
-@query()
+@query(SPARSE.replace("k <= 3", "k <= 6") + """, t AS (SELECT list_max([{'w': a.weight, 's': a.src, 'd': a.dst}, {'w': b.weight, 's': b.src, 'd': b.dst}, {'w': c.weight, 's': c.src, 'd': c.dst}]) AS m FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst WHERE a.src <> b.dst)
+ SELECT src, dst, round(weight, 6) AS weight FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.m.s = e.src AND t.m.d = e.dst)""")
 def transitive_pruning(spark, d):
-    return N.prune_longest(sparse(spark, d, 6).withColumn("component", F.lit(0)))
+    return G.prune_longest(sparse(spark, d, 6)).withColumn("weight", F.round("weight", 6))
 
 
 @query(SPARSE + """, x AS (SELECT u.src, v.dst FROM e u JOIN e v ON u.dst = v.src WHERE u.src <> v.dst) SELECT src, dst, count(*) AS paths FROM x WHERE EXISTS (SELECT 1 FROM e WHERE e.src = x.src AND e.dst = x.dst) GROUP BY 1, 2""")

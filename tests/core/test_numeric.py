@@ -12,7 +12,7 @@ def test_resistance_and_rank(spark):
     assert {r.g: round(r["rank"], 6) for r in numeric.effective_rank(rows, "g", "v").collect()} == {1: 2.0, 2: 1.0}
 
 
-def test_signals_centers_and_pruning(spark):
+def test_signals_and_centers(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(30, 3))
     panel = spark.createDataFrame([("abc"[n], t, float(x[t, n])) for t in range(30) for n in range(3)], "node string, t long, value double")
@@ -22,8 +22,6 @@ def test_signals_centers_and_pruning(spark):
     assert np.allclose(np.abs([r.value for r in got]), np.abs(u[:, 0] * s[0])) and got[0].share == pytest.approx(s[0] ** 2 / (s**2).sum())
     pts = spark.createDataFrame([(0, i, [float(v)]) for i, v in enumerate([0, 1, 10, 4])], "g int, id int, v array<double>")
     assert [(r.id, r.turn) for r in numeric.k_center(pts, "g", 3).orderBy("turn").collect()] == [(0, 0), (2, 1), (3, 2)]
-    edges = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 1, 3, 2.0), (0, 3, 4, 5.0)], "component int, src long, dst long, weight double")
-    assert sorted((r.src, r.dst) for r in numeric.prune_longest(edges).collect()) == [(1, 2), (2, 3), (3, 4)]
 
 
 def test_kmeans_against_numpy(spark):
