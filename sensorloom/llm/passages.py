@@ -37,17 +37,20 @@ from .hashing import text_chunks
 
 GRAM = 32
 RUN = 8
-PIECE = 1 << 20  # a power of two
+PIECE = 1 << 20  # a power of two, the most bytes hashed at a time
+CHUNK = 1 << 17  # bytes hashed at a time otherwise: their arrays stay in a core's cache
 LAST = (1 << 63) - 1
 
 
 class Stretches:
     """Minimizers of all windows of a list of (id, offset, bytes) pieces, as arrays."""
 
-    def __init__(self, pieces: list[tuple[int, int, bytes, int]], length: int):
+    def __init__(self, pieces: list[tuple[int, int, bytes, int]], length: int, powers: dict | None = None):
+        """powers keeps what does not depend on the bytes from one list of pieces to the next."""
         import numpy as np
 
         self.length = length
+        self.powers = {} if powers is None else powers
         bodies = [p[2] for p in pieces]
         buf = np.frombuffer(b"".join(bodies), dtype=np.uint8)
         sizes = np.array([len(b) for b in bodies])
@@ -87,20 +90,21 @@ class Stretches:
         self.rows = np.array([p[3] for p in pieces], dtype=np.int64)[piece]
         self.offset = self.first - (ends - sizes)[piece] + np.array([p[1] for p in pieces], dtype=np.int64)[piece]
 
-    @staticmethod
-    def _sums(buf, base: int):
+    def _sums(self, buf, base: int):
         """Running sums of the bytes times powers of base, and inverse powers, modulo 2**64."""
         import numpy as np
 
         n = len(buf)
-        power = np.full(n + 1, base, dtype=np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
+        if base not in self.powers or len(self.powers[base][0]) <= n:
+            both = np.full((2, max(n, CHUNK) + 1), base, dtype=np.uint64)
+            both[1] = pow(base, -1, 1 << 64)
+            both[:, 0] = 1
+            np.multiply.accumulate(both, axis=1, out=both)
+            self.powers[base] = both
+        power, inverse = self.powers[base]
         prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
-        power[1:] = pow(base, -1, 1 << 64)
-        np.multiply.accumulate(power, out=power)
-        return prefix, power
+        return prefix, inverse
 
     def digest(self, start, size, other: bool = False):
         """64-bit hashes of the bytes [start, start + size), by one base or another."""
@@ -178,18 +182,20 @@ def row_key(ids, offsets):
 def _scan(docs: DataFrame, length: int, rows, schema: str) -> DataFrame:
     """rows(stretches) -> list of arrays, over all texts; a long text goes in overlapping pieces."""
     names = [c.split()[0] for c in schema.split(",")]
+    most = min(PIECE, max(CHUNK, 8 * length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        powers: dict = {}
         for b in batches:
             pieces = []
             for i, body, row in zip(*(b.column(c).to_pylist() for c in range(3))):
                 if len(body) >= length:
-                    step = PIECE - length
+                    step = most - length
                     pieces += [(i, o, body[o : o + step + length - 1], row) for o in range(0, max(1, len(body) - length + 1), step)]
-            for lo, hi in text_chunks([p[2] for p in pieces], PIECE - len(pieces)):
-                out = rows(Stretches(pieces[lo:hi], length))
+            for lo, hi in text_chunks([p[2] for p in pieces], most):
+                out = rows(Stretches(pieces[lo:hi], length, powers))
                 arrays = [pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64)) for a in out]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
