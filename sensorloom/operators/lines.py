@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +79,14 @@ def match_ramps(sensors: DataFrame, ramps: DataFrame, nodes: DataFrame, by: list
     ramps (link, kind, node) and nodes (node, by, x, y) are joined first. Reasons: no_ramp
     where the key has none of the kind, too_far beyond the limit. Ties: the smaller link.
     """
-    r = ramps.join(nodes, "node").select("link", "kind", *by, F.col("x").alias("__x"), F.col("y").alias("__y"))
+    place = ["kind", *by, "x", "y"]
+    # Sensors at one place have one answer, and of ramps at one place only the smallest link can win: pairs are of distinct places.
+    r = ramps.join(nodes, "node").groupBy(*place).agg(F.min("link").alias("link")).withColumnsRenamed({"x": "__x", "y": "__y"})
     d = F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2)
-    best = sensors.join(r, ["kind", *by]).groupBy("id").agg(F.min(F.struct(F.round(d, 9).alias("dist"), "link")).alias("m"))
-    j = sensors.join(best, "id", "left")
+    best = sensors.select(*place).distinct().join(r, ["kind", *by]).groupBy(*place).agg(F.min(F.struct(F.round(d, 9).alias("dist"), "link")).alias("m"))
+    s, b = sensors.alias("__s"), best.alias("__b")
+    same = reduce(lambda p, q: p & q, [F.col(f"__s.{c}").eqNullSafe(F.col(f"__b.{c}")) for c in place])
+    j = s.join(b, same, "left").select("__s.*", "__b.m")
     near = F.col("m.dist") <= limit
     return j.select("id", "kind", F.when(near, F.col("m.link")).alias("link"), F.col("m.dist").alias("dist"), F.when(F.col("m").isNull(), "no_ramp").when(~near, "too_far").alias("reason"))
 

@@ -58,3 +58,28 @@ def test_expected_zeros(spark):
     k = 9.0 / (6.0 - 3.0)  # a: mean 3, variance 6; b: variance 0, so Poisson
     assert abs(r.observed - 2 / 3) < 1e-12 and abs(r.poisson - (2 * math.exp(-3) + math.exp(-2)) / 3) < 1e-12
     assert abs(r.negative_binomial - ((k / (k + 3 + 1e-6)) ** k + math.exp(-2)) / 2) < 1e-9
+
+
+def most_joined(df):
+    """The most rows that a join of a collected DataFrame made."""
+
+    def walk(p):
+        name, below = p.nodeName(), [p.children().apply(i) for i in range(p.children().size())]
+        below += [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else []
+        mine = p.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return max([mine, *map(walk, below)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_ramps_by_distinct_places(spark):
+    """Sensors and ramps that share a place: the pairs joined are of places, and every sensor keeps its row."""
+    nodes = spark.createDataFrame([(0, 1, 0.0, 0.0), (1, 1, 0.0, 0.0), (2, 1, 9.0, 0.0), (3, 2, 1.0, 1.0)], "node int, k int, x double, y double")
+    ramps = spark.range(4000).selectExpr("id AS link", "CASE WHEN id % 2 = 0 THEN 'on' ELSE 'off' END AS kind", "CAST(id % 4 AS INT) AS node")
+    at = [("on", 1, 3.0, 4.0), ("off", 1, 3.0, 4.0), ("on", 1, 8.0, 0.0), ("on", 2, 1.0, 1.0), ("on", 1, None, 0.0), ("on", None, 0.0, 0.0), ("off", 2, 99.0, 1.0)]
+    rows = [(i, *at[i % len(at)]) for i in range(700)]
+    sensors = spark.createDataFrame(rows, "id long, kind string, k int, x double, y double")
+    df = P.match_ramps(sensors, ramps, nodes, ["k"], 6.0)
+    want = [("on", 0, 5.0, None), ("off", 1, 5.0, None), ("on", 2, 1.0, None), ("on", None, None, "no_ramp"), ("on", None, None, None), ("on", None, None, "no_ramp"), ("off", None, 98.0, "too_far")]
+    rows = df.collect()
+    assert {r.id: tuple(r)[1:] for r in rows} == {i: want[i % len(at)] for i in range(700)} and 0 < most_joined(df) <= 4000
