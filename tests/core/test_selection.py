@@ -228,3 +228,16 @@ def test_independent_columns_and_chunks(spark):
     for nodes in out.values():  # every chunk is a connected stretch of its line
         assert sorted(nodes) == list(range(min(nodes), max(nodes) + 1))
     assert sorted(n for v in out.values() for n in v) == [*range(10), 20, 21]
+
+
+def test_silhouettes_are_of_all_points(spark):
+    """More points than any sample: every one has a row, and they equal those over all pairs; blocks change nothing."""
+    rng = np.random.default_rng(11)
+    v, lab = rng.normal(size=(5200, 2)), rng.integers(0, 3, 5200)
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], int(lab[i])) for i in range(5200)], "id long, v array<double>, cluster int")
+    got = {r.id: r.s for r in S.silhouettes(df, block=1500).collect()}
+    assert len(got) == 5200
+    for i in range(0, 5200, 650):
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        a, b = d[lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1), min(d[lab == k].mean() for k in range(3) if k != lab[i])
+        assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
