@@ -53,3 +53,19 @@ def test_empty_and_large_scores(spark):
     m = np.array([[1e3, 0], [0, 1e3]])
     got = {(r.src, r.dst): r.weight for r in G.adaptive_graph(made(spark, m), made(spark, m), 2).collect()}
     assert got == {(0, 0): 1.0, (0, 3): 0.0, (3, 0): 0.0, (3, 3): 1.0}
+
+
+def test_scores_wait_for_merges():
+    """Many chunks in one task: what waits, the bound below which nothing enters, and ties at it give the same as one ordered row."""
+    rng = np.random.default_rng(4)
+    ids, n = np.arange(40) * 3, 6000
+    asked, vectors, names = rng.integers(-2, 3, (40, 5)).astype(float), rng.integers(-2, 3, (n, 5)).astype(float), rng.permutation(n)
+    for curve, softmax in (("relu", True), ("relu", False), ("tanh", False)):
+        rows = G.RunningRows(ids, asked, 7, True, curve, 0.3, softmax)
+        for at in range(0, n, 100):
+            rows.add(names[at : at + 100], vectors[at : at + 100])
+        score = np.maximum(np.tanh(0.3 * (asked @ vectors.T)) if curve == "tanh" else asked @ vectors.T, 0)
+        out = rows.left().to_pydict()
+        want = [[int(names[j]) for j in np.lexsort((names, -np.round(s, 12)))[:7]] for s in score]
+        assert [[p["dst"] for p in b] for b in out["best"]] == want
+        assert not softmax or np.allclose(np.log(out["total"]) + out["top"], np.log(np.exp(score).sum(axis=1)))
