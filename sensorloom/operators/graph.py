@@ -147,9 +147,9 @@ def components(edges: DataFrame) -> DataFrame:
     Labels spread to neighbours and then jump to their label's label, until none changes;
     lineage is cut in the session's checkpoint folder.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    ensure_checkpoint_dir(edges.sparkSession)
-    label = nodes_of(edges).withColumn("component", F.col("node")).checkpoint()
+    # Kept: every round reads the pairs again.
+    both = kept(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    label = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
     while True:
         near = both.join(label.select(F.col("node").alias("src"), "component"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("__m"))
         spread = label.join(near, "node", "left").select("node", F.least("component", "__m").alias("component"))
@@ -195,7 +195,8 @@ def choose_direction(pairs: DataFrame, tie: float = 1.0) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
     """(source, node, dist) within a cutoff, by rounds of relaxation until no distance falls."""
     best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"))
-    e = edges.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("__to"), F.col("weight").alias("__w"))
+    # Kept: every round reads the edges again.
+    e = kept(edges.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("__to"), F.col("weight").alias("__w")))
     before = None
     while True:
         step = best.join(e, "node").select("source", F.col("__to").alias("node"), (F.col("dist") + F.col("__w")).alias("dist")).where(F.col("dist") <= cutoff)

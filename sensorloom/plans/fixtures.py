@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators.forecast import previous_step, seasonal, targets
 from sensorloom.operators.panel import dense_panel
+from sensorloom.operators.storage import kept
 from sensorloom.plans.registry import table
 
 HOURS = 720
@@ -25,13 +26,12 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed graph of revenue from supplier nations to customer nations: src, dst, weight (millions)."""
+    """Directed graph of revenue from supplier nations to customer nations: src, dst, weight (millions); kept, as queries read its few rows more than once."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     j = li.join(s, li.l_suppkey == s.s_suppkey).join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-    return j.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(
-        (F.sum(F.expr("cast(l_extendedprice * (1 - l_discount) as decimal(18,4))")).cast("double") / 1e6).alias("weight")
-    )
+    g = j.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst"))
+    return kept(g.agg((F.sum(F.expr("cast(l_extendedprice * (1 - l_discount) as decimal(18,4))")).cast("double") / 1e6).alias("weight")))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

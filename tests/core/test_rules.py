@@ -3,7 +3,7 @@
 from sensorloom.operators import lag as L
 from sensorloom.operators import lines as P
 from sensorloom.operators import sampling as G
-from sensorloom.operators.graph import degrees
+from sensorloom.operators.graph import components, degrees, shortest_paths
 from sensorloom.operators.profile import expected_zero_rate
 
 
@@ -83,3 +83,17 @@ def test_ramps_by_distinct_places(spark):
     want = [("on", 0, 5.0, None), ("off", 1, 5.0, None), ("on", 2, 1.0, None), ("on", None, None, "no_ramp"), ("on", None, None, None), ("on", None, None, "no_ramp"), ("off", None, 98.0, "too_far")]
     rows = df.collect()
     assert {r.id: tuple(r)[1:] for r in rows} == {i: want[i % len(at)] for i in range(700)} and 0 < most_joined(df) <= 4000
+
+
+def test_rounds_read_edges_once(spark):
+    """The edges of a search by rounds are worked out once, however many rounds it takes."""
+    for search in (lambda e: components(e).count(), lambda e: shortest_paths(e, spark.range(1).withColumnRenamed("id", "node"), 99.0).count()):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(frames, seen=seen):
+            for f in frames:
+                seen.add(len(f))
+                yield f
+
+        chain = spark.range(0, 12, 1, 2).selectExpr("id AS src", "id + 1 AS dst", "1.0D AS weight")
+        assert search(chain.mapInPandas(count, chain.schema)) == 13 and seen.value <= 24
