@@ -108,7 +108,7 @@ def bit_sliced_pairs(left, right, lists, words, radius: int):
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (none, none)
 
 
-def _forest(a, b):
+def forest(a, b):
     """Few edges that connect what the edges (a, b) connect: every value to the smallest reachable."""
     import numpy as np
 
@@ -197,7 +197,7 @@ def links(fps: DataFrame, radius: int = 4, blocks: int | None = None, chunk: int
             proper = a < b
             if not proper.any():
                 return None
-            return _forest(a[proper], b[proper])
+            return forest(a[proper], b[proper])
 
         held_g, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
