@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators.metrics import average_rank, guarded_corr
+from sensorloom.operators.metrics import average_rank, corr_of_sums, guarded_corr, value_ranks
+from sensorloom.operators.storage import kept
 
 
 def distribution(df: DataFrame, by: list[str], value: str = "value", eps: float = 0.0) -> DataFrame:
@@ -124,11 +125,19 @@ def collapse_runs(rows: DataFrame, run: str, ids: list[str], metric: str, value:
 
 
 def correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, pearson, spearman) of each feature with the target."""
+    """(feature, pearson, spearman) of each feature with the target.
+
+    Rows get the feature's rank alone. They are then added up by target, so that the
+    target's ranks are joined to its distinct values and not to rows, which are shuffled once.
+    """
     long = df.select(target, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("r")).select("r.feature", "r.x", F.col(target).cast("double").alias("y"))
     ok = long.where("x is not null and y is not null")
-    r = average_rank(average_rank(ok, ["feature"], "x", "rx"), ["feature"], "y", "ry")
-    return r.groupBy("feature").agg(guarded_corr(F.col("x"), F.col("y")).alias("pearson"), guarded_corr(F.col("rx"), F.col("ry")).alias("spearman"))
+    rx = F.col("rx")
+    by_y = kept(average_rank(ok, ["feature"], "x", "rx").groupBy("feature", "y").agg(F.count("*").alias("n"), F.sum(rx).alias("s"), F.sum(rx * rx).alias("ss")))
+    ry = by_y.join(value_ranks(by_y, ["feature"], "y", "ry", counted="n"), ["feature", "y"])
+    s = lambda e: F.sum(F.expr(e))
+    spearman = ry.groupBy("feature").agg(corr_of_sums(s("n"), s("s"), s("n * ry"), s("ss"), s("n * ry * ry"), s("s * ry")).alias("spearman"))
+    return ok.groupBy("feature").agg(guarded_corr(F.col("x"), F.col("y")).alias("pearson")).join(spearman, "feature")
 
 
 def mode_share(rows: DataFrame, by: list[str], value: str) -> DataFrame:
