@@ -90,6 +90,14 @@ def map_binary(df: DataFrame, id_col: str, text_col: str, fn: Callable[[Iterator
     return narrow.mapInArrow(fn, schema)
 
 
+def smaller(batches: Iterator, limit: int = 1 << 20) -> Iterator:
+    """The rows of batches in slices of about `limit` bytes (a row at least), so that what is made of texts beside their batch stays small."""
+    for b in batches:
+        rows = max(1, min(1024, b.num_rows * limit // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def compare_pairs(pairs: DataFrame, items: DataFrame, prepare: Callable, same: Callable) -> DataFrame:
     """Of pairs (grp, a, b) of items (node, body) those (src, dst) for which same(lefts, rights), lists of prepare(body), is true.
 
@@ -112,7 +120,7 @@ def compare_pairs(pairs: DataFrame, items: DataFrame, prepare: Callable, same: C
             waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], names=["src", "dst"])
 
-        for batch in batches:
+        for batch in smaller(batches):
             for g, kind, a, b, body in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if g != group:
                     group, held = g, {}

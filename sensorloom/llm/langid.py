@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_binary, sample_texts
+from .common import fresh, map_binary, sample_texts, smaller
 from .hashing import text_chunks
 
 UNKNOWN = "und"
@@ -275,7 +275,7 @@ def word_posteriors(bodies: list[bytes], model: tuple) -> Iterator[tuple]:
     import numpy as np
 
     labels, rows, weights, moves, start, lexicon = model
-    for lo, hi in text_chunks(bodies, max(1 << 14, (1 << 27) // max(64, len(labels) ** 2))) if labels else ():
+    for lo, hi in text_chunks(bodies, max(1 << 14, (1 << 25) // max(64, len(labels) ** 2))) if labels else ():
         slots = word_slots(bodies[lo:hi])
         owner = slots[-1]
         if len(owner):
@@ -312,7 +312,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = sent.value[0]
-        for b in batches:
+        for b in smaller(batches):
             pred, score = label_texts(b.column(1).to_pylist(), sent.value)
             names = [labels[k] if k >= 0 else UNKNOWN for k in pred]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
@@ -364,7 +364,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, tex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in smaller(batches):
             pred, score = label_texts([(t or "").encode() for t in b.column(at).to_pylist()], sent.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((pred >= 0) & (score >= min_score))], names=[*b.schema.names, keep])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_hits, compare_pairs, components, cut, inside, map_binary, stored
+from .common import bitmap, bitmap_hits, compare_pairs, components, cut, inside, map_binary, smaller, stored
 from .simhash import keep_lowest, links, majority
 
 SKETCH = 10  # a parity sketch has 2**SKETCH bits at least, and two or more for every shingle of its set
@@ -52,7 +52,7 @@ def common_shingles(texts: DataFrame, shingle: int, seed: int, sample: int = 16,
         import numpy as np
 
         for b in batches:
-            for t in b.column(1).to_pylist():
+            for t in (x.as_py() for x in b.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle, seed)).view(np.int64))], names=["s"])
 
     some = map_binary(texts.where(F.pmod("h", F.lit(sample)) == 0), "h", "t", sets, "s long")
@@ -74,7 +74,7 @@ def prefixes(texts: DataFrame, similarity: Fraction, shingle: int, seed: int, co
         import xxhash
 
         values, rank = shared.value
-        for b in batches:
+        for b in smaller(batches):
             print_, node, first, sketch = [], [], [], []
             for t in b.column(1).to_pylist():
                 hashes = shingle_hashes(t, shingle, seed)

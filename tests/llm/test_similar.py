@@ -53,3 +53,15 @@ def test_stage_against_brute_force(spark, docs_of):
     assert len(want) < len(rows) - 60
     assert sorted(r.doc_id for r in near_dedup(spark, docs_of(rows), "").collect()) == want
     assert near_dedup(spark, docs_of([]), "").count() == 0
+
+
+def test_texts_in_small_slices():
+    """Large batches are worked on in slices of bounded size, no row lost, and a large text is a slice of its own."""
+    import pyarrow as pa
+
+    from sensorloom.llm.common import smaller
+
+    texts = [b"x" * 2000] * 5000 + [b"y" * 3_000_000] + [b""] * 10
+    parts = list(smaller([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"]), pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["i", "t"])]))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert max(p.num_rows for p in parts) <= 1024 and all(p.nbytes < 4_500_000 for p in parts) and len(parts) >= 10
