@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_key, stored
+from .common import discard, join_by_key, shuffles_dropped, stored, stored_at
 
 #: Kinds in the order of results, with patterns. Possessive repeats and look-behinds
 #: only keep long runs linear; they match at the same places as the plain patterns.
@@ -120,14 +120,14 @@ def _free_words(text: Column, spans: Column) -> Column:
 
 
 def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """Stored (k1, k2, times, t): every distinct text once, keyed by two hashes, and how many rows have it; null is empty."""
+    """(k1, k2, times, t): every distinct text once, keyed by two hashes, and how many rows have it; null is empty."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    return stored(docs.select(*_keys(t), t.alias("t")).groupBy("k1", "k2").agg(F.count("*").alias("times"), F.first("t").alias("t")))
+    return docs.select(*_keys(t), t.alias("t")).groupBy("k1", "k2").agg(F.count("*").alias("times"), F.first("t").alias("t"))
 
 
 def _read(texts: DataFrame) -> DataFrame:
-    """Stored base spans of every distinct text, and its free terms where it has spans."""
-    return stored(texts.select("k1", "k2", "times", "t", base_spans(F.col("t")).alias("base")).select("k1", "k2", "times", "base", _free_words(F.col("t"), F.col("base")).alias("free")))
+    """Base spans of every distinct text, and its free terms where it has spans."""
+    return texts.select("k1", "k2", "times", "t", base_spans(F.col("t")).alias("base")).select("k1", "k2", "times", "base", _free_words(F.col("t"), F.col("base")).alias("free"))
 
 
 def disclosing_terms(texts: DataFrame, read: DataFrame, min_support: int, min_share: float, min_bits: float) -> DataFrame:
@@ -169,8 +169,16 @@ def _occurrences(text: Column, base: Column) -> Column:
 
 def _marks(docs: DataFrame, text_col: str, settings: dict) -> DataFrame:
     """Stored (k1, k2, times, base, terms) of every distinct text: its base spans and those of the disclosing terms in it."""
-    texts = _distinct_texts(docs, text_col)
-    read = _read(texts)
+    with shuffles_dropped(docs.sparkSession):
+        texts, texts_at = stored_at(_distinct_texts(docs, text_col))
+        read, read_at = stored_at(_read(texts))
+        marks = stored(_marked(texts, read, settings))
+        discard(docs.sparkSession, texts_at, read_at)
+    return marks
+
+
+def _marked(texts: DataFrame, read: DataFrame, settings: dict) -> DataFrame:
+    """The rows of _marks, of stored texts and their base spans."""
     terms = disclosing_terms(texts, read, settings["min_support"], settings["min_share"], settings["min_bits"])
     action = stored(terms.groupBy("word").agg((F.max("share") >= settings["remove_share"]).alias("remove")))
     pick = lambda c: F.collect_set(F.when(c, F.col("word")))
@@ -178,7 +186,7 @@ def _marks(docs: DataFrame, text_col: str, settings: dict) -> DataFrame:
     hits = held.groupBy("k1", "k2").agg(pick(~F.col("remove")).alias("generalised"), pick(F.col("remove")).alias("removed"))
     found = texts.select("k1", "k2", "t").join(hits, ["k1", "k2"]).join(read.select("k1", "k2", "base"), ["k1", "k2"]).select("k1", "k2", _occurrences(F.col("t"), F.col("base")).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,action:string,found:string>>")
-    return stored(read.drop("free").join(found, ["k1", "k2"], "left").withColumn("terms", F.coalesce("terms", none)))
+    return read.drop("free").join(found, ["k1", "k2"], "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def _text(spans: Column) -> Column:

@@ -8,7 +8,9 @@ Prefix filtering: with all shingles in one order, two sets of similarity t share
 among the first n - ceil(t n) + 1 of each. Rare shingles come first, so few sets meet. Pairs
 that meet are first bounded by parity sketches (the Hamming distance of two sketches never
 exceeds the size of the sets' symmetric difference) and then compared shingle by shingle,
-so that exactly the pairs of at least the wanted similarity are linked.
+so that exactly the pairs of at least the wanted similarity are linked. Pairs under a shingle
+of many holders are bounded inside tasks, between chunks of holders, and are rows only if
+their sketches let them through.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_hits, compare_pairs, components, cut, inside, map_binary, smaller, stored
+from .common import bitmap, bitmap_hits, compare_pairs, components, cut, discard, inside, map_binary, shuffles_dropped, smaller, stored, stored_at
 from .simhash import keep_lowest, links, majority
 
 SKETCH = 10  # a parity sketch has 2**SKETCH bits at least, and two or more for every shingle of its set
@@ -104,7 +106,9 @@ def _shared_entries(read: DataFrame) -> DataFrame:
     """
     small = F.shiftright(F.col("node"), 33)
     ends = read.select("node", F.explode("prefix").alias("s")).groupBy("s").agg(F.min(small).alias("lo"), F.max(small).alias("hi"))
-    bits, table = bitmap(stored(ends.where("lo < hi").select("s")), "s")
+    several, at = stored_at(ends.where("lo < hi").select("s"))
+    bits, table = bitmap(several, "s")
+    discard(read.sparkSession, at)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -120,19 +124,67 @@ def _shared_entries(read: DataFrame) -> DataFrame:
     return read.select("node", "prefix").mapInArrow(pick, "s long, node long").distinct()
 
 
-def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4, seed: int = 42, chunk: int = 128) -> tuple[DataFrame, DataFrame]:
+def near_in_groups(large: DataFrame, sketches: DataFrame, p: int, q: int, chunk: int) -> DataFrame:
+    """Of holders (s, node, root, c) of shingles with c holders, the pairs (a, b), a > b, of different roots that sketches (node, sketch) do not rule out for a similarity of p / q.
+
+    Holders are dealt into chunks and every pair of a shingle's chunks is a group of its own,
+    in which sketches are compared as blocks of words; only what passes becomes rows.
+    """
+    dealt = large.join(sketches, "node").withColumn("chunks", F.ceil(F.col("c") / chunk).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.select("s", "node", "root", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    groups = dealt.select(F.xxhash64("s", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp"), "node", "root", "sketch")
+
+    def near(group: pa.Table) -> pa.Table:
+        import numpy as np
+
+        node, root, bodies = group["node"].to_numpy(), group["root"].to_numpy(), group["sketch"].to_pylist()
+        size = np.array([int.from_bytes(x[-8:], "little") for x in bodies])
+        width = np.array([len(x) - 8 for x in bodies])
+        rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+        words = {w: np.frombuffer(b"".join(bodies[k][:-8] for k in at), np.uint64).reshape(len(at), -1) for w, at in rows.items()}
+        some = [np.zeros((0, 2), np.int64)]
+        for w, v in ((w, v) for w in rows for v in rows if w <= v):
+            right, wide = rows[v], words[v]
+            while wide.shape[1] > w // 8:  # the wider ones are folded: their halves' parities add up
+                wide = wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :]
+            step = max(1, (1 << 23) // wide.nbytes)
+            for k in range(0, len(rows[w]), step):
+                left = rows[w][k : k + step]
+                apart = np.bitwise_count(words[w][k : k + step, None] ^ wide[None]).sum(axis=2, dtype=np.int64)
+                x, y = size[left][:, None], size[right][None]
+                good = (apart * (p + q) <= (x + y) * (q - p)) & (np.minimum(x, y) * q >= np.maximum(x, y) * p) & (root[left][:, None] != root[right][None])
+                i, j = np.nonzero(good)
+                i, j = node[left[i]], node[right[j]]
+                some.append(np.stack([np.maximum(i, j), np.minimum(i, j)], axis=1))
+        pairs = np.unique(np.concatenate(some), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return groups.groupBy("grp").applyInArrow(near, "a long, b long")
+
+
+def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4, seed: int = 42, chunk: int = 128, listed: int = 32, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Of texts (h, t): (h, node) of every text, and edges (src, dst) that connect all nodes of at least the similarity, or of fingerprints within radius bits.
 
     Equal shingle sets are one node. Fingerprints of the same shingles are linked first
     (radius below 0: not at all). Then every node is compared with one holder of its
     prefix's shingles; then, under shingles whose holders are not yet all connected,
-    every pair from different components is, in groups of chunks.
+    every pair from different components is, in groups of chunks. Pairs under a shingle of
+    at most `listed` holders are joined; those under the others meet between chunks of
+    `block` holders, inside tasks (near_in_groups).
     """
+    spark, gone = texts.sparkSession, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        """df, stored until the links are made."""
+        df, path = stored_at(df)
+        gone.append(path)
+        return df
+
     t = Fraction(str(similarity))
     p, q = t.numerator, t.denominator
-    read = stored(prefixes(texts, t, shingle, seed, common_shingles(texts, shingle, seed)))
-    named = read.select("h", "node").distinct()
-    entries = stored(_shared_entries(read))
+    read = kept(prefixes(texts, t, shingle, seed, common_shingles(texts, shingle, seed)))
+    named = stored(read.select("h", "node").distinct())
+    entries, first_entries = stored_at(_shared_entries(read))
     sketches = read.select("node", F.col("sketch").alias("body")).dropDuplicates(["node"])
     first_text = read.groupBy("node").agg(F.min("h").alias("h"))
 
@@ -171,14 +223,14 @@ def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, r
         """The pairs (grp, a, b) of at least the similarity, by sketches and then by the texts themselves: i (p + q) >= (n_a + n_b) p."""
         near = cut(compare_pairs(pairs, sketches, numbers, may).join(pairs.select("grp", F.col("a").alias("src"), F.col("b").alias("dst")), ["src", "dst"]).select("grp", F.col("src").alias("a"), F.col("dst").alias("b")))
         wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first_text, "node")
-        wanted = stored(wanted)
+        wanted = kept(wanted)
         some = bitmap_hits(texts.select("h", F.coalesce("t", F.lit("")).cast("binary").alias("body")).where("h is not null"), "h", bitmap(wanted.select("h").distinct(), "h"))
         bodies = some.join(wanted, "h").groupBy("node").agg(F.first("body").alias("body"))
         return cut(compare_pairs(near, bodies, set_of, similar))
 
     marked = []
     if radius >= 0:
-        fps = stored(read.select("fp", "node").distinct())
+        fps = kept(read.select("fp", "node").distinct())
         near = links(fps.select("fp").distinct(), radius)
         one = fps.groupBy("fp").agg(F.min("node").alias("dst"))
         same = fps.join(one, "fp").where(F.col("node") != F.col("dst")).select(F.col("node").alias("src"), "dst")
@@ -190,20 +242,27 @@ def similar_links(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, r
             return rows.withColumn("root", F.col("node"))
         return rows.join(components(reduce(DataFrame.unionByName, edges)).withColumnRenamed("root", "r"), "node", "left").select(*rows.columns, F.coalesce("r", "node").alias("root"))
 
-    at = stored(rooted(entries, marked))
+    at, first_at = stored_at(rooted(entries, marked))
+    discard(spark, first_entries)
     refs = at.groupBy("s").agg(F.min(F.struct("root", "node")).alias("r"))
     stars = at.join(refs, "s").where(F.col("root") != F.col("r.root")).groupBy("node", F.col("r.node").alias("b")).agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
     first = verified(cut(stars.select(F.xxhash64("b", F.pmod("node", F.lit(64))).alias("grp"), F.col("node").alias("a"), "b")))
-    at = stored(rooted(entries, [*marked, first]))
+    at, second_at = stored_at(rooted(at.drop("root"), [*marked, first]))
+    discard(spark, first_at)
     holders = at.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("s", "c")
-    left = stored(at.join(holders, "s"))
-    right = left.select("s", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = left.join(right, "s").where((F.col("node") > F.col("b")) & (F.col("root") != F.col("rb"))).select(F.col("node").alias("a"), "b").distinct()
+    left = kept(at.join(holders, "s"))
+    discard(spark, second_at)
+    few, many = left.where(F.col("c") <= listed), left.where(F.col("c") > listed)
+    right = few.select("s", F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = few.join(right, "s").where((F.col("node") > F.col("b")) & (F.col("root") != F.col("rb"))).select(F.col("node").alias("a"), "b")
+    wide = bitmap_hits(read.select("node", "sketch"), "node", bitmap(many.select("node").distinct(), "node")).dropDuplicates(["node"])
+    pairs = kept(pairs.unionByName(near_in_groups(many, wide, p, q, block)).distinct())
     # Pairs are compared between chunks of nodes that have their commonest open shingle in common.
     home = left.groupBy("node").agg(F.max(F.struct("c", "s")).alias("m"))
     home = home.select("node", F.xxhash64("m.s", F.pmod(F.xxhash64("node"), F.ceil(F.col("m.c") / chunk))).alias("part"))
     placed = pairs.join(home.select(F.col("node").alias("a"), F.col("part").alias("pa")), "a").join(home.select(F.col("node").alias("b"), F.col("part").alias("pb")), "b")
     second = verified(cut(placed.select(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")).alias("grp"), "a", "b")))
+    discard(spark, *gone)
     return named, reduce(DataFrame.unionByName, [*marked, first, second])
 
 
@@ -219,6 +278,8 @@ def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     order, body = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col(text_col))
     keyed = docs.select(order.alias("k"), body.alias("h"), F.col(text_col).alias("t"))
-    named, edges = similar_links(keyed.select("h", "t"), similarity, shingle, radius, seed)
-    root = named.join(components(edges), "node", "left").select("h", F.coalesce("root", "node").alias("root"))
-    return keep_lowest(docs, order, body, keyed.groupBy("h").agg(F.min("k").alias("k")).join(root, "h"))
+    with shuffles_dropped(docs.sparkSession):
+        named, edges = similar_links(keyed.select("h", "t"), similarity, shingle, radius, seed)
+        root = named.join(components(edges), "node", "left").select("h", F.coalesce("root", "node").alias("root"))
+        lowest = stored(keyed.groupBy("h").agg(F.min("k").alias("k")).join(root, "h"))
+    return keep_lowest(docs, order, body, lowest)

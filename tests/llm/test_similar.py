@@ -65,3 +65,67 @@ def test_texts_in_small_slices():
     parts = list(smaller([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"]), pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["i", "t"])]))
     assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
     assert max(p.num_rows for p in parts) <= 1024 and all(p.nbytes < 4_500_000 for p in parts) and len(parts) >= 10
+
+
+def variants(rng, texts, words=60):
+    """Texts of one frame whose every fourth word is one of two: all shingles are held by many texts, and few pairs are similar."""
+    frame = [("w%d" % i, "v%d" % i) for i in range(words)]
+    return [(i + 1, " ".join(w[rng.random() < 0.5 if k % 4 == 0 else 0] for k, w in enumerate(frame))) for i in range(texts)]
+
+
+def test_pairs_of_large_groups_are_not_rows(spark, docs_of, monkeypatch):
+    """Texts that share their rarest shingles with many dissimilar ones: only pairs that sketches let through are written, and the result is that of brute force."""
+    from sensorloom.llm import similar
+
+    rng = random.Random(5)
+    rows = variants(rng, 400)
+    rows += [(1000 + i, t.replace("w7 ", "x%d " % i, 1)) for i, t in rows[:40]]
+    seen = []
+    whole = similar.cut
+
+    def counted(df):
+        out = whole(df)
+        seen.extend([out.count()] if out.columns == ["grp", "a", "b"] else [])
+        return out
+
+    monkeypatch.setattr(similar, "cut", counted)
+    assert sorted(r.doc_id for r in near_dedup(spark, docs_of(rows), "").collect()) == kept_ids(rows)
+    assert len(seen) >= 3 and max(seen) < 4 * len(rows)
+
+
+def test_groups_of_small_chunks(spark):
+    """Every pair of a shingle's holders is looked at, whatever their chunks and the widths of their sketches; roots are told apart."""
+    import numpy as np
+
+    from sensorloom.llm.similar import SKETCH, near_in_groups
+
+    rng = np.random.default_rng(6)
+    sets, rows, bodies = {}, [], []
+    for node in range(60):
+        base = sets.get(node - 1, np.zeros(0, np.uint64))[: rng.integers(200, 900)] if node % 4 else np.zeros(0, np.uint64)
+        sets[node] = np.unique(np.concatenate([base, rng.integers(0, 2**63, rng.integers(1, 100) if node % 4 else 700, dtype=np.uint64)]))
+        width = 1 << max(SKETCH, (2 * len(sets[node])).bit_length())
+        odd = np.bincount((sets[node] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+        bodies.append((node, bytearray(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes() + len(sets[node]).to_bytes(8, "little"))))
+        rows += [(s, node, node % 7, 60) for s in (1, 2)]
+    assert len({len(b) for _, b in bodies}) > 1
+    large = spark.createDataFrame(rows, "s long, node long, root long, c long")
+    got = {(r.a, r.b) for r in near_in_groups(large, spark.createDataFrame(bodies, "node long, sketch binary"), 4, 5, 8).collect()}
+    near = {(a, b) for a in range(60) for b in range(a) if a % 7 != b % 7 and len(np.intersect1d(sets[a], sets[b])) * 9 >= (len(sets[a]) + len(sets[b])) * 4}
+    assert len(near) > 10 and near <= got and len(got) < 3 * len(near)
+    assert all(a > b and a % 7 != b % 7 for a, b in got)
+
+
+def test_what_is_left_on_disk(spark, docs_of, tmp_path, monkeypatch):
+    """Prefixes, sketches and texts go before the stages end; the session's setting for shuffle files is as it was."""
+    from corpus_pipeline import personal_data
+    from sensorloom.llm import common
+
+    monkeypatch.setattr(common, "checkpoint_dir", lambda _: str(tmp_path))
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = [(i, t + " mail ann%d@site.org" % i) for i, t in variants(random.Random(7), 30)]
+    for stage in (near_dedup, personal_data):
+        assert stage(spark, docs_of(rows), "").count() <= 30
+    left = [set(spark.read.parquet(str(p)).columns) for p in tmp_path.glob("sensorloom-*")]
+    assert left and not any(c & {"prefix", "sketch", "t", "s", "free"} for c in left)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
