@@ -129,3 +129,71 @@ def test_what_is_left_on_disk(spark, docs_of, tmp_path, monkeypatch):
     left = [set(spark.read.parquet(str(p)).columns) for p in tmp_path.glob("sensorloom-*")]
     assert left and not any(c & {"prefix", "sketch", "t", "s", "free"} for c in left)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_links_grow_with_texts_not_with_pairs(spark, docs_of, monkeypatch):
+    """Copies of two or five edits, where any two of two edits are similar and no others are: few edges connect them all."""
+    from sensorloom.llm import similar
+
+    rng, frame = random.Random(11), ["f%d" % i for i in range(200)]
+    rows = []
+    for i in range(240):
+        words = list(frame)
+        for k in rng.sample(range(8, 192, 8), 2 + 3 * (i % 2)):
+            words[k] = "e%d_%d" % (i, k)
+        rows.append((i + 1, " ".join(words)))
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    assert len(pairs) > 25 * len(rows) and len(set(root)) > 1
+    seen, whole = [], similar.components
+
+    def counted(edges):
+        seen.append(edges.count())
+        return whole(edges)
+
+    monkeypatch.setattr(similar, "components", counted)
+    kept = similar.keep_dissimilar(docs_of(rows), similarity=0.8, shingle=5, radius=-1)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r + 1 for r in root})
+    assert seen and max(seen) <= 3 * len(rows)
+
+
+def connected(pairs):
+    """What the pairs connect: a set of sets."""
+    groups = []
+    for a, b in pairs:
+        meet = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in meet] + [set().union({a, b}, *meet)]
+    return {frozenset(g) for g in groups}
+
+
+def test_forest_and_families_of_small_chunks(spark):
+    """A forest connects what all pairs connect, with fewer rows than nodes in a task; families' links connect what brute force connects, whatever the chunks."""
+    import numpy as np
+
+    from sensorloom.llm.similar import family_links, near_forest, near_in_groups, parity_sketch, shingle_hashes
+
+    rng = random.Random(12)
+    texts = {}
+    for i in range(48):
+        words = texts[i - 1].split() if i % 6 else ["b%d_%d" % (i, k) for k in range(rng.choice([60, 300]))]
+        for _ in range(rng.randint(0, len(words) // 30)):
+            words[rng.randrange(len(words))] = "y%d" % rng.randrange(10**6)
+        texts[i] = " ".join(words)
+    sets = {i: np.unique(shingle_hashes(t.encode(), 5, 42)) for i, t in texts.items()}
+    root = {i: i // 2 if i % 6 < 2 else 100 + i for i in texts}
+    large = spark.createDataFrame([(s, i, root[i], 48) for s in (1, 2, 3) for i in texts], "s long, node long, root long, c long").repartition(1)
+    sketches = spark.createDataFrame([(i, bytearray(parity_sketch(x))) for i, x in sets.items()], "node long, sketch binary")
+    true = [(a, b) for a in texts for b in range(a) if root[a] != root[b] and len(np.intersect1d(sets[a], sets[b])) * 9 >= (len(sets[a]) + len(sets[b])) * 4]
+    assert len(true) > 30
+    for most in (1 << 20, 1):
+        forest = [(r.a, r.b) for r in near_forest(large, sketches, 4, 5, 8, most).collect()]
+        assert connected(forest) == connected([tuple(r) for r in near_in_groups(large, sketches, 4, 5, 8).collect()])
+        assert most == 1 or len(forest) < 4 * len(texts)
+    same = [(a, b) for a in texts for b in range(a) if root[a] == root[b]]
+    members = spark.createDataFrame([(7, i, root[i], bytearray(t.encode())) for i, t in texts.items()], "fam long, node long, root long, body binary")
+    for chunk, size in ((1024, 8 << 20), (5, 8 << 20), (1024, 4000)):
+        links = [(r.src, r.dst) for r in family_links(members, 4, 5, 5, 42, chunk, size).collect()]
+        assert connected(links + same) == connected(true + same)
