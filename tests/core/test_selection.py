@@ -241,3 +241,36 @@ def test_silhouettes_are_of_all_points(spark):
         d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
         a, b = d[lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1), min(d[lab == k].mean() for k in range(3) if k != lab[i])
         assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
+
+
+def test_pairs_are_looked_at_once_for_every_k(spark, monkeypatch):
+    """The points are read in one set of blocks, not one for each k; no point is shuffled to find its center."""
+    from sensorloom.operators import cluster as C
+
+    df, _ = clouds(spark, [(0, 0), (6, 0), (0, 6)], 12)
+    scans, blocks_of = [], S.blocks_of
+    monkeypatch.setattr(S, "blocks_of", lambda *a: scans.append(a) or blocks_of(*a))
+    assert sorted(r.clusters for r in S.adaptive_k(df.select("id", "v"), [2, 3, 4], 3).collect()) == [2, 3, 4]
+    assert len(scans) == 1
+    centers = spark.createDataFrame([(0, [0.0, 0.0]), (1, [6.0, 0.0])], "cluster int, c array<double>")
+    near = C.nearest_centers(df, centers)
+    assert "hashpartitioning" not in near._jdf.queryExecution().executedPlan().toString()
+    for r in near.collect():
+        d = [round(float(np.hypot(r.v[0] - x, r.v[1])), 9) for x in (0, 6)]
+        assert r.cluster == int(np.argmin(d)) and [r.d1, r.d2] == pytest.approx(sorted(d), abs=2e-9)
+
+
+def test_silhouettes_keep_digits(spark):
+    """Small clusters far from zero and from each other, exact copies, labelings of one scan, batches of several tiles; components that are no numbers are unknown."""
+    rng = np.random.default_rng(5)
+    v = np.repeat([[1e6, 1e6], [1e6, 1e6 + 4], [3e6, -1e6]], 200, axis=0) + 1e-3 * rng.normal(size=(600, 2))
+    v[150:190] = v[150]
+    v[190:200] += 2
+    labels = np.column_stack([np.repeat([0, 1, 2], 200), np.arange(600) % 3, np.where(np.arange(600) < 170, 0, np.where(np.arange(600) < 190, 7, 3))])
+    rows = [(i, [float(x) for x in v[i]], *map(int, labels[i])) for i in range(600)] + [(600, [float("nan"), 1.0], 0, 0, 0), (601, [float("inf"), 1.0], 0, 0, 0), (602, None, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, a int, b int, c int")
+    got = {(r.label, r.id): (r.cluster, r.s) for r in S.silhouettes_by(df, ["a", "b", "c"], block=256).collect()}
+    assert len(got) == 3 * 603 and all(got[j, i][1] == 0 for j in range(3) for i in (600, 601, 602))
+    for j in range(3):
+        assert [got[j, i][0] for i in range(600)] == labels[:, j].tolist()
+        assert np.allclose([got[j, i][1] for i in range(600)], plain_silhouettes(v, labels[:, j]), rtol=0, atol=1e-9)
